@@ -260,3 +260,53 @@ def histogram(df: DataFrame, c: str, bins: int, label: str | None = None) -> Dat
                     rnd(F.col("lo") + step * F.col("bin"), 6).alias("bin_start"),
                     rnd(F.col("lo") + step * (F.col("bin") + 1), 6).alias("bin_end"),
                     "count").orderBy("measure", "bin")
+
+
+# -------------------------------------------------------------- quantiles --
+
+def quantiles(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str],
+              exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    """PERCENTILE_CONT(p) of ``c`` for each p, as one row (NULLs ignored).
+
+    ``percentile()`` keeps a value -> count map per group and merges the
+    whole map in one task for a global aggregate; over billions of distinct
+    values that does not fit. Here the distinct values are ranked by range
+    (see :func:`average_ranks`); each needed order statistic is the value
+    whose cumulative span covers its index, so only those few rows survive
+    the filter. Driver traffic: the row count and the range splits.
+    ``exact=False`` uses ``percentile_approx`` instead.
+    """
+    if not exact:
+        return df.agg(*[F.percentile_approx(F.col(c).cast("double"), p, accuracy).alias(n)
+                        for p, n in zip(probs, names)])
+    vc = value_counts(df, c)
+    n = vc.agg(F.sum("cnt")).first()[0] or 0
+    if n == 0:
+        return df.limit(0).agg(*[F.lit(None).cast("double").alias(nm) for nm in names])
+    want = {}
+    for p, nm in zip(probs, names):
+        h = (n - 1) * p
+        lo = int(math.floor(h))
+        want[nm] = (lo, min(lo + 1, n - 1), h - lo)
+    idx = sorted({i for lo, hi, _ in want.values() for i in (lo, hi)})
+    ranked = _cumulative(vc)
+    arr = F.array(*[F.lit(i) for i in idx])
+    hits = (ranked.where(F.exists(arr, lambda i: (F.col("start") <= i)
+                                  & (i < F.col("start") + F.col("cnt"))))
+            .select(F.explode(F.filter(arr, lambda i: (F.col("start") <= i)
+                                       & (i < F.col("start") + F.col("cnt")))).alias("i"),
+                    F.col("v").cast("double").alias("v")))
+    at = {i: F.max(F.when(F.col("i") == i, F.col("v"))) for i in idx}
+    g = hits.agg(*[at[i].alias(f"_{i}") for i in idx])
+    out = []
+    for nm, (lo, hi, frac) in want.items():
+        a, b = F.col(f"_{lo}"), F.col(f"_{hi}")
+        out.append((a + (b - a) * F.lit(frac)).alias(nm) if frac else a.alias(nm))
+    return g.select(*out)
+
+
+def _cumulative(vc: DataFrame) -> DataFrame:
+    """(v, cnt) -> (v, cnt, start): 0-based index of each value's first row."""
+    r = average_ranks(vc)
+    return r.select("v", "cnt", (F.col("rank") - (F.col("cnt") + 1.0) / 2.0).cast("long")
+                    .alias("start"))
