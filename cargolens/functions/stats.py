@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from .exprs import rnd
 
@@ -83,13 +84,13 @@ def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _t_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if (pd.isna(a) or pd.isna(b)) else t_two_sided_p(float(a), float(b))
                       for a, b in zip(t, df)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _norm_sf_udf(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else normal_sf(float(v)) for v in z], dtype="float64")
 

@@ -10,7 +10,10 @@ from ..catalog import query
 from ..functions import stats
 from ..functions.exprs import avg_exact, count_when, ordinal_of, pct, rnd
 
-_ALL = Window.partitionBy()  # only over grouped frames
+
+def _all():  # only over grouped frames
+    return Window.partitionBy()
+
 
 ACCURACY_BANDS = (("<", "a. 10+ days early", -10), ("<", "b. 5-10 days early", -5),
                   ("<", "c. 1-5 days early", 0), ("<=", "d. On time", 0),
@@ -119,7 +122,7 @@ def estimate_accuracy_bands(t) -> DataFrame:
          .groupBy(band_chain("delay_days", ACCURACY_BANDS, ACCURACY_ELSE).alias("delivery_bucket"))
          .agg(F.count(F.lit(1)).alias("orders"), avg_exact("review_score").alias("_r")))
     return g.select("delivery_bucket", "orders",
-                    rnd(pct(F.col("orders"), F.sum("orders").over(_ALL)), 1).alias("pct"),
+                    rnd(pct(F.col("orders"), F.sum("orders").over(_all())), 1).alias("pct"),
                     rnd("_r", 2).alias("avg_review")).orderBy("delivery_bucket")
 
 
@@ -242,7 +245,7 @@ def handoff_sla_bands(t) -> DataFrame:
          .groupBy(band.alias("handoff_band")).agg(F.count(F.lit(1)).alias("orders"),
                                                    count_when(F.col("is_late")).alias("late_orders")))
     return g.select("handoff_band", "orders",
-                    rnd(pct(F.col("orders"), F.sum("orders").over(_ALL)), 1).alias("pct"),
+                    rnd(pct(F.col("orders"), F.sum("orders").over(_all())), 1).alias("pct"),
                     "late_orders").orderBy(ordinal_of(F.col("handoff_band"), labels))
 
 

@@ -10,7 +10,10 @@ from ..catalog import query
 from ..functions import stats
 from ..functions.exprs import avg_exact, count_when, ordinal_of, pct, rnd
 
-_ALL = Window.partitionBy()  # only over grouped frames
+
+def _all():  # only over grouped frames
+    return Window.partitionBy()
+
 
 DIST_LABELS = ("<100 km", "100-500 km", "500-1000 km", "1000-2000 km", "2000+ km")
 WEIGHT_LABELS = ("<500 g", "500 g-2 kg", "2-5 kg", ">5 kg")
@@ -66,7 +69,7 @@ def freight_by_distance(t) -> DataFrame:
     g = (d.groupBy(distance_band(t).alias("distance_band"))
          .agg(F.count(F.lit(1)).alias("items"), avg_exact("freight_value").alias("_f")))
     return g.select("distance_band", "items", rnd("_f", 2).alias("avg_freight"),
-                    rnd(pct(F.col("items"), F.sum("items").over(_ALL)), 1).alias("pct_items")
+                    rnd(pct(F.col("items"), F.sum("items").over(_all())), 1).alias("pct_items")
                     ).orderBy(ordinal_of(F.col("distance_band"), DIST_LABELS))
 
 
@@ -91,7 +94,7 @@ def freight_by_weight_band(t) -> DataFrame:
          .agg(F.count(F.lit(1)).alias("items"), F.avg(ratio).alias("_r"),
               avg_exact("freight_value").alias("_f")))
     return g.select("weight_band", "items",
-                    rnd(pct(F.col("items"), F.sum("items").over(_ALL)), 1).alias("pct_items"),
+                    rnd(pct(F.col("items"), F.sum("items").over(_all())), 1).alias("pct_items"),
                     rnd("_f", 2).alias("avg_freight"), rnd("_r", 2).alias("avg_freight_ratio_pct")
                     ).orderBy(ordinal_of(F.col("weight_band"), WEIGHT_LABELS))
 
@@ -102,7 +105,7 @@ def route_freight(t) -> DataFrame:
     g = (t.item_view.groupBy(route_type().alias("route_type"))
          .agg(F.count(F.lit(1)).alias("items"), avg_exact("freight_value").alias("_f")))
     return g.select("route_type", "items", rnd("_f", 2).alias("avg_freight"),
-                    rnd(pct(F.col("items"), F.sum("items").over(_ALL)), 1).alias("pct_items"))
+                    rnd(pct(F.col("items"), F.sum("items").over(_all())), 1).alias("pct_items"))
 
 
 def seller_profile(t) -> DataFrame:
@@ -123,7 +126,7 @@ def seller_volume_tiers(t) -> DataFrame:
          .agg(F.count(F.lit(1)).alias("sellers"), F.sum("orders").alias("orders"),
               F.avg("avg_processing_days").alias("_p")))
     return g.select("seller_tier", "sellers",
-                    rnd(pct(F.col("sellers"), F.sum("sellers").over(_ALL)), 1).alias("pct_sellers"),
+                    rnd(pct(F.col("sellers"), F.sum("sellers").over(_all())), 1).alias("pct_sellers"),
                     "orders", rnd("_p", 2).alias("avg_processing_days")
                     ).orderBy(ordinal_of(F.col("seller_tier"), labels))
 
@@ -150,8 +153,8 @@ def state_supply_demand(t) -> DataFrame:
     c = t["customers"].groupBy(F.col("customer_state").alias("state")).agg(
         F.count_distinct("customer_unique_id").alias("customers"))
     j = s.join(c, "state", "full").na.fill(0, ["sellers", "customers"])
-    sp = pct(F.col("sellers"), F.sum("sellers").over(_ALL))
-    cp = pct(F.col("customers"), F.sum("customers").over(_ALL))
+    sp = pct(F.col("sellers"), F.sum("sellers").over(_all()))
+    cp = pct(F.col("customers"), F.sum("customers").over(_all()))
     return j.select("state", "sellers", rnd(sp, 2).alias("seller_pct"), "customers",
                     rnd(cp, 2).alias("customer_pct"), rnd(cp - sp, 2).alias("demand_minus_supply_pct")
                     ).orderBy(F.desc("customers"), "state")
@@ -163,7 +166,7 @@ def top_state_share(t) -> DataFrame:
     w = Window.orderBy(F.desc("orders"), "customer_state")
     r = g.select("customer_state", "orders", F.row_number().over(w).alias("rank"),
                  F.sum("orders").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
-                 F.sum("orders").over(_ALL).alias("_tot"))
+                 F.sum("orders").over(_all()).alias("_tot"))
     return (r.where(F.col("rank") <= t.cfg.top_state_share_n)
             .select("rank", "customer_state", "orders",
                     rnd(pct(F.col("_cum"), F.col("_tot")), 2).alias("cumulative_pct"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions.exprs import avg_exact, ordinal_of, pct, right_closed_bins, rnd
 
-_ALL = Window.partitionBy()  # only ever over grouped, per-category frames
+
+def _all():  # only ever over grouped, per-category frames
+    return Window.partitionBy()
+
 
 DESC_EDGES = (0, 200, 500, 1000, 10000)
 DESC_LABELS = ("Short (<200)", "Medium (200-500)", "Long (500-1K)", "Very Long (1K+)")
@@ -47,10 +50,10 @@ def ranked_categories(t) -> DataFrame:
     return cat.select(
         "product_category_english", "revenue",
         F.sum("revenue").over(by_rev).alias("cumulative"),          # RANGE frame: ties share
-        F.sum("revenue").over(_ALL).alias("grand_total"),
+        F.sum("revenue").over(_all()).alias("grand_total"),
         F.row_number().over(Window.orderBy(F.desc("revenue"), "product_category_english"))
         .alias("rank"),
-        F.count(F.lit(1)).over(_ALL).alias("total_categories"))
+        F.count(F.lit(1)).over(_all()).alias("total_categories"))
 
 
 @query("category_pareto")
@@ -154,8 +157,8 @@ def pareto_point(t) -> DataFrame:
     r = cat.select("revenue",
                    F.row_number().over(w).alias("rank"),
                    F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
-                   F.sum("revenue").over(_ALL).alias("total"),
-                   F.count(F.lit(1)).over(_ALL).alias("n"))
+                   F.sum("revenue").over(_all()).alias("total"),
+                   F.count(F.lit(1)).over(_all()).alias("n"))
     hit = pct(F.col("cum"), F.col("total")) >= t.cfg.pareto_cut_pct
     g = r.agg(F.min(F.when(hit, F.col("rank"))).alias("pareto_n"),
               F.max("n").alias("total_categories"))

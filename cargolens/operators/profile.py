@@ -15,7 +15,9 @@ from ..catalog import query
 from ..functions import stats
 from ..functions.exprs import avg_exact, count_when, month_start, pct, rnd
 
-_ALL = Window.partitionBy()  # only over grouped frames
+
+def _all():  # only over grouped frames
+    return Window.partitionBy()
 
 
 # ------------------------------------------------------------ generic ops --
@@ -80,14 +82,14 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
 def top_share(df: DataFrame, key: str, count_name: str, k: int) -> DataFrame:
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
     return (g.select(key, count_name,
-                     rnd(pct(F.col(count_name), F.sum(count_name).over(_ALL)), 1).alias("pct"))
+                     rnd(pct(F.col(count_name), F.sum(count_name).over(_all())), 1).alias("pct"))
             .orderBy(F.desc(count_name), key).limit(k))
 
 
 def share_table(df: DataFrame, key: str, count_name: str = "count") -> DataFrame:
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
     return g.select(key, count_name,
-                    rnd(pct(F.col(count_name), F.sum(count_name).over(_ALL)), 1).alias("pct"))
+                    rnd(pct(F.col(count_name), F.sum(count_name).over(_all())), 1).alias("pct"))
 
 
 RAW_ORDER = ("orders", "order_items", "customers", "payments", "reviews", "products", "sellers",

@@ -14,11 +14,12 @@ DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "
 # A window with no partitioning pulls rows into one task; every such window
 # in this package runs over an already grouped, small frame (a handful of
 # payment types, states, segments), never over raw rows.
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()
 
 
 def share_of_total(c: str) -> F.Column:
-    return rnd(pct(F.col(c), F.sum(c).over(_ALL)), 1)
+    return rnd(pct(F.col(c), F.sum(c).over(_all())), 1)
 
 
 @query("monthly_sales")
@@ -166,7 +167,7 @@ def repeat_customer_segments(t) -> DataFrame:
         share_of_total("customers").alias("pct_customers"),
         rnd("_ltv", 2).alias("avg_ltv"),
         rnd("_rev", 2).alias("total_revenue"),
-        rnd(pct(F.col("_rev"), F.sum("_rev").over(_ALL)), 1).alias("pct_revenue"),
+        rnd(pct(F.col("_rev"), F.sum("_rev").over(_all())), 1).alias("pct_revenue"),
         "_min",
     ).orderBy("_min").drop("_min")
 
@@ -208,7 +209,7 @@ def payment_share(t) -> DataFrame:
     g = (t.orders_summary.where(F.col("primary_payment_type").isNotNull())
          .groupBy("primary_payment_type").agg(F.sum("order_total").alias("_v")))
     return g.select("primary_payment_type", rnd("_v", 2).alias("total_value"),
-                    rnd(pct(F.col("_v"), F.sum("_v").over(_ALL)), 1).alias("share_pct")
+                    rnd(pct(F.col("_v"), F.sum("_v").over(_all())), 1).alias("share_pct")
                     ).orderBy(F.desc("total_value"))
 
 

@@ -10,7 +10,10 @@ from ..functions import stats
 from ..functions.exprs import avg_exact, count_when, ordinal_of, pct, right_closed_bins, rnd
 from .delivery import band_chain
 
-_ALL = Window.partitionBy()  # only over grouped frames
+
+def _all():  # only over grouped frames
+    return Window.partitionBy()
+
 
 DELAY_BANDS = (("<", "a. 7+ days early", -7), ("<", "b. 3-7 days early", -3),
                ("<", "c. 1-3 days early", 0), ("<=", "d. On time", 0),
@@ -36,7 +39,7 @@ def review_distribution(t) -> DataFrame:
               count_when(F.col("has_comment")).alias("with_comment"),
               rnd(share(F.col("has_comment")), 1).alias("comment_rate")))
     return g.select("review_score", "count",
-                    rnd(pct(F.col("count"), F.sum("count").over(_ALL)), 1).alias("pct"),
+                    rnd(pct(F.col("count"), F.sum("count").over(_all())), 1).alias("pct"),
                     "with_comment", "comment_rate").orderBy("review_score")
 
 
@@ -128,7 +131,7 @@ def seller_state_dissatisfaction(t) -> DataFrame:
 def score_distribution(t) -> DataFrame:
     g = t.reviewed.groupBy("review_score").agg(F.count(F.lit(1)).alias("orders"))
     return g.select("review_score", "orders",
-                    pct(F.col("orders"), F.sum("orders").over(_ALL)).alias("pct")).orderBy("review_score")
+                    pct(F.col("orders"), F.sum("orders").over(_all())).alias("pct")).orderBy("review_score")
 
 
 @query("delay_spearman")
