@@ -28,8 +28,8 @@ from pyspark.sql.types import DoubleType
 
 from .exprs import rnd
 
-VALUES_PER_RANGE = 500_000
-MAX_RANGES = 4096
+VALUES_PER_RANGE = 2_000_000  # distinct values ranked by one window task
+MAX_RANGES = 8192
 
 
 # ----------------------------------------------------------------- tails --
@@ -134,8 +134,11 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def _range_splits(vc: DataFrame) -> list:
-    n_distinct = vc.count()
+def _range_splits(vc: DataFrame, n_distinct: int | None = None) -> list:
+    """Split points for ranking by range. ``n_distinct`` (an estimate is
+    enough) saves the counting pass when the caller already has it."""
+    if n_distinct is None:
+        n_distinct = vc.count()
     ranges = max(1, min(MAX_RANGES, math.ceil(n_distinct / VALUES_PER_RANGE)))
     if ranges == 1:
         return []
@@ -144,9 +147,9 @@ def _range_splits(vc: DataFrame) -> list:
     return sorted(set(q for q in qs if q is not None))
 
 
-def average_ranks(vc: DataFrame) -> DataFrame:
+def average_ranks(vc: DataFrame, n_distinct: int | None = None) -> DataFrame:
     """(v, cnt) -> (v, cnt, rank): mid-ranks 1..N with ties averaged."""
-    splits = _range_splits(vc)
+    splits = _range_splits(vc, n_distinct)
     if splits:
         arr = F.array(*[F.lit(s) for s in splits])
         rng = F.size(F.filter(arr, lambda s: s <= F.col("v")))
@@ -167,11 +170,13 @@ def average_ranks(vc: DataFrame) -> DataFrame:
             .toDF("v", "cnt", "rank"))
 
 
-def _spearman_one(df: DataFrame, x: str, y: str) -> DataFrame:
+def _spearman_one(df: DataFrame, x: str, y: str, nd: dict) -> DataFrame:
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = d.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w"))
-    rx = average_ranks(value_counts(d, x)).select(F.col("v").alias("x"), F.col("rank").alias("rx"))
-    ry = average_ranks(value_counts(d, y)).select(F.col("v").alias("y"), F.col("rank").alias("ry"))
+    rx = average_ranks(value_counts(d, x), nd[x]).select(F.col("v").alias("x"),
+                                                         F.col("rank").alias("rx"))
+    ry = average_ranks(value_counts(d, y), nd[y]).select(F.col("v").alias("y"),
+                                                         F.col("rank").alias("ry"))
     j = pairs.join(rx, "x").join(ry, "y")
     w = F.col("w").cast("double")
     g = j.agg(F.sum("w").alias("n"),
@@ -185,10 +190,19 @@ def _spearman_one(df: DataFrame, x: str, y: str) -> DataFrame:
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), rho.alias("rho"))
 
 
+def distinct_estimates(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Approximate distinct counts of several columns in one pass (only used
+    to size the value ranges)."""
+    cols = list(dict.fromkeys(cols))
+    r = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    return {c: int(r[c] or 0) for c in cols}
+
+
 def spearman_raw(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    nd = distinct_estimates(df, [c for p in pairs for c in p])
     out = None
     for x, y in pairs:
-        one = _spearman_one(df, x, y)
+        one = _spearman_one(df, x, y, nd)
         out = one if out is None else out.unionByName(one)
     return out.withColumn(
         "t_stat", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2.0, 1.0 - F.col("rho") ** 2)))
@@ -217,7 +231,7 @@ def mann_whitney(df: DataFrame, value: str, group: F.Column, first_label: str) -
     """
     d = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), group.alias("g"))
     vc = d.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = average_ranks(vc)
+    ranks = average_ranks(vc, distinct_estimates(d, ["v"])["v"])
     per = d.groupBy("v").agg(F.count_if(F.col("g") == first_label).alias("n_x"),
                              F.count(F.lit(1)).alias("n_all"))
     j = per.join(ranks.select("v", "rank"), "v")
@@ -280,8 +294,11 @@ def quantiles(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str
     if not exact:
         return df.agg(*[F.percentile_approx(F.col(c).cast("double"), p, accuracy).alias(n)
                         for p, n in zip(probs, names)])
+    # One scan, no shuffle: the exact row count (for the positions) and a
+    # distinct estimate (only to size the value ranges).
+    tot = df.agg(F.count(c).alias("n"), F.approx_count_distinct(c).alias("nd")).first()
+    n, n_distinct = tot["n"] or 0, tot["nd"]
     vc = value_counts(df, c)
-    n = vc.agg(F.sum("cnt")).first()[0] or 0
     if n == 0:
         return df.limit(0).agg(*[F.lit(None).cast("double").alias(nm) for nm in names])
     want = {}
@@ -290,7 +307,7 @@ def quantiles(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str
         lo = int(math.floor(h))
         want[nm] = (lo, min(lo + 1, n - 1), h - lo)
     idx = sorted({i for lo, hi, _ in want.values() for i in (lo, hi)})
-    ranked = _cumulative(vc)
+    ranked = _cumulative(vc, n_distinct)
     arr = F.array(*[F.lit(i) for i in idx])
     hits = (ranked.where(F.exists(arr, lambda i: (F.col("start") <= i)
                                   & (i < F.col("start") + F.col("cnt"))))
@@ -306,8 +323,8 @@ def quantiles(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str
     return g.select(*out)
 
 
-def _cumulative(vc: DataFrame) -> DataFrame:
+def _cumulative(vc: DataFrame, n_distinct: int | None = None) -> DataFrame:
     """(v, cnt) -> (v, cnt, start): 0-based index of each value's first row."""
-    r = average_ranks(vc)
+    r = average_ranks(vc, n_distinct)
     return r.select("v", "cnt", (F.col("rank") - (F.col("cnt") + 1.0) / 2.0).cast("long")
                     .alias("start"))

@@ -73,6 +73,21 @@ def yoy_growth(t) -> DataFrame:
     )
 
 
+@query("yoy_growth_unrounded")
+def yoy_growth_unrounded(t) -> DataFrame:
+    """The notebook's year on year: same figures, no rounding (money exact)."""
+    cfg = t.cfg
+    cur, prev = cfg.yoy_current_year, cfg.yoy_previous_year
+    s = t.orders_summary.where(F.col("order_month_num").between(1, cfg.yoy_last_month)
+                               & F.col("order_year").isin(cur, prev))
+    y = s.groupBy("order_year").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("order_revenue").alias("revenue"),
+        avg_exact("order_revenue").alias("aov"),
+        F.count_distinct("customer_unique_id").alias("customers"))
+    return y.select("order_year", "orders", F.col("revenue").cast("double").alias("revenue"),
+                    "aov", "customers").orderBy("order_year")
+
+
 @query("revenue_by_payment_type")
 def revenue_by_payment_type(t) -> DataFrame:
     g = (t.orders_summary.where(F.col("primary_payment_type").isNotNull())
@@ -227,9 +242,11 @@ def installment_spearman_test(t) -> DataFrame:
     return stats.spearman_test(stats.spearman(cc, [("primary_installments", "order_revenue")]))
 
 
-@query("repeat_rate")
-def repeat_rate(t) -> DataFrame:
+@query("repeat_customers")
+def repeat_customers(t) -> DataFrame:
     c = customer_orders(t)
+    """The notebook's segment figures beyond the SQL table: customers and the
+    repeat purchase rate."""
     return c.agg(F.count(F.lit(1)).alias("total_customers"),
                  F.count_if(F.col("order_count") > 1).alias("repeat_customers"),
                  rnd(pct(F.count_if(F.col("order_count") > 1), F.count(F.lit(1))), 1)

@@ -95,25 +95,41 @@ class Tables:
         return model.reviewed_delivered(self.orders_summary)
 
     # -- materialisation ---------------------------------------------------
-    SHARED = ("orders_summary", "item_view", "orders_clean", "products_clean",
-              "reviews_clean", "geolocation_clean")
+    STAGE1 = ("orders_clean", "reviews_clean", "products_clean", "payments_order_agg",
+              "geolocation_clean")
+    STAGE2 = ("orders_summary", "item_view")
 
     def materialize(self, path: str | None = None,
-                    names: tuple[str, ...] = SHARED) -> "Tables":
+                    names: tuple[str, ...] = STAGE1 + STAGE2,
+                    raw_names: tuple[str, ...] = ()) -> "Tables":
         """Write the shared derived tables as Parquet and read them back.
 
         ``path`` defaults to a folder under ``spark.checkpoint.dir`` (a shared
-        filesystem on a cluster). The summary and the item view are
-        partitioned by month, so month filters prune files.
+        filesystem on a cluster). Clean tables are written first and the
+        summary and item view are then built from those files, so no lineage
+        is computed twice. The summary and the view are partitioned by month,
+        so month filters prune files. ``raw_names`` also writes raw tables
+        that are themselves computed (the driver-table adapter's), so they
+        are built once.
         """
         base = path or os.path.join(checkpoint_dir(self.spark), "model")
-        derived = {}
-        for name in names:
-            out = os.path.join(base, name)
-            part = ("order_month",) if name in ("orders_summary", "item_view") else ()
-            write_table(getattr(self, name), out, partition_by=part)
-            derived[name] = self.spark.read.parquet(out)
-        return Tables(self.spark, self.raw, self.cfg, derived)
+        raw = dict(self.raw)
+        for name in raw_names:
+            out = os.path.join(base, "raw", name)
+            write_table(self.raw[name], out)
+            raw[name] = self.spark.read.parquet(out)
+        derived: dict[str, DataFrame] = {}
+        current: Tables = Tables(self.spark, raw, self.cfg)
+        for stage in (self.STAGE1, self.STAGE2):
+            for name in stage:
+                if name not in names:
+                    continue
+                out = os.path.join(base, name)
+                part = ("order_month",) if name in self.STAGE2 else ()
+                write_table(getattr(current, name), out, partition_by=part)
+                derived[name] = self.spark.read.parquet(out)
+            current = Tables(self.spark, raw, self.cfg, dict(derived))
+        return current
 
 
 def driver_tables(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> Tables:
