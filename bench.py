@@ -39,6 +39,18 @@ def force(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def shuffles(df) -> int:
+    """Shuffle exchanges in the physical plan (broadcasts not counted)."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return sum(1 for line in buf.getvalue().splitlines()
+               if "Exchange" in line and "BroadcastExchange" not in line
+               and "ReusedExchange" not in line)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -55,9 +67,12 @@ def main() -> None:
     load_all()
 
     times: dict[str, float] = {}
+    n_shuffles: dict[str, int] = {}
     for name in END_TO_END:
         t0 = time.time()
-        force(QUERIES[name](driver_tables(spark, sf_dir)))
+        df = QUERIES[name](driver_tables(spark, sf_dir))
+        n_shuffles[f"end_to_end_{name}"] = shuffles(df)
+        force(df)
         times[f"end_to_end_{name}"] = round(time.time() - t0, 3)
 
     t0 = time.time()
@@ -66,6 +81,7 @@ def main() -> None:
     times["model_build"] = round(time.time() - t0, 3)
 
     for name in HEADLINE:
+        n_shuffles[name] = shuffles(QUERIES[name](t))
         force(QUERIES[name](t))  # warm-up
         runs = []
         for _ in range(3):
@@ -77,7 +93,8 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": times,
-                      "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+                      "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
+                      "shuffles": n_shuffles}))
     spark.stop()
 
 

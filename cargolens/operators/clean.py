@@ -48,7 +48,11 @@ def reviews_clean(reviews: DataFrame) -> DataFrame:
     """
     cols = [c for c in reviews.columns]
     row = F.struct(*[F.col(c) for c in cols])
-    key = F.struct(F.col("review_answer_timestamp"), F.col("review_score"), F.col("review_id"))
+    # review_id repeats in the published data, so the remaining columns end
+    # the ordering: the pick is the same on every run and after any retry.
+    key = F.struct(F.col("review_answer_timestamp"), F.col("review_score"), F.col("review_id"),
+                   F.col("review_creation_date"), F.col("review_comment_title"),
+                   F.col("review_comment_message"))
     best = reviews.groupBy("order_id").agg(F.max_by(row, key).alias("r"))
     return best.select(*[F.col("r")[c].alias(c) for c in cols]).withColumn(
         "has_comment", F.col("review_comment_message").isNotNull())

@@ -57,3 +57,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+                   max_partitions: int = 200_000) -> int:
+    """Size shuffles for an input of ``input_bytes`` (e.g. 100 TB).
+
+    The initial shuffle partition count is input / target (AQE then coalesces
+    small partitions and splits skewed ones at run time), and scan splits
+    match the target, so a task's share fits in executor memory with room to
+    spill. Returns the partition count it set.
+    """
+    n = max(1, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes // 2))
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+                   str(target_partition_bytes * 2))
+    return n
