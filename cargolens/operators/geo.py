@@ -164,7 +164,7 @@ def state_supply_demand(t) -> DataFrame:
 def top_state_share(t) -> DataFrame:
     g = t.orders_summary.groupBy("customer_state").agg(F.count(F.lit(1)).alias("orders"))
     w = Window.orderBy(F.desc("orders"), "customer_state")
-    r = g.select("customer_state", "orders", F.row_number().over(w).alias("rank"),
+    r = g.select("customer_state", "orders", F.row_number().over(w).cast("long").alias("rank"),
                  F.sum("orders").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
                  F.sum("orders").over(_all()).alias("_tot"))
     return (r.where(F.col("rank") <= t.cfg.top_state_share_n)

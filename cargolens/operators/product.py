@@ -52,7 +52,7 @@ def ranked_categories(t) -> DataFrame:
         F.sum("revenue").over(by_rev).alias("cumulative"),          # RANGE frame: ties share
         F.sum("revenue").over(_all()).alias("grand_total"),
         F.row_number().over(Window.orderBy(F.desc("revenue"), "product_category_english"))
-        .alias("rank"),
+        .cast("long").alias("rank"),
         F.count(F.lit(1)).over(_all()).alias("total_categories"))
 
 
@@ -155,7 +155,7 @@ def pareto_point(t) -> DataFrame:
     cat = t.item_view.groupBy("product_category_english").agg(F.sum("price").alias("revenue"))
     w = Window.orderBy(F.desc("revenue"), "product_category_english")
     r = cat.select("revenue",
-                   F.row_number().over(w).alias("rank"),
+                   F.row_number().over(w).cast("long").alias("rank"),
                    F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
                    F.sum("revenue").over(_all()).alias("total"),
                    F.count(F.lit(1)).over(_all()).alias("n"))

@@ -51,6 +51,22 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+                 "timestamp": "TIMESTAMP"}
+
+
+def type_family(spark_type: str) -> str:
+    if spark_type.startswith("decimal"):
+        return "DECIMAL"
+    return SPARK_TO_DUCK.get(spark_type, spark_type.upper())
+
+
+def duck_family(duck_type) -> str:
+    t = str(duck_type).upper()
+    return "DECIMAL" if t.startswith("DECIMAL") else t
+
+
 def canon(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     cols = [columns[i] for i in order]
@@ -69,10 +85,15 @@ def compare_one(spark, con, name, fn, sql, sf_dir):
     t2 = time.time()
     sc, sb = canon(sdf.columns, srows)
     dc, db = canon(dcols, drows)
-    ok = sc == dc and sb == db
+    stypes = {n: type_family(t) for n, t in sdf.dtypes}
+    dtypes = {d[0]: duck_family(d[1]) for d in res.description}
+    tdiff = {n: (stypes[n], dtypes.get(n)) for n in stypes if stypes[n] != dtypes.get(n)}
+    ok = sc == dc and sb == db and not tdiff
     detail = ""
     if sc != dc:
         detail = f"columns spark={sc} duck={dc}"
+    elif tdiff:
+        detail = f"types differ {tdiff}"
     elif len(sb) != len(db):
         detail = f"rows spark={len(sb)} duck={len(db)}"
     elif sb != db:
