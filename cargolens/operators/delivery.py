@@ -15,6 +15,8 @@ def _all():  # only over grouped frames
     return Window.partitionBy()
 
 
+# Fixed values (must equal the reference's): delay bands of the estimate
+# accuracy question, as (comparison, label, bound), first match wins.
 ACCURACY_BANDS = (("<", "a. 10+ days early", -10), ("<", "b. 5-10 days early", -5),
                   ("<", "c. 1-5 days early", 0), ("<=", "d. On time", 0),
                   ("<=", "e. 1-5 days late", 5), ("<=", "f. 5-10 days late", 10))

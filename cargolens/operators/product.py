@@ -13,6 +13,7 @@ def _all():  # only ever over grouped, per-category frames
     return Window.partitionBy()
 
 
+# Fixed values (must equal the reference's): description-length bins and labels.
 DESC_EDGES = (0, 200, 500, 1000, 10000)
 DESC_LABELS = ("Short (<200)", "Medium (200-500)", "Long (500-1K)", "Very Long (1K+)")
 

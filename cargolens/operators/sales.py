@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions import stats
 from ..functions.exprs import avg_exact, pct, rnd
 
+# Day names by EXTRACT(DOW) number (0 = Sunday).
 DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 # A window with no partitioning pulls rows into one task; every such window

@@ -15,6 +15,8 @@ def _all():  # only over grouped frames
     return Window.partitionBy()
 
 
+# Fixed values (must equal the reference's): the delay bands and labels of
+# the review questions, and the notebook's right-closed bins and labels.
 DELAY_BANDS = (("<", "a. 7+ days early", -7), ("<", "b. 3-7 days early", -3),
                ("<", "c. 1-3 days early", 0), ("<=", "d. On time", 0),
                ("<=", "e. 1-3 days late", 3), ("<=", "f. 3-7 days late", 7))

@@ -42,7 +42,16 @@ PAYMENT_TYPE_MAP = (("view", "credit_card"), ("click", "boleto"), ("signup", "vo
 
 def read_driver_tables(spark: SparkSession, sf_dir: str,
                        names: tuple[str, ...] = DRIVER_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    """The driver parquet files. Timestamps are pinned to timestamp_ntz
+    (wall-clock), whatever the session's Parquet inference setting."""
+    from pyspark.sql.types import TimestampType
+
+    out = {}
+    for n in names:
+        df = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        ts = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)]
+        out[n] = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ts}) if ts else df
+    return out
 
 
 def _map(c, pairs):
