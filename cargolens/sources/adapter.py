@@ -4,7 +4,7 @@ The test data are TPC-H-shaped (orders, lineitem, customer, supplier, part,
 nation, events, embeddings). This module re-shapes them, column by column,
 into the raw tables the reference's pipeline expects. Every rule is a plain
 Spark expression, so the adapter scales with the tables; the SQL oracle has
-the same rules written in DuckDB SQL (``plans/oracle.py``).
+the same rules written in DuckDB SQL (``plans/oracle_base.py``).
 
 Keys stay 64-bit integers (``o_orderkey`` is the order id, ``l_partkey`` the
 product id, ...). Wherever a rule needs "a number of days", it is derived
