@@ -25,12 +25,18 @@ def _sales_kpis(t) -> DataFrame:
 
 
 def _product_kpis(t) -> DataFrame:
-    from .product import pareto_point, ranked_categories
-    r = ranked_categories(t)  # one row per category
-    cats = r.agg(F.count(F.lit(1)).alias("active_categories"))
-    top = r.where(F.col("rank") == 1).select(F.col("product_category_english").alias("top_category"))
-    p = pareto_point(t).select(F.col("pareto_n").alias("pareto_categories"))
-    return cats.crossJoin(top).crossJoin(p)
+    """Active categories, top category and the Pareto point from one
+    per-category frame (a window over categories only)."""
+    from pyspark.sql import Window
+    cat = t.item_view.groupBy("product_category_english").agg(F.sum("price").alias("rev"))
+    w = Window.orderBy(F.desc("rev"), "product_category_english")
+    r = cat.select("product_category_english", F.row_number().over(w).cast("long").alias("rank"),
+                   F.sum("rev").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
+                   F.sum("rev").over(Window.partitionBy()).alias("tot"))
+    hit = pct(F.col("cum"), F.col("tot")) >= t.cfg.pareto_cut_pct
+    return r.agg(F.count(F.lit(1)).alias("active_categories"),
+                 F.max(F.when(F.col("rank") == 1, F.col("product_category_english"))).alias("top_category"),
+                 F.min(F.when(hit, F.col("rank"))).alias("pareto_categories"))
 
 
 def _delivery_kpis(t) -> DataFrame:
