@@ -103,3 +103,13 @@ def test_ols_matches_polyfit(spark):
     p = stats.ols_test(stats.ols(df, "x", "y")).first()["p_value"]
     t = r * math.sqrt(18 / (1 - r * r))
     assert p == pytest.approx(stats.t_two_sided_p(t, 18), rel=1e-4)
+
+
+def test_approx_quantiles_switch(spark, sample):
+    pdf, df = sample
+    got = stats.quantiles(df, "y", [0.5, 0.9], ["m", "p"], exact=False, accuracy=10000).first()
+    ys = np.sort(pdf["y"].dropna().values)
+    # percentile_approx returns an element of the column within rank error n/accuracy
+    for name, p in (("m", 0.5), ("p", 0.9)):
+        rank = np.searchsorted(ys, got[name], side="right")
+        assert abs(rank / len(ys) - p) <= 0.01 + 1 / len(ys)
