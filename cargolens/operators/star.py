@@ -102,5 +102,6 @@ def build_star_schema(t, path: str) -> dict[str, str]:
     out = {}
     for name in STAR:
         part = ("order_month",) if name.startswith("fact_") else ()
-        out[name] = write_table(QUERIES[name](t), os.path.join(path, name), partition_by=part)
+        out[name] = write_table(QUERIES[name](t), os.path.join(path, name), partition_by=part,
+                                cluster_by=("order_id",) if part else ())
     return out

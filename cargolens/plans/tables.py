@@ -126,7 +126,8 @@ class Tables:
                     continue
                 out = os.path.join(base, name)
                 part = ("order_month",) if name in self.STAGE2 else ()
-                write_table(getattr(current, name), out, partition_by=part)
+                write_table(getattr(current, name), out, partition_by=part,
+                            cluster_by=("order_id",) if part else ())
                 derived[name] = self.spark.read.parquet(out)
             current = Tables(self.spark, raw, self.cfg, dict(derived))
         return current

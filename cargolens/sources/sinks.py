@@ -18,8 +18,17 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, key: Sequence[str]) ->
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
-                mode: str = "overwrite") -> str:
-    """DROP TABLE + CREATE TABLE AS: rewrite ``path`` as Parquet."""
+                mode: str = "overwrite", cluster_by: Sequence[str] = ()) -> str:
+    """DROP TABLE + CREATE TABLE AS: rewrite ``path`` as Parquet.
+
+    With ``partition_by``, rows are first range-partitioned by the partition
+    columns and then ``cluster_by``: each task holds a contiguous slice of
+    partition values, so it writes one or two directories instead of one
+    file per (task, partition value), and the extra key lets the range
+    bounds split a partition value that holds a large share of the rows.
+    """
+    if partition_by:
+        df = df.repartitionByRange(*partition_by, *cluster_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
