@@ -201,9 +201,10 @@ def category_score_matrix(t) -> DataFrame:
          .join(F.broadcast(top), "product_category_english", "left_semi"))
     piv = (s.groupBy("product_category_english").pivot("review_score", [1, 2, 3, 4, 5])
            .agg(F.count(F.lit(1))).na.fill(0))
-    avg = s.groupBy("product_category_english").agg(avg_exact("review_score").alias("avg_score"),
-                                                    F.count(F.lit(1)).alias("_n"))
-    j = piv.join(avg, "product_category_english")
-    return j.select("product_category_english",
-                    *[pct(F.col(str(k)), F.col("_n")).alias(f"pct_{k}star") for k in range(1, 6)],
-                    "avg_score").orderBy("avg_score", "product_category_english")
+    # One pass: the row total and the mean score follow exactly from the five
+    # counts (scores are the integers 1..5), so no second aggregate or join.
+    n = sum(F.col(str(k)) for k in range(1, 6))
+    mean = sum(F.col(str(k)) * k for k in range(1, 6)).cast("double") / n.cast("double")
+    return piv.select("product_category_english",
+                      *[pct(F.col(str(k)), n).alias(f"pct_{k}star") for k in range(1, 6)],
+                      mean.alias("avg_score")).orderBy("avg_score", "product_category_english")

@@ -23,6 +23,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # In local mode the executors live in the driver JVM: its heap is the
+        # only memory there is (default 1 GB). Set before the JVM starts.
+        builder = builder.config("spark.driver.memory",
+                                 os.environ.get("CARGOLENS_DRIVER_MEMORY", "12g"))
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
