@@ -80,10 +80,12 @@ class Config:
     whatif_min_km: float = 1000.0
     handoff_hours: tuple[int, ...] = (24, 36, 48)
 
-    # Exact percentiles keep a value->count map per group; at very large
-    # scale switch to percentile_approx (accuracy below).
+    # Exact percentiles rank distinct values by value range (bounded tasks,
+    # two passes); percentile_approx is one sketch pass (accuracy below).
     exact_percentiles: bool = True
     approx_accuracy: int = 10000
+    # Key profiles (distinct counts) may use approx_count_distinct at scale.
+    approx_key_profiles: bool = False
 
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 

@@ -40,15 +40,17 @@ def row_col_report(tables: dict[str, DataFrame], names: Sequence[str]) -> DataFr
     return out
 
 
-def key_uniqueness(df: DataFrame, key: str, label: str) -> DataFrame:
+def key_uniqueness(df: DataFrame, key: str, label: str, approx: bool = False) -> DataFrame:
     """count(key), count(distinct key), difference. A single distinct
-    aggregate: Spark dedupes (key) in a first shuffle, then counts."""
-    return df.agg(F.count(key).alias("total"), F.count_distinct(key).alias("uniq")).select(
+    aggregate: Spark dedupes (key) in a first shuffle, then counts.
+    ``approx`` uses a HyperLogLog sketch instead (no shuffle of keys)."""
+    uniq = F.approx_count_distinct(key) if approx else F.count_distinct(key)
+    return df.agg(F.count(key).alias("total"), uniq.alias("uniq")).select(
         F.lit(label).alias("tbl"), "total", "uniq", (F.col("total") - F.col("uniq")).alias("dups"))
 
 
-def distinct_count(df: DataFrame, c: str, alias: str) -> DataFrame:
-    return df.agg(F.count_distinct(c).alias(alias))
+def distinct_count(df: DataFrame, c: str, alias: str, approx: bool = False) -> DataFrame:
+    return df.agg((F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(alias))
 
 
 def null_counts(df: DataFrame, cols: dict[str, str], total: str | None = "total") -> DataFrame:
@@ -111,10 +113,11 @@ def row_count_report(t) -> DataFrame:
 
 @query("inspect_pk_uniqueness")
 def inspect_pk_uniqueness(t) -> DataFrame:
-    parts = [key_uniqueness(t["orders"], "order_id", "orders"),
-             key_uniqueness(t["products"], "product_id", "products"),
-             key_uniqueness(t["sellers"], "seller_id", "sellers"),
-             key_uniqueness(t["customers"], "customer_id", "customers")]
+    a = t.cfg.approx_key_profiles
+    parts = [key_uniqueness(t["orders"], "order_id", "orders", a),
+             key_uniqueness(t["products"], "product_id", "products", a),
+             key_uniqueness(t["sellers"], "seller_id", "sellers", a),
+             key_uniqueness(t["customers"], "customer_id", "customers", a)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -125,10 +128,10 @@ def inspect_pk_uniqueness(t) -> DataFrame:
 def inspect_review_dups(t) -> DataFrame:
     """Two distinct counts, each as its own single-distinct aggregate (one
     row each), instead of one aggregate that would expand every row twice."""
-    r = t["reviews"]
+    r, a = t["reviews"], t.cfg.approx_key_profiles
     total = r.agg(F.count(F.lit(1)).alias("total_rows"))
-    ids = distinct_count(r, "review_id", "unique_review_ids")
-    orders = distinct_count(r, "order_id", "unique_order_ids")
+    ids = distinct_count(r, "review_id", "unique_review_ids", a)
+    orders = distinct_count(r, "order_id", "unique_order_ids", a)
     j = total.crossJoin(ids).crossJoin(orders)  # one-row frames
     return j.select("total_rows", "unique_review_ids", "unique_order_ids",
                     (F.col("total_rows") - F.col("unique_review_ids")).alias("dup_review_ids"),
