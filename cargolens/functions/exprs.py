@@ -35,11 +35,6 @@ def as_double(c: str | Column) -> Column:
     return col(c).cast("double")
 
 
-def safe_div(num: str | Column, den: str | Column) -> Column:
-    """num / den as double; NULL when den is 0 or NULL."""
-    return F.try_divide(as_double(num), as_double(den))
-
-
 def pct(num: str | Column, den: str | Column) -> Column:
     """100 * num / den as double; NULL when den is 0."""
     return F.try_divide(as_double(num) * F.lit(100.0), as_double(den))
@@ -50,10 +45,6 @@ def avg_exact(c: str | Column) -> Column:
     return F.try_divide(F.sum(col(c)).cast("double"), F.count(col(c)).cast("double"))
 
 
-def avg_double(c: str | Column) -> Column:
-    return F.avg(as_double(c))
-
-
 def count_when(cond: Column) -> Column:
     """SUM(CASE WHEN cond THEN 1 ELSE 0 END): 0, never NULL, on no match."""
     return F.coalesce(F.count_if(cond), F.lit(0)).cast("long")

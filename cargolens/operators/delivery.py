@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import stats
-from ..functions.exprs import avg_exact, count_when, ordinal_of, pct, rnd
+from ..functions.exprs import avg_exact, bands, count_when, ordinal_of, pct, rnd
 
 
 def _all():  # only over grouped frames
@@ -24,12 +24,8 @@ ACCURACY_ELSE = "g. 10+ days late"
 
 
 def band_chain(c: str, edges, otherwise: str) -> F.Column:
-    x = F.col(c)
-    expr = None
-    for op, label, bound in edges:
-        cond = x < bound if op == "<" else x <= bound
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr.otherwise(otherwise)
+    """Searched CASE from (comparison, label, bound) triples; first match wins."""
+    return bands(c, edges, otherwise)
 
 
 def late_pct_of(n: F.Column) -> F.Column:

@@ -60,9 +60,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), name)
-
 
 def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
                    max_partitions: int = 200_000) -> int:

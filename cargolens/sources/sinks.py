@@ -36,8 +36,13 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     return path
 
 
-def save_as_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
+def save_as_table(df: DataFrame, name: str, partition_by: Sequence[str] = (),
+                  path: str | None = None) -> None:
+    """CREATE TABLE AS in the session catalog; ``path`` makes it an external
+    table at that location (e.g. the shared checkpoint folder)."""
     w = df.write.mode("overwrite")
+    if path:
+        w = w.option("path", path)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)

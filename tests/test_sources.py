@@ -74,3 +74,34 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert "total_revenue" in df.columns
+
+
+def test_parquet_catalog_and_csv_folder_readers(spark, tables, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cargolens.session import size_for_input
+    from cargolens.sources.schemas import RAW_TABLES
+    from cargolens.sources.sinks import save_as_table
+    base = tmp_path / "raw"
+    for name in RAW_TABLES:
+        tables[name].write.parquet(str(base / name))
+        tables[name].write.option("header", True) \
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(str(tmp_path / "csv" / f"{name}.csv"))
+    pq = readers.parquet_tables(spark, str(base))
+    assert {n: pq[n].count() for n in RAW_TABLES} == {n: tables[n].count() for n in RAW_TABLES}
+    cs = readers.csv_folder(spark, str(tmp_path / "csv"), key_type=LongType())
+    assert cs["payments"].count() == tables["payments"].count()
+    assert cs["payments"].agg(F.sum("payment_value")).first()[0] == \
+        tables["payments"].agg(F.sum("payment_value")).first()[0]
+    save_as_table(tables["sellers"], "cargolens_sellers_t", path=str(tmp_path / "tbl"))
+    assert spark.table("cargolens_sellers_t").count() == tables["sellers"].count()
+    for name in RAW_TABLES:
+        tables[name].createOrReplaceGlobalTempView(name)
+    cat = readers.catalog_tables(spark, "global_temp")
+    assert cat["orders"].count() == tables["orders"].count()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_for_input(spark, 100 * 2**40) == 200_000       # capped
+        assert size_for_input(spark, 10 * 2**30) == 40              # 10 GiB / 256 MiB
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
