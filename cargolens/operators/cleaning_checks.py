@@ -41,69 +41,83 @@ def project(df: DataFrame, cols) -> DataFrame:
 
 @query("translation_fixed")
 def translation_fixed(t) -> DataFrame:
+    """Category translation with the configured missing entries added."""
     return t.translation
 
 
 @query("translation_count")
 def translation_count(t) -> DataFrame:
+    """Rows of the fixed translation table."""
     return clean.translation_count(t.translation)
 
 
 @query("reviews_clean")
 def reviews_clean(t) -> DataFrame:
+    """One review per order (latest answer, then score, then id)."""
     return t.reviews_clean
 
 
 @query("reviews_clean_check")
 def reviews_clean_check(t) -> DataFrame:
+    """Reviews, distinct orders and their difference (should be zero)."""
     return clean.reviews_clean_check(t.reviews_clean)
 
 
 @query("products_clean")
 def products_clean(t) -> DataFrame:
+    """Products with English category, fixed column names, volume and size tier."""
     return t.products_clean
 
 
 @query("products_untranslated_check")
 def products_untranslated_check(t) -> DataFrame:
+    """Products whose category stays 'unknown'."""
     return clean.products_untranslated_check(t.products_clean)
 
 
 @query("orders_clean")
 def orders_clean(t) -> DataFrame:
+    """Orders with calendar columns and guarded delivery metrics."""
     return t.orders_clean
 
 
 @query("orders_clean_check")
 def orders_clean_check(t) -> DataFrame:
+    """Totals, mean delivery/handling/transit/delay days, late count and share."""
     return clean.orders_clean_check(t.orders_clean)
 
 
 @query("payments_clean")
 def payments_clean(t) -> DataFrame:
+    """Payments with the anomaly flag."""
     return project(t.payments_clean, t.payments_clean.columns)
 
 
 @query("payments_order_agg")
 def payments_order_agg(t) -> DataFrame:
+    """Per order, non-anomalous payments: count, primary type, installments, total, methods."""
     return project(t.payments_order_agg, t.payments_order_agg.columns)
 
 
 @query("geolocation_clean")
 def geolocation_clean(t) -> DataFrame:
+    """Zip-prefix centroids with modal city and state."""
     return t.geolocation_clean
 
 
 @query("orders_item_view")
 def orders_item_view(t) -> DataFrame:
+    """The item-level analysis view (window orders with a customer)."""
     return project(t.item_view, VIEW_COLS)
 
 
 @query("orders_summary")
 def orders_summary(t) -> DataFrame:
+    """The order-level summary (window orders with items)."""
     return project(t.orders_summary, SUMMARY_COLS)
 
 
 @query("orders_summary_check")
 def orders_summary_check(t) -> DataFrame:
+    """Orders, average order value, mean delivery days and review score."""
     return model.orders_summary_check(t.orders_summary)

@@ -34,6 +34,7 @@ def late_pct_of(n: F.Column) -> F.Column:
 
 @query("delivery_dashboard")
 def delivery_dashboard(t) -> DataFrame:
+    """Delivered orders: mean/median/p90 delivery days, handling, transit, late share, estimate."""
     d = t.delivered
     base = d.agg(F.count(F.lit(1)).alias("delivered_orders"),
                  rnd(F.avg("delivery_days"), 1).alias("avg_delivery_days"),
@@ -53,6 +54,7 @@ def delivery_dashboard(t) -> DataFrame:
 
 @query("delivery_decomposition_monthly")
 def delivery_decomposition_monthly(t) -> DataFrame:
+    """Per month: handling, transit and total days, late share."""
     n = F.count(F.lit(1))
     return (t.delivered.groupBy("order_month")
             .agg(n.alias("orders"), rnd(F.avg("handling_days"), 1).alias("avg_handling"),
@@ -63,6 +65,7 @@ def delivery_decomposition_monthly(t) -> DataFrame:
 
 @query("delivery_by_state")
 def delivery_by_state(t) -> DataFrame:
+    """Customer states with 50+ delivered orders: delivery times, delay, late share, review."""
     n = F.count(F.lit(1))
     g = (t.delivered.groupBy("customer_state")
          .agg(n.alias("orders"), F.avg("delivery_days").alias("_d"),
@@ -103,6 +106,7 @@ def route_type() -> F.Column:
 
 @query("route_comparison")
 def route_comparison(t) -> DataFrame:
+    """Same-state vs cross-state items: delivery times, freight, late share, review."""
     n = F.count(F.lit(1))
     return (t.item_view.where(F.col("delivery_days").isNotNull())
             .groupBy(route_type().alias("route_type"))
@@ -116,6 +120,7 @@ def route_comparison(t) -> DataFrame:
 
 @query("estimate_accuracy_bands")
 def estimate_accuracy_bands(t) -> DataFrame:
+    """Scored deliveries by delay band (10/5/0 days): orders, share, review."""
     g = (t.reviewed_delivered
          .groupBy(band_chain("delay_days", ACCURACY_BANDS, ACCURACY_ELSE).alias("delivery_bucket"))
          .agg(F.count(F.lit(1)).alias("orders"), avg_exact("review_score").alias("_r")))
@@ -126,6 +131,7 @@ def estimate_accuracy_bands(t) -> DataFrame:
 
 @query("late_root_cause")
 def late_root_cause(t) -> DataFrame:
+    """Late vs on-time deliveries: handling, transit, total and estimated days."""
     return (t.delivered.groupBy(F.when(F.col("is_late"), "Late").otherwise("On Time").alias("status"))
             .agg(F.count(F.lit(1)).alias("orders"),
                  rnd(F.avg("handling_days"), 1).alias("avg_handling"),
@@ -138,12 +144,14 @@ def late_root_cause(t) -> DataFrame:
 
 @query("delivery_histograms")
 def delivery_histograms(t) -> DataFrame:
+    """50-bin histograms of delivery days and delay days."""
     d, b = t.delivered, t.cfg.delivery_hist_bins
     return stats.histogram(d, "delivery_days", b).unionByName(stats.histogram(d, "delay_days", b))
 
 
 @query("delivery_stats")
 def delivery_stats(t) -> DataFrame:
+    """Delivery days: mean, median, standard deviation, p90."""
     d = t.delivered
     m = d.agg(rnd(F.avg("delivery_days"), 4).alias("mean_days"),
               rnd(F.stddev_samp("delivery_days"), 4).alias("std_days"))
@@ -155,6 +163,7 @@ def delivery_stats(t) -> DataFrame:
 
 @query("late_component_gap")
 def late_component_gap(t) -> DataFrame:
+    """Mean handling and transit days, late vs on time."""
     return (t.delivered.groupBy(F.when(F.col("is_late"), "Late").otherwise("On Time").alias("status"))
             .agg(rnd(F.avg("handling_days"), 4).alias("avg_handling"),
                  rnd(F.avg("transit_days"), 4).alias("avg_transit")))
@@ -173,6 +182,7 @@ def mann_whitney_route(t) -> DataFrame:
 
 @query("mann_whitney_route_test")
 def mann_whitney_route_test(t) -> DataFrame:
+    """mann_whitney_route with the one-sided p-value and the 0.001 verdict."""
     m = stats.mann_whitney_test(
         stats.mann_whitney(_route_sample(t), "delivery_days", route_type(), "Same State"))
     return m.withColumn("same_state_faster", F.col("p_value") < 0.001)
@@ -180,6 +190,7 @@ def mann_whitney_route_test(t) -> DataFrame:
 
 @query("state_delivery_bands")
 def state_delivery_bands(t) -> DataFrame:
+    """States with 50+ deliveries: delivery days, late share and its colour band."""
     cfg = t.cfg
     n = F.count(F.lit(1))
     g = (t.delivered.groupBy("customer_state")
@@ -197,6 +208,7 @@ def state_delivery_bands(t) -> DataFrame:
 
 @query("delivery_buffer")
 def delivery_buffer(t) -> DataFrame:
+    """Mean estimated vs mean actual delivery days, and the gap."""
     d = t.delivered.agg(F.avg("estimated_delivery_days").alias("e"), F.avg("delivery_days").alias("a"))
     return d.select(rnd("e", 4).alias("avg_estimated_days"), rnd("a", 4).alias("avg_actual_days"),
                     rnd(F.col("e") - F.col("a"), 4).alias("buffer_days"))
@@ -204,6 +216,7 @@ def delivery_buffer(t) -> DataFrame:
 
 @query("delivery_buffer_histograms")
 def delivery_buffer_histograms(t) -> DataFrame:
+    """40-bin histograms of estimated and actual delivery days."""
     d, b = t.delivered, t.cfg.buffer_hist_bins
     return (stats.histogram(d, "estimated_delivery_days", b)
             .unionByName(stats.histogram(d, "delivery_days", b, "actual_delivery_days")))
@@ -228,6 +241,7 @@ def processing_time_stats(t) -> DataFrame:
 
 @query("transit_time_stats")
 def transit_time_stats(t) -> DataFrame:
+    """Carrier -> customer days: mean, median, p90."""
     return _two_quantiles(t, "transit_days")
 
 

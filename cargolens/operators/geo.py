@@ -58,6 +58,7 @@ def distance_band(t, c: str = "distance_km") -> F.Column:
 
 @query("seller_customer_distance")
 def seller_customer_distance(t) -> DataFrame:
+    """Every view item with its seller -> customer centroid distance (km)."""
     return item_distances(t).select("order_id", "order_item_id", "seller_id", "customer_state",
                                     "seller_state", rnd("distance_km", 3).alias("distance_km"),
                                     F.col("freight_value").cast("double").alias("freight_value"))
@@ -65,6 +66,7 @@ def seller_customer_distance(t) -> DataFrame:
 
 @query("freight_by_distance")
 def freight_by_distance(t) -> DataFrame:
+    """Items, mean freight and share per distance band (<100 ... 2000+ km)."""
     d = item_distances(t).where(F.col("distance_km").isNotNull())
     g = (d.groupBy(distance_band(t).alias("distance_band"))
          .agg(F.count(F.lit(1)).alias("items"), avg_exact("freight_value").alias("_f")))
@@ -75,6 +77,7 @@ def freight_by_distance(t) -> DataFrame:
 
 @query("freight_per_km")
 def freight_per_km(t) -> DataFrame:
+    """OLS of freight on distance: slope per km, intercept, r^2."""
     d = (item_distances(t).where(F.col("distance_km").isNotNull())
          .withColumn("freight", F.col("freight_value").cast("double")))
     return stats.ols(d, "distance_km", "freight")
@@ -101,6 +104,7 @@ def freight_by_weight_band(t) -> DataFrame:
 
 @query("route_freight")
 def route_freight(t) -> DataFrame:
+    """Same-state vs cross-state items: mean freight and share of items."""
     from .delivery import route_type
     g = (t.item_view.groupBy(route_type().alias("route_type"))
          .agg(F.count(F.lit(1)).alias("items"), avg_exact("freight_value").alias("_f")))
@@ -162,6 +166,7 @@ def state_supply_demand(t) -> DataFrame:
 
 @query("top_state_share")
 def top_state_share(t) -> DataFrame:
+    """Cumulative order share of the top customer states."""
     g = t.orders_summary.groupBy("customer_state").agg(F.count(F.lit(1)).alias("orders"))
     w = Window.orderBy(F.desc("orders"), "customer_state")
     r = g.select("customer_state", "orders", F.row_number().over(w).cast("long").alias("rank"),

@@ -59,6 +59,7 @@ def ranked_categories(t) -> DataFrame:
 
 @query("category_pareto")
 def category_pareto(t) -> DataFrame:
+    """Category revenue rank, cumulative share and Top 80% / Long Tail label."""
     r = ranked_categories(t)
     share = pct(F.col("cumulative"), F.col("grand_total"))
     return r.select(
@@ -70,6 +71,7 @@ def category_pareto(t) -> DataFrame:
 
 @query("freight_ratio_by_category")
 def freight_ratio_by_category(t) -> DataFrame:
+    """Categories with 100+ items by freight as a share of price."""
     g = (t.item_view.where(F.col("product_category_english") != "unknown")
          .groupBy("product_category_english")
          .agg(F.count(F.lit(1)).alias("items_sold"),
@@ -95,6 +97,7 @@ def items_in_window(t) -> DataFrame:
 
 @query("size_tier_freight")
 def size_tier_freight(t) -> DataFrame:
+    """Per size tier (known weight): items, price, freight, freight share, review."""
     g = (items_in_window(t).where(F.col("product_size_tier") != "unknown")
          .groupBy("product_size_tier")
          .agg(F.count(F.lit(1)).alias("items_sold"), avg_exact("price").alias("ap"),
@@ -107,6 +110,7 @@ def size_tier_freight(t) -> DataFrame:
 
 @query("top5_category_trend")
 def top5_category_trend(t) -> DataFrame:
+    """Monthly revenue and orders of the five top-revenue categories."""
     v = t.item_view
     top = (v.groupBy("product_category_english").agg(F.sum("price").alias("rev"))
            .orderBy(F.desc("rev"), "product_category_english").limit(t.cfg.top_trend_categories)
@@ -129,6 +133,7 @@ def photo_bucket(c: str) -> F.Column:
 
 @query("photo_bucket_reviews")
 def photo_bucket_reviews(t) -> DataFrame:
+    """Items, review and price by number of product photos."""
     g = (items_in_window(t).groupBy(photo_bucket("product_photos_qty").alias("photo_bucket"))
          .agg(F.count(F.lit(1)).alias("items"), avg_exact("review_score").alias("ar"),
               avg_exact("price").alias("ap")))
@@ -169,6 +174,7 @@ def pareto_point(t) -> DataFrame:
 
 @query("freight_risk_bands")
 def freight_risk_bands(t) -> DataFrame:
+    """Top categories by freight ratio, banded >50 % / >30 % / normal."""
     cfg = t.cfg
     g = (_cat_agg(t.item_view.where(F.col("product_category_english") != "unknown"))
          .where(F.col("items") >= cfg.min_items_freight_ratio))
@@ -183,6 +189,7 @@ def freight_risk_bands(t) -> DataFrame:
 
 @query("description_length_buckets")
 def description_length_buckets(t) -> DataFrame:
+    """Items and mean review by description length bin (right-closed)."""
     b = right_closed_bins("product_description_length", DESC_EDGES, DESC_LABELS)
     g = (t.item_view.where(b.isNotNull()).groupBy(b.alias("desc_bucket"))
          .agg(F.count(F.lit(1)).alias("items"), avg_exact("review_score").alias("avg_review")))

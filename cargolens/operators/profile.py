@@ -102,6 +102,7 @@ RAW_ORDER = ("orders", "order_items", "customers", "payments", "reviews", "produ
 
 @query("inspect_row_counts")
 def inspect_row_counts(t) -> DataFrame:
+    """Rows per raw table, largest first."""
     return row_counts(t.raw, RAW_ORDER).orderBy(F.desc("row_count"), "table_name")
 
 
@@ -113,6 +114,7 @@ def row_count_report(t) -> DataFrame:
 
 @query("inspect_pk_uniqueness")
 def inspect_pk_uniqueness(t) -> DataFrame:
+    """Total, distinct and duplicate keys of orders, products, sellers, customers."""
     a = t.cfg.approx_key_profiles
     parts = [key_uniqueness(t["orders"], "order_id", "orders", a),
              key_uniqueness(t["products"], "product_id", "products", a),
@@ -140,6 +142,7 @@ def inspect_review_dups(t) -> DataFrame:
 
 @query("inspect_multi_review_orders")
 def inspect_multi_review_orders(t) -> DataFrame:
+    """Orders with several reviews, widest score spread first (top 10)."""
     g = (t["reviews"].groupBy("order_id")
          .agg(F.count(F.lit(1)).alias("review_count"), F.min("review_score").alias("min_score"),
               F.max("review_score").alias("max_score"))
@@ -150,6 +153,7 @@ def inspect_multi_review_orders(t) -> DataFrame:
 
 @query("inspect_customer_identity")
 def inspect_customer_identity(t) -> DataFrame:
+    """Customer ids vs unique customers and orders per customer."""
     c = t["customers"]
     j = distinct_count(c, "customer_id", "customer_ids").crossJoin(
         distinct_count(c, "customer_unique_id", "unique_customers"))
@@ -169,11 +173,13 @@ ORDER_NULL_COLS = {"order_id": "null_order_id", "customer_id": "null_customer_id
 
 @query("audit_nulls_orders")
 def audit_nulls_orders(t) -> DataFrame:
+    """NULL count of each order column."""
     return null_counts(t["orders"], ORDER_NULL_COLS)
 
 
 @query("audit_nulls_by_status")
 def audit_nulls_by_status(t) -> DataFrame:
+    """Missing dates by order status."""
     n = F.count(F.lit(1))
     nd = count_when(F.col("order_delivered_customer_date").isNull())
     return (t["orders"].groupBy("order_status")
@@ -186,6 +192,7 @@ def audit_nulls_by_status(t) -> DataFrame:
 
 @query("audit_delivered_without_date")
 def audit_delivered_without_date(t) -> DataFrame:
+    """Orders marked delivered with no delivery date."""
     return (t["orders"].where((F.col("order_status") == "delivered")
                               & F.col("order_delivered_customer_date").isNull())
             .select("order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
@@ -195,6 +202,7 @@ def audit_delivered_without_date(t) -> DataFrame:
 
 @query("audit_nulls_products")
 def audit_nulls_products(t) -> DataFrame:
+    """NULL count of the product columns."""
     return null_counts(t["products"], {
         "product_category_name": "null_category", "product_name_lenght": "null_name_len",
         "product_description_lenght": "null_desc_len", "product_photos_qty": "null_photos",
@@ -203,6 +211,7 @@ def audit_nulls_products(t) -> DataFrame:
 
 @query("audit_review_comments")
 def audit_review_comments(t) -> DataFrame:
+    """Reviews with a title, with a message, and the comment share."""
     n = F.count(F.lit(1))
     msg = count_when(F.col("review_comment_message").isNotNull())
     return t["reviews"].agg(n.alias("total"),
@@ -212,6 +221,7 @@ def audit_review_comments(t) -> DataFrame:
 
 @query("comment_rate_by_score")
 def comment_rate_by_score(t) -> DataFrame:
+    """Comment share per review score."""
     n = F.count(F.lit(1))
     msg = count_when(F.col("review_comment_message").isNotNull())
     return (t["reviews"].groupBy("review_score")
@@ -271,6 +281,7 @@ def orphan_checks(t) -> DataFrame:
 
 @query("orphan_orders_by_status")
 def orphan_orders_by_status(t) -> DataFrame:
+    """Orders without items, by status."""
     items = t["order_items"].select("order_id")
     return (t["orders"].join(items, "order_id", "left_anti").groupBy("order_status")
             .agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "order_status"))
@@ -301,6 +312,7 @@ def category_coverage_gap(t) -> DataFrame:
 
 @query("order_date_range")
 def order_date_range(t) -> DataFrame:
+    """First and last purchase and the span in days."""
     g = t["orders"].agg(F.min("order_purchase_timestamp").alias("first_order"),
                         F.max("order_purchase_timestamp").alias("last_order"))
     return g.withColumn("span_days", F.datediff(F.col("last_order").cast("date"),
@@ -309,6 +321,7 @@ def order_date_range(t) -> DataFrame:
 
 @query("monthly_volume_cancel_rate")
 def monthly_volume_cancel_rate(t) -> DataFrame:
+    """Orders and cancellation share per month (all orders)."""
     n = F.count(F.lit(1))
     return (t["orders"].groupBy(month_start("order_purchase_timestamp").alias("month"))
             .agg(n.alias("orders"),
@@ -318,6 +331,7 @@ def monthly_volume_cancel_rate(t) -> DataFrame:
 
 @query("hourly_volume_raw")
 def hourly_volume_raw(t) -> DataFrame:
+    """Orders per hour of day (all orders)."""
     return (t["orders"].groupBy(F.hour("order_purchase_timestamp").alias("hour_of_day"))
             .agg(F.count(F.lit(1)).alias("orders")).orderBy("hour_of_day"))
 
@@ -328,6 +342,7 @@ PRICE_NAMES = ("p10", "p25", "median", "p75", "p90", "p99")
 
 @query("price_distribution")
 def price_distribution(t) -> DataFrame:
+    """Item price: count, min, p10-p99, max, mean, standard deviation."""
     i = t["order_items"]
     base = i.agg(F.count(F.lit(1)).alias("items"), F.min("price").cast("double").alias("min_price"),
                  F.max("price").cast("double").alias("max_price"),
@@ -342,6 +357,7 @@ def price_distribution(t) -> DataFrame:
 
 @query("freight_distribution")
 def freight_distribution(t) -> DataFrame:
+    """Item freight: min, median, p90, p99, max, mean, zero-freight items."""
     i = t["order_items"]
     base = i.agg(F.min("freight_value").cast("double").alias("min_freight"),
                  F.max("freight_value").cast("double").alias("max_freight"),
@@ -357,12 +373,14 @@ def freight_distribution(t) -> DataFrame:
 
 @query("items_per_order_dist")
 def items_per_order_dist(t) -> DataFrame:
+    """Orders by number of items, with shares."""
     per = t["order_items"].groupBy("order_id").agg(F.count(F.lit(1)).alias("items_per_order"))
     return share_table(per, "items_per_order", "order_count").orderBy("items_per_order")
 
 
 @query("payment_profile")
 def payment_profile(t) -> DataFrame:
+    """Per payment type: count, zero values, zero installments, min/max/mean value."""
     return (t["payments"].groupBy("payment_type")
             .agg(F.count(F.lit(1)).alias("count"),
                  count_when(F.col("payment_value") == 0).alias("zero_value"),
@@ -375,6 +393,7 @@ def payment_profile(t) -> DataFrame:
 
 @query("review_score_dist_raw")
 def review_score_dist_raw(t) -> DataFrame:
+    """Raw reviews per score: count, share, cumulative count."""
     s = share_table(t["reviews"], "review_score")
     # RANGE frame over the (five-row) grouped frame, as SUM(COUNT(*)) OVER (ORDER BY ...).
     return s.withColumn("cumulative", F.sum("count").over(Window.orderBy("review_score"))
@@ -383,21 +402,25 @@ def review_score_dist_raw(t) -> DataFrame:
 
 @query("order_status_dist")
 def order_status_dist(t) -> DataFrame:
+    """Orders per status, with shares."""
     return share_table(t["orders"], "order_status").orderBy(F.desc("count"), "order_status")
 
 
 @query("customer_state_concentration")
 def customer_state_concentration(t) -> DataFrame:
+    """Top 10 customer states by customers, with shares."""
     return top_share(t["customers"], "customer_state", "customers", t.cfg.top_states)
 
 
 @query("seller_state_concentration")
 def seller_state_concentration(t) -> DataFrame:
+    """Top 10 seller states by sellers, with shares."""
     return top_share(t["sellers"], "seller_state", "sellers", t.cfg.top_states)
 
 
 @query("geo_points_per_zip")
 def geo_points_per_zip(t) -> DataFrame:
+    """Geolocation points, zip prefixes and points per prefix."""
     g = t["geolocation"]
     j = g.agg(F.count(F.lit(1)).alias("total_points")).crossJoin(
         distinct_count(g, "geolocation_zip_code_prefix", "unique_zips"))
@@ -408,6 +431,7 @@ def geo_points_per_zip(t) -> DataFrame:
 
 @query("null_scan")
 def null_scan_query(t) -> DataFrame:
+    """Columns with NULLs in six raw tables, with counts and shares."""
     out = None
     for n in ("orders", "order_items", "customers", "payments", "reviews", "products"):
         one = null_scan(t[n], n)

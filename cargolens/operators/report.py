@@ -70,6 +70,7 @@ def executive_kpis_raw(t) -> DataFrame:
 
 @query("executive_kpis")
 def executive_kpis(t) -> DataFrame:
+    """The 17 summary figures: sales, products, delivery, satisfaction."""
     k = executive_kpis_raw(t)
     return k.select(
         rnd("total_revenue", 2).alias("total_revenue"), "total_orders", "unique_customers",

@@ -25,6 +25,7 @@ def share_of_total(c: str) -> F.Column:
 
 @query("monthly_sales")
 def monthly_sales(t) -> DataFrame:
+    """Per month: orders, revenue, freight, GMV, average order value, items per order."""
     # One row per order in the summary, so COUNT(DISTINCT order_id) is a count.
     return (t.orders_summary.groupBy("order_month")
             .agg(F.count(F.lit(1)).alias("order_count"),
@@ -91,6 +92,7 @@ def yoy_growth_unrounded(t) -> DataFrame:
 
 @query("revenue_by_payment_type")
 def revenue_by_payment_type(t) -> DataFrame:
+    """Per primary payment type: orders, share of orders, value, averages."""
     g = (t.orders_summary.where(F.col("primary_payment_type").isNotNull())
          .groupBy("primary_payment_type")
          .agg(F.count(F.lit(1)).alias("order_count"),
@@ -108,6 +110,7 @@ def revenue_by_payment_type(t) -> DataFrame:
 
 @query("installment_behavior")
 def installment_behavior(t) -> DataFrame:
+    """Credit-card orders by installments 1-12: orders, order value, review."""
     return (t.orders_summary
             .where((F.col("primary_payment_type") == "credit_card")
                    & F.col("max_installments").between(1, 12))
@@ -129,6 +132,7 @@ def day_name(c: str) -> F.Column:
 
 @query("sales_by_weekday")
 def sales_by_weekday(t) -> DataFrame:
+    """Per day of week (0 = Sunday): orders, revenue, average order value."""
     return (t.orders_summary.groupBy("order_day_of_week")
             .agg(F.count(F.lit(1)).alias("order_count"),
                  rnd(F.sum("order_revenue"), 2).alias("total_revenue"),
@@ -140,6 +144,7 @@ def sales_by_weekday(t) -> DataFrame:
 
 @query("sales_by_hour")
 def sales_by_hour(t) -> DataFrame:
+    """Per hour of purchase: orders and revenue."""
     return (t.orders_summary.groupBy("order_hour")
             .agg(F.count(F.lit(1)).alias("order_count"),
                  rnd(F.sum("order_revenue"), 2).alias("revenue"))
@@ -148,6 +153,7 @@ def sales_by_hour(t) -> DataFrame:
 
 @query("top_states_by_revenue")
 def top_states_by_revenue(t) -> DataFrame:
+    """Top customer states by revenue; the order share is over all states."""
     g = (t.orders_summary.groupBy("customer_state")
          .agg(F.count(F.lit(1)).alias("orders"),
               F.count_distinct("customer_unique_id").alias("unique_customers"),
@@ -170,6 +176,7 @@ def customer_orders(t) -> DataFrame:
 
 @query("repeat_customer_segments")
 def repeat_customer_segments(t) -> DataFrame:
+    """Customers by order count (1, 2, 3, 4+): share, lifetime value, revenue share."""
     n = F.col("order_count")
     seg = (F.when(n == 1, "1 order").when(n == 2, "2 orders").when(n == 3, "3 orders")
            .otherwise("4+ orders"))
@@ -222,6 +229,7 @@ def aov_trend_significance(t) -> DataFrame:
 
 @query("payment_share")
 def payment_share(t) -> DataFrame:
+    """Order total by primary payment type and its share (the pie chart's data)."""
     g = (t.orders_summary.where(F.col("primary_payment_type").isNotNull())
          .groupBy("primary_payment_type").agg(F.sum("order_total").alias("_v")))
     return g.select("primary_payment_type", rnd("_v", 2).alias("total_value"),
@@ -239,6 +247,7 @@ def installment_spearman(t) -> DataFrame:
 
 @query("installment_spearman_test")
 def installment_spearman_test(t) -> DataFrame:
+    """installment_spearman with its two-sided p-value."""
     cc = t.orders_summary.where(F.col("primary_payment_type") == "credit_card")
     return stats.spearman_test(stats.spearman(cc, [("primary_installments", "order_revenue")]))
 
@@ -256,6 +265,7 @@ def repeat_customers(t) -> DataFrame:
 
 @query("peak_hour")
 def peak_hour(t) -> DataFrame:
+    """The hour with most orders (ties to the earlier hour)."""
     h = t.orders_summary.groupBy("order_hour").agg(F.count(F.lit(1)).alias("orders"))
     key = F.struct(F.col("orders"), -F.col("order_hour"))
     return h.agg(F.max_by("order_hour", key).alias("peak_hour"),

@@ -36,6 +36,7 @@ def share(cond: F.Column, n: F.Column | None = None) -> F.Column:
 
 @query("review_distribution")
 def review_distribution(t) -> DataFrame:
+    """Per review score: orders, share, commented orders, comment rate."""
     g = (t.reviewed.groupBy("review_score")
          .agg(F.count(F.lit(1)).alias("count"),
               count_when(F.col("has_comment")).alias("with_comment"),
@@ -47,6 +48,7 @@ def review_distribution(t) -> DataFrame:
 
 @query("review_by_delivery_outcome")
 def review_by_delivery_outcome(t) -> DataFrame:
+    """Late vs on-time scored deliveries: mean score, 5-star, 1-star, low shares."""
     s = t.reviewed.where(F.col("delivery_days").isNotNull())
     score = F.col("review_score")
     return s.groupBy(F.when(F.col("is_late"), "Late").otherwise("On Time / Early")
@@ -58,6 +60,7 @@ def review_by_delivery_outcome(t) -> DataFrame:
 
 @query("delay_bands_reviews")
 def delay_bands_reviews(t) -> DataFrame:
+    """Scored deliveries by delay band (7/3/0 days): mean score, 5-star and 1-star shares."""
     score = F.col("review_score")
     return (t.reviewed_delivered
             .groupBy(band_chain("delay_days", DELAY_BANDS, DELAY_ELSE).alias("delay_bucket"))
@@ -73,6 +76,7 @@ def _late_of_delivered() -> F.Column:
 
 @query("lowest_rated_categories")
 def lowest_rated_categories(t) -> DataFrame:
+    """Categories with 50+ scored orders, lowest mean score first."""
     g = (t.item_view.where(F.col("review_score").isNotNull()).groupBy("product_category_english")
          .agg(F.count_distinct("order_id").alias("orders"),
               avg_exact("review_score").alias("_s"),
@@ -87,6 +91,7 @@ def lowest_rated_categories(t) -> DataFrame:
 
 @query("review_by_state")
 def review_by_state(t) -> DataFrame:
+    """States with 50+ scored orders: score, low share, delivery days, late share."""
     g = (t.reviewed.groupBy("customer_state")
          .agg(F.count(F.lit(1)).alias("orders"), avg_exact("review_score").alias("_s"),
               rnd(share(F.col("review_score") <= 2), 1).alias("pct_low"),
@@ -99,6 +104,7 @@ def review_by_state(t) -> DataFrame:
 
 @query("multi_factor_satisfaction")
 def multi_factor_satisfaction(t) -> DataFrame:
+    """Late x freight tier x single/multi item: orders (30+), score, 1-star share."""
     cfg = t.cfg
     s = t.reviewed.where(F.col("delivery_days").isNotNull())
     # NULL freight_pct is not > 30, so it is 'Normal Freight' (as the SQL).
@@ -116,6 +122,7 @@ def multi_factor_satisfaction(t) -> DataFrame:
 
 @query("seller_state_dissatisfaction")
 def seller_state_dissatisfaction(t) -> DataFrame:
+    """Seller states with 50+ scored orders, lowest mean review first."""
     g = (t.item_view.where(F.col("review_score").isNotNull()).groupBy("seller_state")
          .agg(F.count_distinct("order_id").alias("orders"), avg_exact("review_score").alias("_r"),
               rnd(F.avg("delivery_days"), 1).alias("avg_delivery"),
@@ -131,6 +138,7 @@ def seller_state_dissatisfaction(t) -> DataFrame:
 
 @query("score_distribution")
 def score_distribution(t) -> DataFrame:
+    """Orders and share per review score (unrounded)."""
     g = t.reviewed.groupBy("review_score").agg(F.count(F.lit(1)).alias("orders"))
     return g.select("review_score", "orders",
                     pct(F.col("orders"), F.sum("orders").over(_all())).alias("pct")).orderBy("review_score")
@@ -138,11 +146,13 @@ def score_distribution(t) -> DataFrame:
 
 @query("delay_spearman")
 def delay_spearman(t) -> DataFrame:
+    """Rank correlation of delay days with review score."""
     return stats.spearman(t.reviewed_delivered, [("delay_days", "review_score")])
 
 
 @query("delay_spearman_test")
 def delay_spearman_test(t) -> DataFrame:
+    """delay_spearman with its two-sided p-value and significance stars."""
     return stats.spearman_test(stats.spearman(t.reviewed_delivered, [("delay_days", "review_score")]))
 
 
@@ -192,11 +202,13 @@ def _drivers_frame(t) -> DataFrame:
 
 @query("spearman_drivers")
 def spearman_drivers(t) -> DataFrame:
+    """Rank correlation of eight order measures with review score (listwise complete rows)."""
     return stats.spearman(_drivers_frame(t), [(c, "review_score") for c in DRIVER_MEASURES])
 
 
 @query("spearman_drivers_test")
 def spearman_drivers_test(t) -> DataFrame:
+    """spearman_drivers with p-values and significance stars."""
     return stats.spearman_test(
         stats.spearman(_drivers_frame(t), [(c, "review_score") for c in DRIVER_MEASURES]))
 
@@ -220,6 +232,7 @@ def spearman_matrix(t) -> DataFrame:
 
 @query("late_freight_crosstab")
 def late_freight_crosstab(t) -> DataFrame:
+    """Late x freight tier (no minimum size): orders, score, 1-star share."""
     s = t.reviewed_delivered
     high = F.coalesce(F.col("freight_pct") > t.cfg.high_freight_pct, F.lit(False))
     return (s.groupBy(F.when(F.col("is_late"), "Late").otherwise("On Time").alias("late_label"),

@@ -45,6 +45,7 @@ def fact_order_economics(t) -> DataFrame:
 
 @query("dim_seller")
 def dim_seller(t) -> DataFrame:
+    """Seller dimension with zip centroid."""
     g = t.geolocation_clean.select(F.col("geolocation_zip_code_prefix").alias("seller_zip_code_prefix"),
                                    F.col("avg_lat").alias("lat"), F.col("avg_lng").alias("lng"))
     return t["sellers"].join(F.broadcast(g), "seller_zip_code_prefix", "left").select(
@@ -69,6 +70,7 @@ def dim_customer(t) -> DataFrame:
 
 @query("dim_product")
 def dim_product(t) -> DataFrame:
+    """Product dimension (the cleaned products)."""
     return t.products_clean
 
 
@@ -89,6 +91,7 @@ def dim_date(t) -> DataFrame:
 
 @query("dim_geography")
 def dim_geography(t) -> DataFrame:
+    """Zip-prefix dimension (centroid, modal city and state)."""
     return t.geolocation_clean
 
 
