@@ -22,6 +22,7 @@ import statistics
 import sys
 import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -58,13 +59,15 @@ def main() -> None:
     from cargolens.catalog import QUERIES
     from cargolens.plans.registry import load_all
     from cargolens.plans.tables import driver_tables
-    from cargolens.session import get_session
+    from cargolens.session import checkpoint_dir, get_session
 
-    scratch = tempfile.mkdtemp(prefix="cargolens-bench-")
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
     spark.sparkContext.setLogLevel("ERROR")
+    # The model goes to the shared folder named by spark.checkpoint.dir; a
+    # fresh scratch folder is used only when the session names none.
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", scratch)
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cargolens-bench-"))
+    scratch = os.path.join(checkpoint_dir(spark), f"bench-{uuid.uuid4().hex[:8]}")
     load_all()
 
     times: dict[str, float] = {}
