@@ -156,13 +156,17 @@ def average_ranks(vc: DataFrame, n_distinct: int | None = None) -> DataFrame:
     else:
         rng = F.lit(0)
     x = vc.withColumn("rng", rng)
+    within = Window.partitionBy("rng").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = x.withColumn("before", F.sum("cnt").over(within) - F.col("cnt"))
+    mid = (F.col("cnt").cast("double") + 1.0) / 2.0
+    if not splits:
+        # One range: no offsets, and no second pass over the distinct values.
+        return ranked.select("v", "cnt", (F.col("before").cast("double") + mid).alias("rank"))
     totals = x.groupBy("rng").agg(F.sum("cnt").alias("rng_total"))
     # One row per range (at most MAX_RANGES): a global window is fine here.
     offsets = totals.withColumn(
         "offset", F.coalesce(F.sum("rng_total").over(
             Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("rng").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = x.withColumn("before", F.sum("cnt").over(within) - F.col("cnt"))
     return (ranked.join(F.broadcast(offsets.select("rng", "offset")), "rng")
             .select("v", "cnt",
                     (F.col("offset") + F.col("before")).cast("double")
