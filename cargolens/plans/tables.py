@@ -101,7 +101,7 @@ class Tables:
 
     def materialize(self, path: str | None = None,
                     names: tuple[str, ...] = STAGE1 + STAGE2,
-                    raw_names: tuple[str, ...] = ()) -> "Tables":
+                    raw_names: tuple[str, ...] = (), parallel: int = 4) -> "Tables":
         """Write the shared derived tables as Parquet and read them back.
 
         ``path`` defaults to a folder under ``spark.checkpoint.dir`` (a shared
@@ -110,25 +110,34 @@ class Tables:
         is computed twice. The summary and the view are partitioned by month,
         so month filters prune files. ``raw_names`` also writes raw tables
         that are themselves computed (the driver-table adapter's), so they
-        are built once.
+        are built once. Independent writes of a stage are submitted from up
+        to ``parallel`` threads, so Spark can schedule them side by side when
+        one job alone does not fill the cluster.
         """
+        from concurrent.futures import ThreadPoolExecutor
+
         base = path or os.path.join(checkpoint_dir(self.spark), "model")
+
+        def run_stage(jobs: list[tuple[str, DataFrame, tuple, tuple]]) -> None:
+            def one(job):
+                out, df, part, cluster = job
+                write_table(df, out, partition_by=part, cluster_by=cluster)
+            with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+                list(pool.map(one, jobs))
+
         raw = dict(self.raw)
-        for name in raw_names:
-            out = os.path.join(base, "raw", name)
-            write_table(self.raw[name], out)
-            raw[name] = self.spark.read.parquet(out)
+        run_stage([(os.path.join(base, "raw", n), self.raw[n], (), ()) for n in raw_names])
+        for n in raw_names:
+            raw[n] = self.spark.read.parquet(os.path.join(base, "raw", n))
         derived: dict[str, DataFrame] = {}
         current: Tables = Tables(self.spark, raw, self.cfg)
         for stage in (self.STAGE1, self.STAGE2):
-            for name in stage:
-                if name not in names:
-                    continue
-                out = os.path.join(base, name)
-                part = ("order_month",) if name in self.STAGE2 else ()
-                write_table(getattr(current, name), out, partition_by=part,
-                            cluster_by=("order_id",) if part else ())
-                derived[name] = self.spark.read.parquet(out)
+            todo = [n for n in stage if n in names]
+            part = ("order_month",) if stage is self.STAGE2 else ()
+            cluster = ("order_id",) if part else ()
+            run_stage([(os.path.join(base, n), getattr(current, n), part, cluster) for n in todo])
+            for n in todo:
+                derived[n] = self.spark.read.parquet(os.path.join(base, n))
             current = Tables(self.spark, raw, self.cfg, dict(derived))
         return current
 
