@@ -174,8 +174,10 @@ def average_ranks(vc: DataFrame, n_distinct: int | None = None) -> DataFrame:
             .toDF("v", "cnt", "rank"))
 
 
-def _spearman_one(df: DataFrame, x: str, y: str, nd: dict) -> DataFrame:
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+def _spearman_one(df: DataFrame, x: str, y: str, nd: dict, listwise: bool = False) -> DataFrame:
+    # Listwise input has no NULLs left: every pair then ranks the same frame,
+    # so the rank subtrees of a shared column are identical and reused.
+    d = df if listwise else df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = d.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w"))
     rx = average_ranks(value_counts(d, x), nd[x]).select(F.col("v").alias("x"),
                                                          F.col("rank").alias("rx"))
@@ -202,19 +204,25 @@ def distinct_estimates(df: DataFrame, cols: Sequence[str]) -> dict:
     return {c: int(r[c] or 0) for c in cols}
 
 
-def spearman_raw(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    nd = distinct_estimates(df, [c for p in pairs for c in p])
+def spearman_raw(df: DataFrame, pairs: Sequence[tuple[str, str]],
+                 listwise: bool = False) -> DataFrame:
+    """``listwise``: drop rows with a NULL in any pair column first (the
+    notebook's dropna), instead of pair by pair."""
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    if listwise:
+        df = df.dropna(subset=cols)
+    nd = distinct_estimates(df, cols)
     out = None
     for x, y in pairs:
-        one = _spearman_one(df, x, y, nd)
+        one = _spearman_one(df, x, y, nd, listwise)
         out = one if out is None else out.unionByName(one)
     return out.withColumn(
         "t_stat", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2.0, 1.0 - F.col("rho") ** 2)))
 
 
-def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], listwise: bool = False) -> DataFrame:
     """One row per (x, y): n, rho, t (rounded to 6 places)."""
-    return spearman_raw(df, pairs).select("x", "y", "n", rnd("rho", 6).alias("rho"),
+    return spearman_raw(df, pairs, listwise).select("x", "y", "n", rnd("rho", 6).alias("rho"),
                                           rnd("t_stat", 6).alias("t_stat"))
 
 

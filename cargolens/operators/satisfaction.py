@@ -203,14 +203,16 @@ def _drivers_frame(t) -> DataFrame:
 @query("spearman_drivers")
 def spearman_drivers(t) -> DataFrame:
     """Rank correlation of eight order measures with review score (listwise complete rows)."""
-    return stats.spearman(_drivers_frame(t), [(c, "review_score") for c in DRIVER_MEASURES])
+    return stats.spearman(_drivers_frame(t), [(c, "review_score") for c in DRIVER_MEASURES],
+                          listwise=True)
 
 
 @query("spearman_drivers_test")
 def spearman_drivers_test(t) -> DataFrame:
     """spearman_drivers with p-values and significance stars."""
     return stats.spearman_test(
-        stats.spearman(_drivers_frame(t), [(c, "review_score") for c in DRIVER_MEASURES]))
+        stats.spearman(_drivers_frame(t), [(c, "review_score") for c in DRIVER_MEASURES],
+                       listwise=True))
 
 
 @query("spearman_matrix")
