@@ -40,6 +40,9 @@ PAYMENT_TYPE_MAP = (("view", "credit_card"), ("click", "boleto"), ("signup", "vo
                     ("purchase", "debit_card"), ("error", "not_defined"))
 
 
+_SCHEMAS: dict = {}
+
+
 def read_driver_tables(spark: SparkSession, sf_dir: str,
                        names: tuple[str, ...] = DRIVER_TABLES) -> dict[str, DataFrame]:
     """The driver parquet files. Timestamps are pinned to timestamp_ntz
@@ -48,7 +51,12 @@ def read_driver_tables(spark: SparkSession, sf_dir: str,
 
     out = {}
     for n in names:
-        df = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        path = f"{sf_dir}/{n}.parquet"
+        # The footer schema is read once per file and process; later reads
+        # pass it explicitly, which skips the schema-inference job.
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        df = spark.read.schema(_SCHEMAS[path]).parquet(path)
         ts = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)]
         out[n] = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ts}) if ts else df
     return out
