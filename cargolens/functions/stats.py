@@ -148,7 +148,8 @@ def _range_splits(vc: DataFrame, n_distinct: int | None = None) -> list:
 
 
 def average_ranks(vc: DataFrame, n_distinct: int | None = None) -> DataFrame:
-    """(v, cnt) -> (v, cnt, rank): mid-ranks 1..N with ties averaged."""
+    """(v, cnt, ...) -> (v, cnt, ..., rank): mid-ranks 1..N with ties
+    averaged. Extra columns of ``vc`` are carried through."""
     splits = _range_splits(vc, n_distinct)
     if splits:
         arr = F.array(*[F.lit(s) for s in splits])
@@ -159,19 +160,17 @@ def average_ranks(vc: DataFrame, n_distinct: int | None = None) -> DataFrame:
     within = Window.partitionBy("rng").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = x.withColumn("before", F.sum("cnt").over(within) - F.col("cnt"))
     mid = (F.col("cnt").cast("double") + 1.0) / 2.0
+    keep = [c for c in vc.columns if c != "rank"]
     if not splits:
         # One range: no offsets, and no second pass over the distinct values.
-        return ranked.select("v", "cnt", (F.col("before").cast("double") + mid).alias("rank"))
+        return ranked.select(*keep, (F.col("before").cast("double") + mid).alias("rank"))
     totals = x.groupBy("rng").agg(F.sum("cnt").alias("rng_total"))
     # One row per range (at most MAX_RANGES): a global window is fine here.
     offsets = totals.withColumn(
         "offset", F.coalesce(F.sum("rng_total").over(
             Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return (ranked.join(F.broadcast(offsets.select("rng", "offset")), "rng")
-            .select("v", "cnt",
-                    (F.col("offset") + F.col("before")).cast("double")
-                    + (F.col("cnt").cast("double") + 1.0) / 2.0)
-            .toDF("v", "cnt", "rank"))
+            .select(*keep, ((F.col("offset") + F.col("before")).cast("double") + mid).alias("rank")))
 
 
 def _spearman_one(df: DataFrame, x: str, y: str, nd: dict, listwise: bool = False) -> DataFrame:
@@ -242,17 +241,16 @@ def mann_whitney(df: DataFrame, value: str, group: F.Column, first_label: str) -
     correction.
     """
     d = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), group.alias("g"))
-    vc = d.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = average_ranks(vc, distinct_estimates(d, ["v"])["v"])
-    per = d.groupBy("v").agg(F.count_if(F.col("g") == first_label).alias("n_x"),
-                             F.count(F.lit(1)).alias("n_all"))
-    j = per.join(ranks.select("v", "rank"), "v")
+    # One aggregate gives both the multiplicity (for the ranks) and the
+    # sample-x count per value; the ranking carries n_x through, no join.
+    vc = d.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"),
+                            F.count_if(F.col("g") == first_label).alias("n_x"))
+    j = average_ranks(vc, distinct_estimates(d, ["v"])["v"])
+    cnt = F.col("cnt").cast("double")
     g = j.agg(F.sum("n_x").alias("n1"),
-              (F.sum("n_all") - F.sum("n_x")).alias("n2"),
-              F.sum(F.col("n_x").cast("double") * F.col("rank")).alias("r1"))
-    ties = vc.agg(F.sum(F.col("cnt").cast("double") ** 3 - F.col("cnt").cast("double"))
-                  .alias("tie_term"))
-    g = g.crossJoin(ties)
+              (F.sum("cnt") - F.sum("n_x")).alias("n2"),
+              F.sum(F.col("n_x").cast("double") * F.col("rank")).alias("r1"),
+              F.sum(cnt * cnt * cnt - cnt).alias("tie_term"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u1 = F.col("r1") - n1 * (n1 + 1.0) / 2.0
     n = n1 + n2
