@@ -26,3 +26,18 @@ def test_rnd_matches_duckdb(spark):
             assert got[(i, d)] == r, (vals[i], d, got[(i, d)], r)
     # half away from zero on the decimal value, as PostgreSQL numeric
     assert got[(0, 2)] == 1.01 and got[(1, 2)] == 2.35 and got[(3, 1)] == -0.3
+
+
+def test_kpi_text_format(spark):
+    from pyspark.sql import functions as F
+
+    from cargolens.operators.report import _fmt
+    df = spark.createDataFrame([(13541712.784, 98353, 8.0999, -0.17704, 12.45)],
+                               "rev double, n long, late double, rho double, days double")
+    r = df.select(F.concat(F.lit("R$ "), _fmt("rev", 2)).alias("rev"),
+                  F.format_number(F.col("n"), 0).alias("n"),
+                  F.concat(_fmt("late", 1), F.lit("%")).alias("late"),
+                  F.concat(F.lit("ρ = "), _fmt("rho", 3)).alias("rho"),
+                  _fmt("days", 1).alias("days")).first()
+    assert (r["rev"], r["n"], r["late"], r["rho"]) == ("R$ 13,541,712.78", "98,353", "8.1%", "ρ = -0.177")
+    assert r["days"] == "12.5"          # half away from zero on the decimal value
