@@ -116,7 +116,7 @@ def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sou
     pieces = F.concat(F.array_repeat(F.lit(-1), whole.cast("int")),
                       F.when((own > 0) & (own < F.col("m_size")), F.array(own)).otherwise(F.array().cast("array<int>")))
     rows = rows.select(*docs.columns, F.explode(pieces).alias("m_words"))
-    leading = F.regexp_extract(F.col(text), F.lit(rf"^[\x20\x09-\x0D]*"), 0)
+    leading = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
     kept = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1,
                                 F.greatest(F.col("m_words"), F.lit(0))), "")
     return rows.withColumn(text, F.when(F.col("m_words") < 0, F.col(text)).otherwise(F.concat(leading, kept))).drop("m_words")
