@@ -21,12 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark drops a query's shuffle files as soon as it has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and go on from
     the files: what follows does not run its lineage again, and a lost
-    executor costs a re-read."""
-    checkpoint_dir(df.sparkSession)  # hands spark.checkpoint.dir to the context
-    return df.checkpoint(eager=True)
+    executor costs a re-read. The shuffles that led to it are not needed any more
+    and go at once, so that a job of many steps does not keep all of them on disk."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)  # hands spark.checkpoint.dir to the context
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        # The frame takes over the setting of the session when it is planned; a new one is planned here.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
