@@ -20,7 +20,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 import uuid
 
@@ -32,9 +31,9 @@ HEADLINE = (
     "delivery_by_state", "delivery_by_seller_state", "route_comparison", "estimate_accuracy_bands",
     "review_by_delivery_outcome", "lowest_rated_categories", "multi_factor_satisfaction",
     "delay_spearman", "mann_whitney_route", "price_distribution", "orphan_checks",
-    "freight_by_distance", "executive_kpis",
+    "freight_by_distance", "executive_kpis", "spearman_drivers", "spearman_matrix",
 )
-END_TO_END = ("monthly_sales", "orders_item_view")
+END_TO_END = ("monthly_sales", "orders_item_view", "items_per_order_dist")
 
 
 def force(df) -> None:
@@ -63,10 +62,8 @@ def main() -> None:
 
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
     spark.sparkContext.setLogLevel("ERROR")
-    # The model goes to the shared folder named by spark.checkpoint.dir; a
-    # fresh scratch folder is used only when the session names none.
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cargolens-bench-"))
+    # The model goes to the shared folder named by spark.checkpoint.dir (a
+    # fresh scratch folder where this local session names none).
     scratch = os.path.join(checkpoint_dir(spark), f"bench-{uuid.uuid4().hex[:8]}")
     load_all()
 

@@ -1,101 +1,77 @@
-"""Statistics as DataFrame jobs: OLS, Spearman, Mann-Whitney U, histograms.
+"""Statistics as DataFrame jobs: OLS, Spearman, Mann-Whitney U, quantiles, histograms.
 
-The heavy part (ranking, pairing, summing) is distributed Spark work. Ranks
-are computed on the frame of *distinct values with their multiplicity*, so
+Everything is a lazy plan of built-in expressions: no action runs while a query
+is built, nothing but one-row frames is crossed in, and no size switches the method.
+
+Ranking works on the frame of *distinct values with their multiplicity*, so
 ties collapse before anything is sorted and a value held by a third of the
-rows is one row. That frame is cut into value ranges at approximate
-quantiles (a few scalars collected once, like a range partitioner's sample),
-each range is ranked by a window partitioned by range, and range offsets come
-from a prefix sum over the per-range totals. No global ``Window.orderBy``
-over raw rows, no collect of data.
-
-Only the last step, turning a statistic into a p-value, needs special
-functions (Student t and normal tails); it runs in an Arrow-batched pandas
-UDF on one-row frames. scipy is not available, so the tails are computed here
-(regularised incomplete beta by continued fraction, ``math.erfc``).
+rows is one row. A value's bucket is a monotone function of the value alone
+(:func:`bucket`): equal relative steps, whatever the data. Inside a bucket a
+window adds up the counts; buckets get their offsets from their totals, one
+row each.
+
+p-values integrate the densities themselves (:func:`tail_ratio`), with the
+normalising constant from the same rule, so they need no gamma function and
+hold at any number of degrees of freedom.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from .exprs import rnd
 
-VALUES_PER_RANGE = 2_000_000  # distinct values ranked by one window task
-MAX_RANGES = 8192
+# Buckets per factor of e in 1 + |value|.
+BUCKET_STEPS = 4096
 
 
 # ----------------------------------------------------------------- tails --
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def betainc_reg(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float, df: float) -> float:
-    if t is None or df is None or math.isnan(t) or df <= 0:
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    return betainc_reg(df / 2.0, 0.5, df / (df + t * t))
-
-
-def normal_sf(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
-
-
-@pandas_udf(DoubleType())
-def _t_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if (pd.isna(a) or pd.isna(b)) else t_two_sided_p(float(a), float(b))
-                      for a, b in zip(t, df)], dtype="float64")
-
-
-@pandas_udf(DoubleType())
-def _norm_sf_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else normal_sf(float(v)) for v in z], dtype="float64")
-
-
-def stars(p: F.Column) -> F.Column:
+def _quadrature(step: float = 0.05, reach: float = 4.3) -> list[tuple[float, float]]:
+    """(x, weight) of the exp-sinh rule for integrals over (0, inf). Node k is
+    exp(pi/2 sinh(k * step)); densities with power or exponential tails converge
+    to double precision."""
+    n = int(reach / step)
+    nodes = []
+    for k in range(-n, n + 1):
+        x = math.exp(math.pi / 2 * math.sinh(k * step))
+        nodes.append((x, step * math.pi / 2 * math.cosh(k * step) * x))
+    return nodes
+
+
+def tail_ratio(t: Column, density: Callable[[Column], Column]) -> Column:
+    """Integral of ``density`` over (t, inf) divided by that over (0, inf), t >= 0."""
+    nodes = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in _quadrature()])
+
+    def integral(start: Column) -> Column:
+        return F.aggregate(nodes, F.lit(0.0), lambda acc, n: acc + n["w"] * density(start + n["x"]))
+
+    return integral(t) / integral(F.lit(0.0))
+
+
+def t_two_sided_p(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) of Student's t; NULL for NULL and without degrees of freedom."""
+    nu = df.cast("double")
+    p = tail_ratio(F.abs(t), lambda x: F.exp(-(nu + 1) / 2 * F.log1p(x * x / nu)))
+    return F.when(t.isNotNull() & (nu > 0), p)
+
+
+def normal_sf(z: Column) -> Column:
+    """P(Z >= z) of the standard normal distribution."""
+    half = tail_ratio(F.abs(z), lambda x: F.exp(-x * x / 2)) / 2
+    return F.when(z >= 0, half).when(z < 0, 1 - half)
+
+
+def correlation_p(r: Column, n: Column, t: Column) -> Column:
+    """Two-sided p of a correlation: t with n - 2 degrees of freedom; 0 at r = 1 or -1."""
+    return F.when((F.abs(r) >= 1) & (n > 2), F.lit(0.0)).otherwise(t_two_sided_p(t, n - 2))
+
+
+def stars(p: Column) -> Column:
     return (F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise(""))
 
 
@@ -119,11 +95,11 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
                     rnd("r_squared", 6).alias("r_squared"), rnd("t_stat", 6).alias("t_stat"))
 
 
-def ols_test(g: DataFrame, alpha: float = 0.05) -> DataFrame:
-    p = _t_p_udf(F.col("t_stat"), (F.col("n") - 2).cast("double"))
-    return (g.withColumn("p_value", p)
-            .withColumn("significant", F.col("p_value") < alpha)
-            .select("n", "slope", "r_squared", "p_value", "significant"))
+def ols_test(raw: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The slope's two-sided p-value from an unrounded :func:`ols_raw` row."""
+    g = raw.withColumn("p", correlation_p(F.col("r"), F.col("n"), F.col("t_stat")))
+    return g.select("n", rnd("slope", 6).alias("slope"), rnd("r_squared", 6).alias("r_squared"),
+                    rnd("p", 9).alias("p_value"), (F.col("p") < alpha).alias("significant"))
 
 
 # ------------------------------------------------------------------ ranks --
@@ -134,141 +110,133 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def _range_splits(vc: DataFrame, n_distinct: int | None = None) -> list:
-    """Split points for ranking by range. ``n_distinct`` (an estimate is
-    enough) saves the counting pass when the caller already has it."""
-    if n_distinct is None:
-        n_distinct = vc.count()
-    ranges = max(1, min(MAX_RANGES, math.ceil(n_distinct / VALUES_PER_RANGE)))
-    if ranges == 1:
-        return []
-    probs = [i / ranges for i in range(1, ranges)]
-    qs = vc.approxQuantile("v", probs, 1.0 / (4 * ranges))
-    return sorted(set(q for q in qs if q is not None))
-
-
-def average_ranks(vc: DataFrame, n_distinct: int | None = None) -> DataFrame:
-    """(v, cnt, ...) -> (v, cnt, ..., rank): mid-ranks 1..N with ties
-    averaged. Extra columns of ``vc`` are carried through."""
-    splits = _range_splits(vc, n_distinct)
-    if splits:
-        arr = F.array(*[F.lit(s) for s in splits])
-        rng = F.size(F.filter(arr, lambda s: s <= F.col("v")))
-    else:
-        rng = F.lit(0)
-    x = vc.withColumn("rng", rng)
-    within = Window.partitionBy("rng").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = x.withColumn("before", F.sum("cnt").over(within) - F.col("cnt"))
-    mid = (F.col("cnt").cast("double") + 1.0) / 2.0
-    keep = [c for c in vc.columns if c != "rank"]
-    if not splits:
-        # One range: no offsets, and no second pass over the distinct values.
-        return ranked.select(*keep, (F.col("before").cast("double") + mid).alias("rank"))
-    totals = x.groupBy("rng").agg(F.sum("cnt").alias("rng_total"))
-    # One row per range (at most MAX_RANGES): a global window is fine here.
-    offsets = totals.withColumn(
-        "offset", F.coalesce(F.sum("rng_total").over(
-            Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (ranked.join(F.broadcast(offsets.select("rng", "offset")), "rng")
-            .select(*keep, ((F.col("offset") + F.col("before")).cast("double") + mid).alias("rank")))
-
-
-def _spearman_one(df: DataFrame, x: str, y: str, nd: dict, listwise: bool = False) -> DataFrame:
-    # Listwise input has no NULLs left: every pair then ranks the same frame,
-    # so the rank subtrees of a shared column are identical and reused.
-    d = df if listwise else df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = d.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w"))
-    rx = average_ranks(value_counts(d, x), nd[x]).select(F.col("v").alias("x"),
-                                                         F.col("rank").alias("rx"))
-    ry = average_ranks(value_counts(d, y), nd[y]).select(F.col("v").alias("y"),
-                                                         F.col("rank").alias("ry"))
-    j = pairs.join(rx, "x").join(ry, "y")
-    w = F.col("w").cast("double")
-    g = j.agg(F.sum("w").alias("n"),
-              F.sum(w * F.col("rx") * F.col("ry")).alias("sxy"),
-              F.sum(w * F.col("rx") * F.col("rx")).alias("sxx"),
-              F.sum(w * F.col("ry") * F.col("ry")).alias("syy"))
-    n = F.col("n").cast("double")
-    c = n * (n + 1.0) * (n + 1.0) / 4.0  # n * mean_rank^2: sum of mid-ranks is n(n+1)/2
-    rho = F.try_divide(F.col("sxy") - c, F.sqrt((F.col("sxx") - c) * (F.col("syy") - c)))
-    return g.select(F.lit(x).alias("x"), F.lit(y).alias("y"),
-                    F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), rho.alias("rho"))
+def bucket(v: Column) -> Column:
+    """Monotone bucket number of a value; NaN, which sorts last, goes to the last one."""
+    d = v.cast("double")
+    return F.when(F.isnan(d), F.lit(2**63 - 1)).otherwise(
+        F.floor(F.signum(d) * F.log1p(F.abs(d)) * BUCKET_STEPS)).cast("long")
 
 
-def distinct_estimates(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Approximate distinct counts of several columns in one pass (only used
-    to size the value ranges)."""
-    cols = list(dict.fromkeys(cols))
-    r = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    return {c: int(r[c] or 0) for c in cols}
+def bucket_offsets(vc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, bkt, total, offset): rows of each occupied bucket, and rows before it."""
+    t = vc.groupBy(*by, bucket(F.col("v")).alias("bkt")).agg(F.sum("cnt").alias("total"))
+    # One row per occupied bucket: the whole range of doubles has six million.
+    before = Window.partitionBy(*by).orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
+    return t.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
 
 
-def spearman_raw(df: DataFrame, pairs: Sequence[tuple[str, str]],
-                 listwise: bool = False) -> DataFrame:
-    """``listwise``: drop rows with a NULL in any pair column first (the
-    notebook's dropna), instead of pair by pair."""
+def _before(by: Sequence[str] = ()) -> Column:
+    w = Window.partitionBy(*by, "bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("cnt").over(w), F.lit(0))
+
+
+def average_ranks(vc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, v, cnt, ...) -> the same with ``rank``: mid-ranks 1..N within ``by``,
+    ties averaged. Extra columns of ``vc`` are carried through."""
+    mid = (F.col("cnt").cast("double") + 1.0) / 2.0
+    ranked = vc.withColumn("bkt", bucket(F.col("v"))).withColumn("before", _before(by))
+    return ranked.join(bucket_offsets(vc, by).drop("total"), [*by, "bkt"]).select(
+        *vc.columns, ((F.col("offset") + F.col("before")).cast("double") + mid).alias("rank"))
+
+
+def rank_products(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """One row: n and the sums ``s_i_j`` of products of the ranks of columns i <= j,
+    over the rows without a NULL in any of ``cols``.
+
+    Every column is ranked once, all in one job: the frame is laid out as
+    (key, column, value) rows, which meet the ranks of their distinct values and
+    come together again by ``key`` (unique). The join with the ranks
+    stands between plain shuffles, so adaptive execution splits a value that
+    most rows hold.
+    """
+    long = df.dropna(subset=list(cols)).select(key, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("x")
+    ).select(key, "x.c", "x.v")
+    ranks = average_ranks(long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt")), ["c"])
+    wide = long.join(ranks.select("c", "v", "rank"), ["c", "v"]).groupBy(key).agg(
+        *[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(cols))])
+    return wide.agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s_{i}_{j}")
+        for i in range(len(cols)) for j in range(i, len(cols))])
+
+
+def spearman_raw(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row per (x, y): n, rho, t, unrounded. Rows with a NULL in any column of
+    any pair are left out (the notebook's dropna); ``key`` is unique."""
     cols = list(dict.fromkeys(c for p in pairs for c in p))
-    if listwise:
-        df = df.dropna(subset=cols)
-    nd = distinct_estimates(df, cols)
-    out = None
-    for x, y in pairs:
-        one = _spearman_one(df, x, y, nd, listwise)
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn(
+
+    def total(a: str, b: str) -> Column:
+        i, j = sorted((cols.index(a), cols.index(b)))
+        return F.col(f"s_{i}_{j}")
+
+    rows = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), total(x, y).alias("sxy"),
+                              total(x, x).alias("sxx"), total(y, y).alias("syy")) for x, y in pairs])
+    g = rank_products(df, key, cols).select("n", F.explode(rows).alias("p")).select("n", "p.*")
+    n = F.col("n").cast("double")
+    c = n * (n + 1.0) * (n + 1.0) / 4.0  # n * mean_rank^2: sum of mid-ranks is n(n+1)/2
+    rho = F.try_divide(F.col("sxy") - c, F.sqrt((F.col("sxx") - c) * (F.col("syy") - c)))
+    return g.select("x", "y", "n", rho.alias("rho")).withColumn(
         "t_stat", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2.0, 1.0 - F.col("rho") ** 2)))
 
 
-def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], listwise: bool = False) -> DataFrame:
+def _shown(raw: DataFrame) -> list[Column]:
+    return [*(F.col(c) for c in ("x", "y", "n")), rnd("rho", 6).alias("rho"), rnd("t_stat", 6).alias("t_stat")]
+
+
+def spearman(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """One row per (x, y): n, rho, t (rounded to 6 places)."""
-    return spearman_raw(df, pairs, listwise).select("x", "y", "n", rnd("rho", 6).alias("rho"),
-                                          rnd("t_stat", 6).alias("t_stat"))
+    raw = spearman_raw(df, key, pairs)
+    return raw.select(*_shown(raw))
 
 
-def spearman_test(s: DataFrame) -> DataFrame:
-    """Adds the two-sided p-value (t with n-2 df, as scipy's spearmanr)."""
-    p = _t_p_udf(F.col("t_stat"), (F.col("n") - 2).cast("double"))
-    return s.withColumn("p_value", p).withColumn("stars", stars(F.col("p_value")))
+def spearman_test(raw: DataFrame) -> DataFrame:
+    """The two-sided p-value (t with n-2 df, as scipy's spearmanr) of unrounded
+    :func:`spearman_raw` rows."""
+    raw = raw.withColumn("p", correlation_p(F.col("rho"), F.col("n"), F.col("t_stat")))
+    return raw.select(*_shown(raw), rnd("p", 9).alias("p_value"), stars(F.col("p")).alias("stars"))
 
 
 # ----------------------------------------------------------- Mann-Whitney --
 
-def mann_whitney(df: DataFrame, value: str, group: F.Column, first_label: str) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, group: Column, first_label: str) -> DataFrame:
     """U test of ``value`` between group == first_label (x) and the rest (y).
 
-    Returns n1, n2, U1 (statistic for x, as scipy reports it), the tie term
-    and z for the alternative 'x is stochastically less' with continuity
-    correction.
+    Returns n1, n2, U1 (statistic for x, as scipy reports it) and z for the
+    alternative 'x is stochastically less' with continuity correction. z is NULL
+    where the test says nothing: one group empty, or all values tied.
     """
     d = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), group.alias("g"))
     # One aggregate gives both the multiplicity (for the ranks) and the
     # sample-x count per value; the ranking carries n_x through, no join.
     vc = d.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"),
                             F.count_if(F.col("g") == first_label).alias("n_x"))
-    j = average_ranks(vc, distinct_estimates(d, ["v"])["v"])
+    j = average_ranks(vc)
     cnt = F.col("cnt").cast("double")
-    g = j.agg(F.sum("n_x").alias("n1"),
-              (F.sum("cnt") - F.sum("n_x")).alias("n2"),
-              F.sum(F.col("n_x").cast("double") * F.col("rank")).alias("r1"),
-              F.sum(cnt * cnt * cnt - cnt).alias("tie_term"))
+    zero = F.lit(0)
+    g = j.agg(F.coalesce(F.sum("n_x"), zero).alias("n1"),
+              F.coalesce(F.sum("cnt") - F.sum("n_x"), zero).alias("n2"),
+              F.coalesce(F.sum(F.col("n_x").cast("double") * F.col("rank")), F.lit(0.0)).alias("r1"),
+              F.coalesce(F.sum(cnt * cnt * cnt - cnt), F.lit(0.0)).alias("tie_term"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u1 = F.col("r1") - n1 * (n1 + 1.0) / 2.0
     n = n1 + n2
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1.0) - F.col("tie_term") / (n * (n - 1.0))))
+    variance = n1 * n2 / 12.0 * ((n + 1.0) - F.try_divide(F.col("tie_term"), n * (n - 1.0)))
     u2 = n1 * n2 - u1
-    z = (u2 - n1 * n2 / 2.0 - 0.5) / sigma
+    z = F.try_divide(u2 - n1 * n2 / 2.0 - 0.5, F.when(variance > 0, F.sqrt(variance)))
     return g.select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
                     u1.alias("u_statistic"), z.alias("z"))
 
 
 def mann_whitney_test(m: DataFrame) -> DataFrame:
-    return m.withColumn("p_value", _norm_sf_udf(F.col("z")))
+    """One-sided p-value of an unrounded :func:`mann_whitney` row."""
+    return m.withColumn("p_value", normal_sf(F.col("z")))
 
 
 # -------------------------------------------------------------- histogram --
 
 def histogram(df: DataFrame, c: str, bins: int, label: str | None = None) -> DataFrame:
-    """Equal-width bins over [min, max], last bin closed (matplotlib hist).
+    """Equal-width bins over [min, max], last bin closed (matplotlib hist); every
+    bin is a row, empty ones too. No values: no rows.
 
     Bin of x: floor((x - min) * bins / (max - min)), clamped to bins - 1.
     The min/max are a one-row aggregate crossed in (broadcast of one row).
@@ -280,61 +248,55 @@ def histogram(df: DataFrame, c: str, bins: int, label: str | None = None) -> Dat
     b = F.when(width_ok, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     h = (d.crossJoin(F.broadcast(mm)).groupBy(b.alias("bin"), "lo", "hi")
          .agg(F.count(F.lit(1)).alias("count")))
+    # One row with at most ``bins`` counts, laid out over all bins.
+    g = h.groupBy("lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("found"))
+    g = g.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return h.select(F.lit(label or c).alias("measure"), "bin",
+    return g.select(F.lit(label or c).alias("measure"), "bin",
                     rnd(F.col("lo") + step * F.col("bin"), 6).alias("bin_start"),
                     rnd(F.col("lo") + step * (F.col("bin") + 1), 6).alias("bin_end"),
-                    "count").orderBy("measure", "bin")
+                    F.coalesce(F.try_element_at("found", F.col("bin")), F.lit(0)).alias("count")
+                    ).orderBy("measure", "bin")
 
 
 # -------------------------------------------------------------- quantiles --
 
 def quantiles(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str],
               exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """PERCENTILE_CONT(p) of ``c`` for each p, as one row (NULLs ignored).
+    """PERCENTILE_CONT(p) of ``c`` for each p, as one row (NULLs ignored; NULL if
+    there is nothing else).
 
     ``percentile()`` keeps a value -> count map per group and merges the
     whole map in one task for a global aggregate; over billions of distinct
-    values that does not fit. Here the distinct values are ranked by range
-    (see :func:`average_ranks`); each needed order statistic is the value
-    whose cumulative span covers its index, so only those few rows survive
-    the filter. Driver traffic: the row count and the range splits.
-    ``exact=False`` uses ``percentile_approx`` instead.
+    values that does not fit. Here the bucket totals say which buckets hold the
+    order statistics asked for, and only the distinct values of those few
+    buckets are ranked. ``exact=False`` uses ``percentile_approx`` instead.
     """
     if not exact:
         return df.agg(*[F.percentile_approx(F.col(c).cast("double"), p, accuracy).alias(n)
                         for p, n in zip(probs, names)])
-    # One scan, no shuffle: the exact row count (for the positions) and a
-    # distinct estimate (only to size the value ranges).
-    tot = df.agg(F.count(c).alias("n"), F.approx_count_distinct(c).alias("nd")).first()
-    n, n_distinct = tot["n"] or 0, tot["nd"]
     vc = value_counts(df, c)
-    if n == 0:
-        return df.limit(0).agg(*[F.lit(None).cast("double").alias(nm) for nm in names])
-    want = {}
-    for p, nm in zip(probs, names):
-        h = (n - 1) * p
-        lo = int(math.floor(h))
-        want[nm] = (lo, min(lo + 1, n - 1), h - lo)
-    idx = sorted({i for lo, hi, _ in want.values() for i in (lo, hi)})
-    ranked = _cumulative(vc, n_distinct)
-    arr = F.array(*[F.lit(i) for i in idx])
-    hits = (ranked.where(F.exists(arr, lambda i: (F.col("start") <= i)
-                                  & (i < F.col("start") + F.col("cnt"))))
-            .select(F.explode(F.filter(arr, lambda i: (F.col("start") <= i)
-                                       & (i < F.col("start") + F.col("cnt")))).alias("i"),
-                    F.col("v").cast("double").alias("v")))
-    at = {i: F.max(F.when(F.col("i") == i, F.col("v"))) for i in idx}
-    g = hits.agg(*[at[i].alias(f"_{i}") for i in idx])
+    offsets = bucket_offsets(vc)
+    # Two order statistics per probability, numbered 2k and 2k + 1.
+    at = [F.floor((F.col("n") - 1) * F.lit(float(p))) for p in probs]
+    places = F.array(*[F.struct(F.lit(2 * k + up).alias("place"), F.least(a + up, F.col("n") - 1).alias("i"))
+                       for k, a in enumerate(at) for up in (0, 1)])
+    n = offsets.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"))
+    wanted = n.where("n > 0").select("n", F.explode(places).alias("w")).select("n", "w.place", "w.i")
+    # 2 * len(probs) rows against the buckets.
+    held = offsets.join(F.broadcast(wanted), (F.col("offset") <= F.col("i")) & (F.col("i") < F.col("offset") + F.col("total")))
+    hot = held.groupBy("bkt").agg(F.min("offset").alias("offset"), F.first("n").alias("n"),
+                                  F.collect_list(F.struct("place", "i")).alias("wanted"))
+    inside = vc.withColumn("bkt", bucket(F.col("v"))).join(F.broadcast(hot), "bkt")
+    start = F.col("offset") + F.col("before")
+    hits = inside.withColumn("before", _before()).withColumn("start", start).select(
+        "n", F.col("v").cast("double").alias("v"),
+        F.explode(F.filter("wanted", lambda w: (F.col("start") <= w["i"]) & (w["i"] < F.col("start") + F.col("cnt")))).alias("w"))
+    values = hits.agg(F.max("n").alias("n"), *[F.max(F.when(F.col("w.place") == k, F.col("v"))).alias(f"_{k}")
+                                               for k in range(2 * len(probs))])
     out = []
-    for nm, (lo, hi, frac) in want.items():
-        a, b = F.col(f"_{lo}"), F.col(f"_{hi}")
-        out.append((a + (b - a) * F.lit(frac)).alias(nm) if frac else a.alias(nm))
-    return g.select(*out)
-
-
-def _cumulative(vc: DataFrame, n_distinct: int | None = None) -> DataFrame:
-    """(v, cnt) -> (v, cnt, start): 0-based index of each value's first row."""
-    r = average_ranks(vc, n_distinct)
-    return r.select("v", "cnt", (F.col("rank") - (F.col("cnt") + 1.0) / 2.0).cast("long")
-                    .alias("start"))
+    for k, (p, name) in enumerate(zip(probs, names)):
+        low, high = F.col(f"_{2 * k}"), F.col(f"_{2 * k + 1}")
+        h = (F.col("n") - 1) * F.lit(float(p))
+        out.append((low + (high - low) * (h - F.floor(h))).alias(name))
+    return values.select(*out)

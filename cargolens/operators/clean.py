@@ -40,22 +40,22 @@ def translation_count(translation_fixed_df: DataFrame) -> DataFrame:
 def reviews_clean(reviews: DataFrame) -> DataFrame:
     """One review per order: the latest answer; ties by higher score, then id.
 
-    Written as an aggregate (max_by over an ordering struct) rather than a
-    row_number window: the aggregate combines map-side, so an order with a
-    huge number of reviews never lands whole in one task, and there is no
-    sort. In the struct NULL sorts lowest, i.e. NULLs last under DESC
-    (SURVEY §1.5.1).
+    Written as an aggregate (the largest of the rows, as structs in ranking
+    order) rather than a row_number window: the aggregate combines map-side, so
+    an order with a huge number of reviews never lands whole in one task. In
+    the struct NULL sorts lowest, i.e. NULLs last under DESC (SURVEY §1.5.1).
+    The order id comes from the grouping, so Spark knows that it is unique and how the
+    rows are partitioned: joins by order need no second shuffle, and queries
+    that use no review column drop the join.
     """
-    cols = [c for c in reviews.columns]
-    row = F.struct(*[F.col(c) for c in cols])
     # review_id repeats in the published data, so the remaining columns end
     # the ordering: the pick is the same on every run and after any retry.
-    key = F.struct(F.col("review_answer_timestamp"), F.col("review_score"), F.col("review_id"),
-                   F.col("review_creation_date"), F.col("review_comment_title"),
-                   F.col("review_comment_message"))
-    best = reviews.groupBy("order_id").agg(F.max_by(row, key).alias("r"))
-    return best.select(*[F.col("r")[c].alias(c) for c in cols]).withColumn(
-        "has_comment", F.col("review_comment_message").isNotNull())
+    ranking = ["review_answer_timestamp", "review_score", "review_id", "review_creation_date",
+               "review_comment_title", "review_comment_message"]
+    rest = [c for c in reviews.columns if c not in (*ranking, "order_id")]
+    best = reviews.groupBy("order_id").agg(F.max(F.struct(*ranking, *rest)).alias("r"))
+    cols = ["order_id" if c == "order_id" else F.col(f"r.{c}").alias(c) for c in reviews.columns]
+    return best.select(*cols, F.col("r.review_comment_message").isNotNull().alias("has_comment"))
 
 
 def reviews_clean_check(rc: DataFrame) -> DataFrame:
@@ -166,31 +166,50 @@ def payments_clean(payments: DataFrame) -> DataFrame:
 
 def payments_order_agg(pc: DataFrame) -> DataFrame:
     """Per order, over non-anomalous payments. The primary payment is the
-    largest; ties go to the lower sequence number (max of (value, -seq))."""
-    key = F.struct(F.col("payment_value"), -F.col("payment_sequential"))
-    n_types = F.count_distinct("payment_type")
-    return (pc.where(~F.col("is_anomaly"))
-            .groupBy("order_id")
-            .agg(F.count(F.lit(1)).alias("payment_count"),
-                 F.max_by("payment_type", key).alias("primary_payment_type"),
-                 F.max_by("payment_installments", key).alias("primary_installments"),
-                 F.max("payment_installments").alias("max_installments"),
-                 F.sum("payment_value").alias("total_payment_value"),
-                 n_types.alias("payment_methods_used"),
-                 (n_types > 1).alias("is_multi_payment")))
+    largest; ties go to the lower sequence number (max of (value, -seq)).
+
+    One aggregate on one shuffle, combined map-side. The set of types is as
+    large as the payment types are many (a handful of codes), whatever the
+    number of payments.
+    """
+    largest = F.max(F.struct(F.col("payment_value").alias("value"), (-F.col("payment_sequential")).alias("seq"),
+                             F.col("payment_type").alias("type"),
+                             F.col("payment_installments").alias("installments")))
+    n_types = F.size(F.collect_set("payment_type")).cast("long")
+    g = pc.where(~F.col("is_anomaly")).groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("payment_count"), largest.alias("p"),
+        F.max("payment_installments").alias("max_installments"),
+        F.sum("payment_value").alias("total_payment_value"), n_types.alias("payment_methods_used"))
+    return g.select("order_id", "payment_count", F.col("p.type").alias("primary_payment_type"),
+                    F.col("p.installments").alias("primary_installments"), "max_installments",
+                    "total_payment_value", "payment_methods_used",
+                    (F.col("payment_methods_used") > 1).alias("is_multi_payment"))
 
 
 def geolocation_clean(geo: DataFrame) -> DataFrame:
     """One row per zip prefix: mean position (6 dp) and modal city/state.
 
-    ``mode(deterministic=True)`` returns the smallest of tied values, like
-    MODE() WITHIN GROUP (ORDER BY x). Both mode and avg combine map-side, so
-    a zip prefix holding a large share of the points is not a hot task.
+    Of equally frequent values the smallest is the mode, like MODE() WITHIN
+    GROUP (ORDER BY x); NULLs do not count. Points are first added up by
+    (zip, city, state), with map-side combine, so no task holds the points or a map
+    of all spellings of a zip prefix.
     """
-    return geo.groupBy("geolocation_zip_code_prefix").agg(
-        rnd(F.avg("geolocation_lat"), 6).alias("avg_lat"),
-        rnd(F.avg("geolocation_lng"), 6).alias("avg_lng"),
-        F.mode("geolocation_city", deterministic=True).alias("city"),
-        F.mode("geolocation_state", deterministic=True).alias("state"),
-        F.count(F.lit(1)).alias("point_count"),
-    )
+    zip_ = F.col("geolocation_zip_code_prefix")
+    places = geo.groupBy(zip_, "geolocation_city", "geolocation_state").agg(
+        F.sum("geolocation_lat").alias("lat"), F.count("geolocation_lat").alias("n_lat"),
+        F.sum("geolocation_lng").alias("lng"), F.count("geolocation_lng").alias("n_lng"),
+        F.count(F.lit(1)).alias("n"))
+    means = places.groupBy(zip_).agg(
+        rnd(F.try_divide(F.sum("lat"), F.sum("n_lat")), 6).alias("avg_lat"),
+        rnd(F.try_divide(F.sum("lng"), F.sum("n_lng")), 6).alias("avg_lng"),
+        F.sum("n").alias("point_count"))
+
+    def modes(column: str, name: str) -> DataFrame:
+        first = F.min(F.struct((-F.col("n")).alias("rank"), F.col(column).alias("value")))
+        return (places.where(F.col(column).isNotNull()).groupBy(zip_, column).agg(F.sum("n").alias("n"))
+                .groupBy(zip_).agg(first.alias("m")).select(zip_, F.col("m.value").alias(name)))
+
+    key = "geolocation_zip_code_prefix"
+    return (means.join(modes("geolocation_city", "city"), key, "left")
+            .join(modes("geolocation_state", "state"), key, "left")
+            .select(key, "avg_lat", "avg_lng", "city", "state", "point_count"))

@@ -29,10 +29,9 @@ def haversine_km(lat1, lng1, lat2, lng2, radius_km: float) -> F.Column:
 
 
 def zip_centroids(t) -> DataFrame:
-    # One row per zip prefix. Prefixes are 5-digit codes, so the frame has at
-    # most 100,000 rows whatever the data volume: a size-bounded broadcast.
-    return F.broadcast(t.geolocation_clean.select("geolocation_zip_code_prefix", "avg_lat",
-                                                  "avg_lng"))
+    """One row per zip prefix. Nothing bounds the prefixes, so no hint: adaptive
+    execution broadcasts them where their measured size allows it."""
+    return t.geolocation_clean.select("geolocation_zip_code_prefix", "avg_lat", "avg_lng")
 
 
 def item_distances(t) -> DataFrame:

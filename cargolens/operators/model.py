@@ -63,16 +63,29 @@ def item_view(items: DataFrame, enriched: DataFrame, pc: DataFrame,
 
 
 def items_by_order(items: DataFrame) -> DataFrame:
-    price = F.sum("price")
-    freight = F.sum("freight_value")
-    return items.groupBy("order_id").agg(
-        F.count("order_item_id").alias("item_count"),
-        F.count_distinct("product_id").alias("unique_products"),
-        F.count_distinct("seller_id").alias("unique_sellers"),
-        price.alias("order_revenue"),
-        freight.alias("order_freight"),
-        F.sum(F.col("price") + F.col("freight_value")).alias("order_total"),
-    )
+    """Items added up per order. The sums are taken once per (order, product,
+    seller); only those rows are laid out for the two distinct counts, not
+    the items with their amounts."""
+    lines = items.groupBy("order_id", "product_id", "seller_id").agg(
+        F.count("order_item_id").alias("n"), F.sum("price").alias("price"),
+        F.sum("freight_value").alias("freight"),
+        F.sum(F.col("price") + F.col("freight_value")).alias("total"))
+    # Distinct ids: an id counts where it stands first among the order's lines with it.
+    ids = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("product_id").cast("string").alias("id")),
+                            F.struct(F.lit(1).alias("kind"), F.col("seller_id").cast("string").alias("id"))))
+    kinds = (lines.select("order_id", ids.alias("x")).where("x.id is not null").distinct()
+             .groupBy("order_id").agg(F.count_if(F.col("x.kind") == 0).alias("unique_products"),
+                                      F.count_if(F.col("x.kind") == 1).alias("unique_sellers")))
+    # Adding up sums must not widen the decimals once more.
+    kinds_of = items.agg(F.sum("price").alias("price"), F.sum("freight_value").alias("freight"),
+                         F.sum(F.col("price") + F.col("freight_value")).alias("total")).schema
+    sums = lines.groupBy("order_id").agg(F.sum("n").alias("item_count"), *[
+        F.sum(c).cast(kinds_of[c].dataType).alias(name)
+        for c, name in (("price", "order_revenue"), ("freight", "order_freight"), ("total", "order_total"))])
+    return sums.join(kinds, "order_id", "left").select(
+        "order_id", "item_count", F.coalesce("unique_products", F.lit(0)).alias("unique_products"),
+        F.coalesce("unique_sellers", F.lit(0)).alias("unique_sellers"),
+        "order_revenue", "order_freight", "order_total")
 
 
 def orders_summary(items: DataFrame, enriched: DataFrame) -> DataFrame:

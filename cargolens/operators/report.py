@@ -57,7 +57,7 @@ def _satisfaction_kpis(t) -> DataFrame:
     base = r.agg(avg_exact("review_score").alias("avg_review_score"),
                  pct(count_when(F.col("review_score") == 5), n).alias("five_star_rate"),
                  pct(count_when(F.col("review_score") == 1), n).alias("one_star_rate"))
-    rho = stats.spearman_raw(t.reviewed_delivered, [("delay_days", "review_score")]).select(
+    rho = stats.spearman_raw(t.reviewed_delivered, "order_id", [("delay_days", "review_score")]).select(
         F.col("rho").alias("delay_review_spearman"))
     return base.crossJoin(rho)
 
@@ -118,20 +118,13 @@ def write_processed_tables(t, path: str) -> dict[str, str]:
     files): kpi_summary, monthly_trends, category_performance,
     delivery_by_state (late_pct as a fraction), delay_vs_reviews."""
     from ..catalog import QUERIES
-    d = t.delivered
-    n = F.count(F.lit(1))
-    by_state = (d.groupBy("customer_state")
-                .agg(n.alias("orders"), F.avg("delivery_days").alias("avg_delivery"),
-                     (count_when(F.col("is_late")).cast("double") / n).alias("late_pct"))
-                .where(F.col("orders") >= t.cfg.min_orders_group)
-                .orderBy(F.desc("avg_delivery")))
     cat = QUERIES["category_performance"](t).drop("avg_review")
     frames = {
         "kpi_summary": QUERIES["kpi_summary_table"](t),
         "monthly_trends": QUERIES["monthly_trend_frame"](t).select(
             "order_month", "revenue", "order_count", "avg_order_value"),
         "category_performance": cat,
-        "delivery_by_state": by_state,
+        "delivery_by_state": QUERIES["published_delivery_by_state"](t),
         "delay_vs_reviews": QUERIES["delay_buckets8"](t),
     }
-    return {k: write_csv(v, os.path.join(path, k)) for k, v in frames.items()}
+    return {k: write_csv(v, os.path.join(path, k), single_file=True) for k, v in frames.items()}

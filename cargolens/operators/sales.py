@@ -224,7 +224,7 @@ def aov_trend_regression(t) -> DataFrame:
 @query("aov_trend_significance")
 def aov_trend_significance(t) -> DataFrame:
     """The regression's two-sided p-value (t test, n-2 df) and 5 % verdict."""
-    return stats.ols_test(stats.ols(monthly_aov_indexed(t), "month_index", "aov"))
+    return stats.ols_test(stats.ols_raw(monthly_aov_indexed(t), "month_index", "aov"))
 
 
 @query("payment_share")
@@ -242,14 +242,14 @@ def installment_spearman(t) -> DataFrame:
     """Credit-card orders: rank correlation of the primary payment's
     installments with order revenue, over all installment counts."""
     cc = t.orders_summary.where(F.col("primary_payment_type") == "credit_card")
-    return stats.spearman(cc, [("primary_installments", "order_revenue")])
+    return stats.spearman(cc, "order_id", [("primary_installments", "order_revenue")])
 
 
 @query("installment_spearman_test")
 def installment_spearman_test(t) -> DataFrame:
     """installment_spearman with its two-sided p-value."""
     cc = t.orders_summary.where(F.col("primary_payment_type") == "credit_card")
-    return stats.spearman_test(stats.spearman(cc, [("primary_installments", "order_revenue")]))
+    return stats.spearman_test(stats.spearman_raw(cc, "order_id", [("primary_installments", "order_revenue")]))
 
 
 @query("repeat_customers")

@@ -147,13 +147,13 @@ def score_distribution(t) -> DataFrame:
 @query("delay_spearman")
 def delay_spearman(t) -> DataFrame:
     """Rank correlation of delay days with review score."""
-    return stats.spearman(t.reviewed_delivered, [("delay_days", "review_score")])
+    return stats.spearman(t.reviewed_delivered, "order_id", [("delay_days", "review_score")])
 
 
 @query("delay_spearman_test")
 def delay_spearman_test(t) -> DataFrame:
     """delay_spearman with its two-sided p-value and significance stars."""
-    return stats.spearman_test(stats.spearman(t.reviewed_delivered, [("delay_days", "review_score")]))
+    return stats.spearman_test(stats.spearman_raw(t.reviewed_delivered, "order_id", [("delay_days", "review_score")]))
 
 
 @query("delay_buckets8")
@@ -195,41 +195,28 @@ def star_profile(t) -> DataFrame:
                        rnd(F.col("one_star") - F.col("five_star"), 4).alias("difference"))
 
 
-def _drivers_frame(t) -> DataFrame:
-    cols = ["review_score", *DRIVER_MEASURES]
-    return t.reviewed_delivered.select(*cols).dropna()  # listwise, as the notebook
+DRIVER_PAIRS = tuple((c, "review_score") for c in DRIVER_MEASURES)
 
 
 @query("spearman_drivers")
 def spearman_drivers(t) -> DataFrame:
     """Rank correlation of eight order measures with review score (listwise complete rows)."""
-    return stats.spearman(_drivers_frame(t), [(c, "review_score") for c in DRIVER_MEASURES],
-                          listwise=True)
+    return stats.spearman(t.reviewed_delivered, "order_id", DRIVER_PAIRS)
 
 
 @query("spearman_drivers_test")
 def spearman_drivers_test(t) -> DataFrame:
     """spearman_drivers with p-values and significance stars."""
-    return stats.spearman_test(
-        stats.spearman(_drivers_frame(t), [(c, "review_score") for c in DRIVER_MEASURES],
-                       listwise=True))
+    return stats.spearman_test(stats.spearman_raw(t.reviewed_delivered, "order_id", DRIVER_PAIRS))
 
 
 @query("spearman_matrix")
 def spearman_matrix(t) -> DataFrame:
-    """9 x 9 rank correlations (long form: x, y, rho), via MLlib's
-    distributed Spearman (average ranks for ties)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
+    """9 x 9 rank correlations (long form: x, y, rho), average ranks for ties,
+    over the rows without a NULL in any of the nine columns."""
     cols = ["review_score", *DRIVER_MEASURES]
-    d = _drivers_frame(t).select(*[F.col(c).cast("double").alias(c) for c in cols])
-    vec = VectorAssembler(inputCols=cols, outputCol="f").transform(d).select("f")
-    m = Correlation.corr(vec, "f", "spearman").head()[0].toArray()
-    spark = t.spark
-    rows = [(cols[i], cols[j], float(m[i][j])) for i in range(len(cols)) for j in range(len(cols))]
-    out = spark.createDataFrame(rows, "x string, y string, rho double")
-    return out.select("x", "y", rnd("rho", 6).alias("rho"))
+    raw = stats.spearman_raw(t.reviewed_delivered, "order_id", [(x, y) for x in cols for y in cols])
+    return raw.select("x", "y", rnd("rho", 6).alias("rho"))
 
 
 @query("late_freight_crosstab")

@@ -48,7 +48,7 @@ def dim_seller(t) -> DataFrame:
     """Seller dimension with zip centroid."""
     g = t.geolocation_clean.select(F.col("geolocation_zip_code_prefix").alias("seller_zip_code_prefix"),
                                    F.col("avg_lat").alias("lat"), F.col("avg_lng").alias("lng"))
-    return t["sellers"].join(F.broadcast(g), "seller_zip_code_prefix", "left").select(
+    return t["sellers"].join(g, "seller_zip_code_prefix", "left").select(
         "seller_id", "seller_city", "seller_state", "seller_zip_code_prefix", "lat", "lng")
 
 

@@ -11,6 +11,7 @@ steps do; it also cuts the lineage.
 from __future__ import annotations
 
 import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,17 +98,19 @@ class Tables:
     # -- materialisation ---------------------------------------------------
     STAGE1 = ("orders_clean", "reviews_clean", "products_clean", "payments_order_agg",
               "geolocation_clean")
-    STAGE2 = ("orders_summary", "item_view")
+    STAGE2 = ("orders_enriched",)
+    STAGE3 = ("orders_summary", "item_view")
 
     def materialize(self, path: str | None = None,
-                    names: tuple[str, ...] = STAGE1 + STAGE2,
+                    names: tuple[str, ...] = STAGE1 + STAGE2 + STAGE3,
                     raw_names: tuple[str, ...] = (), parallel: int = 4) -> "Tables":
         """Write the shared derived tables as Parquet and read them back.
 
-        ``path`` defaults to a folder under ``spark.checkpoint.dir`` (a shared
-        filesystem on a cluster). Clean tables are written first and the
-        summary and item view are then built from those files, so no lineage
-        is computed twice. The summary and the view are partitioned by month,
+        ``path`` defaults to a folder of this run under ``spark.checkpoint.dir`` (a shared
+        filesystem on a cluster). Clean tables are written first, the orders with their customers,
+        reviews and payments next, and the summary and item view are then both built from those files, so no
+        lineage is computed twice, and the view's join reads plain tables on both sides, so that
+        adaptive execution can split an order with a large share of the lines. The summary and the view are partitioned by month,
         so month filters prune files. ``raw_names`` also writes raw tables
         that are themselves computed (the driver-table adapter's), so they
         are built once. Independent writes of a stage are submitted from up
@@ -116,7 +119,7 @@ class Tables:
         """
         from concurrent.futures import ThreadPoolExecutor
 
-        base = path or os.path.join(checkpoint_dir(self.spark), "model")
+        base = path or os.path.join(checkpoint_dir(self.spark), f"model-{uuid.uuid4().hex}")
 
         def run_stage(jobs: list[tuple[str, DataFrame, tuple, tuple]]) -> None:
             def one(job):
@@ -131,9 +134,9 @@ class Tables:
             raw[n] = self.spark.read.parquet(os.path.join(base, "raw", n))
         derived: dict[str, DataFrame] = {}
         current: Tables = Tables(self.spark, raw, self.cfg)
-        for stage in (self.STAGE1, self.STAGE2):
+        for stage in (self.STAGE1, self.STAGE2, self.STAGE3):
             todo = [n for n in stage if n in names]
-            part = ("order_month",) if stage is self.STAGE2 else ()
+            part = ("order_month",) if stage is self.STAGE3 else ()
             cluster = ("order_id",) if part else ()
             run_stage([(os.path.join(base, n), getattr(current, n), part, cluster) for n in todo])
             for n in todo:

@@ -49,11 +49,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment sets it to a shared filesystem; we only fill
-    it in when it is unset (local runs and tests), with a fresh scratch folder.
+    On a cluster the deployment sets it to a shared filesystem. Where it is
+    unset, a local session (one machine, so a local folder is shared) gets a
+    fresh scratch folder; any other is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir is not set: on {master} intermediate tables need a folder "
+                             "that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="cargolens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -61,8 +66,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 
-def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
-                   max_partitions: int = 200_000) -> int:
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20) -> int:
     """Size shuffles for an input of ``input_bytes`` (e.g. 100 TB).
 
     The initial shuffle partition count is input / target (AQE then coalesces
@@ -70,7 +74,7 @@ def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes
     match the target, so a task's share fits in executor memory with room to
     spill. Returns the partition count it set.
     """
-    n = max(1, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    n = max(1, -(-input_bytes // target_partition_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes // 2))

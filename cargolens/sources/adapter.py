@@ -43,6 +43,13 @@ PAYMENT_TYPE_MAP = (("view", "credit_card"), ("click", "boleto"), ("signup", "vo
 _SCHEMAS: dict = {}
 
 
+def _modified(spark: SparkSession, path: str) -> int:
+    """Modification time of a file or folder, in whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime()
+
+
 def read_driver_tables(spark: SparkSession, sf_dir: str,
                        names: tuple[str, ...] = DRIVER_TABLES) -> dict[str, DataFrame]:
     """The driver parquet files. Timestamps are pinned to timestamp_ntz
@@ -52,11 +59,12 @@ def read_driver_tables(spark: SparkSession, sf_dir: str,
     out = {}
     for n in names:
         path = f"{sf_dir}/{n}.parquet"
-        # The footer schema is read once per file and process; later reads
-        # pass it explicitly, which skips the schema-inference job.
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = spark.read.parquet(path).schema
-        df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+        # The footer schema is read once per state of the file and process; later
+        # reads pass it explicitly, which skips the schema-inference job.
+        key = (path, _modified(spark, path))
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = spark.read.parquet(path).schema
+        df = spark.read.schema(_SCHEMAS[key]).parquet(path)
         ts = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)]
         out[n] = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ts}) if ts else df
     return out

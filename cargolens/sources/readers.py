@@ -22,10 +22,48 @@ def _as_text(schema: StructType) -> StructType:
                                    else f.dataType, True) for f in schema.fields])
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a CSV as text, by their header names, and the text of records
+    whose fields do not match the header."""
+    def reader():
+        return (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+                .option("escape", '"').option("mode", "PERMISSIVE"))
+
+    header = reader().csv(path).columns
+    text = StructType([StructField(c, StringType(), True) for c in (*header, CORRUPT)])
+    return reader().option("columnNameOfCorruptRecord", CORRUPT).schema(text).csv(path)
+
+
+def corrupt_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One row: records of a CSV, those whose number of fields is not the header's, and those
+    with a value that is not of its column's type."""
+    df = _csv_text(spark, path)
+    bad = F.lit(False)
+    for f in schema.fields:
+        if f.name in df.columns and not isinstance(f.dataType, StringType):
+            c = F.col(f"`{f.name}`")
+            bad = bad | (c.isNotNull() & c.try_cast(f.dataType).isNull())
+    return df.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"),
+                  F.count_if(bad).alias("mistyped"))
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: StructType,
                    timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
-    df = (spark.read.schema(_as_text(schema)).option("header", True).option("mode", "PERMISSIVE")
-          .csv(path))
+    """A CSV file or folder with headers, as the published export writes them.
+
+    Quoted fields may hold commas, newlines and doubled quotes (RFC 4180). Columns
+    are bound by header name, in any order; one that is missing is NULL, others are left out. A
+    record that does not parse is kept, with NULLs where it does not fit, and
+    counted by :func:`corrupt_records`. Quoted newlines keep a file from being
+    split, so large exports should be written to Parquet once.
+    """
+    df = _csv_text(spark, path)
+    wanted = {f.name: f for f in _as_text(schema).fields}
+    df = df.select(*[(F.col(f"`{n}`").try_cast(f.dataType) if n in df.columns else F.lit(None).cast(f.dataType)).alias(n)
+                     for n, f in wanted.items()])
     cols = []
     for f in schema.fields:
         if isinstance(f.dataType, TimestampNTZType):

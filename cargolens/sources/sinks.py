@@ -54,9 +54,9 @@ def create_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = True) -> str:
-    """CSV with a header. ``single_file`` is for small reports (the KPI table);
-    large frames should keep their partitioning."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
+    """CSV with a header, one file per partition. ``single_file`` puts the rows
+    into one task and is for small reports (the KPI table)."""
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
     return path

@@ -32,8 +32,7 @@ NAMES = sorted(_SQL) if os.environ.get("CARGOLENS_FULL_ORACLE") else SUBSET
 
 def test_every_query_is_registered_with_sql_or_a_reason():
     missing = set(_Q) - set(_SQL)
-    assert missing == {"aov_trend_significance", "installment_spearman_test",
-                       "mann_whitney_route_test", "delay_spearman_test", "spearman_drivers_test"}
+    assert not missing
 
 
 @pytest.mark.parametrize("name", NAMES)

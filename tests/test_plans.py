@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from cargolens.catalog import QUERIES
 
@@ -38,7 +39,7 @@ def test_month_filter_prunes_partitions(model):
 def test_summary_aggregates_items_before_the_join(tables):
     p = plan(tables.orders_summary)
     # partial aggregation of items sits below the exchange that feeds the join
-    assert "HashAggregate" in p and "Expand" in p
+    assert "HashAggregate" in p and "Expand" not in p
     # the join with the orders comes after the item aggregate, never a
     # 25-column grouping over joined item rows
     assert "Keys [25]" not in p
@@ -47,18 +48,41 @@ def test_summary_aggregates_items_before_the_join(tables):
 def test_review_dedupe_is_an_aggregate_not_a_window(tables):
     p = plan(tables.reviews_clean)
     assert "Window" not in p
-    assert "max_by" in p
+    assert "partial_max" in p
 
 
-def test_ranking_windows_are_partitioned_by_value_range(tables, monkeypatch):
-    # Spearman ranks distinct values. Past VALUES_PER_RANGE distinct values
-    # the ranking window is partitioned by value range; the only other
-    # window runs over the per-range totals (one row per range).
-    from cargolens.functions import stats
-    monkeypatch.setattr(stats, "VALUES_PER_RANGE", 2)
+def test_ranking_windows_are_partitioned(tables):
+    # Values are ranked inside buckets; only the buckets' totals stand in one window.
     p = plan(QUERIES["delay_spearman"](tables))
     specs = [line for line in p.splitlines()
              if line.strip().startswith("Arguments:") and "windowspecdefinition" in line]
     assert specs
     for line in specs:
-        assert "rng" in line
+        assert "bkt" in line
+
+
+def test_one_ranking_job_for_all_drivers(tables):
+    """Nine columns and 81 pairs: the order summary stands in the plan for the rows, the values and the buckets'
+    totals (the latter two are one exchange at run time), not once for each pair."""
+    matrix, summary = plan(QUERIES["spearman_matrix"](tables)), plan(tables.orders_summary)
+    scans = lambda p: len({x for x in p.split("\n\n") if "Scan parquet" in x.split("\n")[0]})
+    assert scans(matrix) <= 3 * scans(summary) + 1, (scans(matrix), scans(summary))
+
+
+def test_monthly_sales_does_not_read_the_reviews(tables):
+    from cargolens.operators import model
+    enriched = model.orders_enriched(tables.orders_clean, tables["customers"], tables.reviews_clean,
+                                     tables.payments_order_agg, tables.cfg)
+    revenue = model.orders_summary(tables["order_items"], enriched).groupBy("order_month").agg(F.sum("order_revenue"))
+    assert "events" not in plan(revenue)
+
+
+def test_no_exchange_between_review_dedupe_and_its_join(spark, tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        o = tables["orders"].select("order_id", "order_status").repartition("order_id")
+        p = plan(o.join(tables.reviews_clean, "order_id", "left"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one for the orders, one between the two halves of the aggregate
+    assert sum("Exchange" in line and "hashpartitioning(order_id" in line for line in p.splitlines()) <= 2

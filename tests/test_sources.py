@@ -101,7 +101,44 @@ def test_parquet_catalog_and_csv_folder_readers(spark, tables, tmp_path):
     assert cat["orders"].count() == tables["orders"].count()
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        assert size_for_input(spark, 100 * 2**40) == 200_000       # capped
+        assert size_for_input(spark, 100 * 2**40) == 409_600       # 100 TiB / 256 MiB
         assert size_for_input(spark, 10 * 2**30) == 40              # 10 GiB / 256 MiB
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_csv_with_quoted_newlines_and_doubled_quotes(spark, tmp_path):
+    from cargolens.sources.schemas import raw_schemas
+    schema = raw_schemas(LongType())["reviews"]
+    # header in another order; a comma, a newline and doubled quotes inside fields
+    (tmp_path / "r.csv").write_text(
+        'order_id,review_id,review_score,review_comment_message,review_comment_title,review_creation_date,review_answer_timestamp\n'
+        '11,1,5,"good, ""very"" good","top ""1""",2018-01-01 00:00:00,2018-01-02 10:00:00\n'
+        '12,2,1,"first line\nsecond line",,2018-01-01 00:00:00,2018-01-03 11:30:00\n'
+        '13,3,x4,plain,,2018-01-01 00:00:00,not a time\n'
+        '14,4,3,too,many,2018-01-01 00:00:00,2018-01-04 00:00:00,fields\n', encoding="utf-8")
+    got = {r["review_id"]: r for r in readers.read_csv_table(spark, str(tmp_path / "r.csv"), schema).collect()}
+    assert len(got) == 4 and [f for f in got[1].asDict()] == [f.name for f in schema.fields]
+    assert got[1]["review_comment_message"] == 'good, "very" good' and got[1]["review_comment_title"] == 'top "1"'
+    assert got[1]["order_id"] == 11 and str(got[1]["review_answer_timestamp"]) == "2018-01-02 10:00:00"
+    assert got[2]["review_comment_message"] == "first line\nsecond line" and got[2]["review_score"] == 1
+    assert got[3]["review_score"] is None and got[3]["review_answer_timestamp"] is None
+    bad = readers.corrupt_records(spark, str(tmp_path / "r.csv"), schema).first()
+    assert (bad["records"], bad["malformed"], bad["mistyped"]) == (4, 1, 1)
+
+
+def test_checkpoint_folder_is_an_error_on_a_cluster():
+    import pytest
+
+    from cargolens.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
