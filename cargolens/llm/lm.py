@@ -8,7 +8,7 @@ which costs the context's backoff weight and leads to the context without its fi
 word. The empty context has an arc for every word.
 
 No task holds the whole model. Documents are first put together to shards of
-about a million tokens. A shard asks for the n-grams it has itself: it sends
+some hundred thousand tokens. A shard asks for the n-grams it has itself: it sends
 their sorted 64-bit keys with its own training counts, cut by key range, to the
 tasks that add up the counts of one range over all shards, and gets the totals
 back in the same order. So what moves is a few bytes for each different n-gram of
@@ -41,7 +41,7 @@ ORDER = 3
 DISCOUNT = 0.75
 ADD = 0.1
 HELD_OUT_MODULUS = 10
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 600_000
 #: Entries of one key range over all shards, about.
 RANGE_ENTRIES = 2_000_000
 #: Tokens that a walk takes in one piece; all pieces of a shard walk side by side.
@@ -95,14 +95,14 @@ def make_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), count()
 
     def shard() -> pa.RecordBatch:
+        # Words are numbered as they come, so common ones have small numbers, which pack well.
         keys = np.array([END, *(word_key(w) for w in index)], dtype=np.uint64)
-        keys, place = np.unique(keys, return_inverse=True)
         flat = np.fromiter((i for t in tokens for i in t), np.int64, sum(map(len, tokens)))
         return pa.record_batch({
             "shard": [(part << 32) + next(number)], "doc_id": pa.array([ids], pa.list_(doc_id_type)),
             "held_out": pa.array([held], pa.list_(pa.bool_())),
             "sizes": pa.array([list(map(len, tokens))], pa.list_(pa.int64())),
-            "tokens": [pack(place[flat])], "vocabulary": [pack_keys(keys)], "n": [len(flat)]})
+            "tokens": [pack(flat)], "vocabulary": [keys.tobytes()], "n": [len(flat)]})
 
     def empty():
         index = defaultdict(count(1).__next__)
@@ -135,7 +135,7 @@ class Grams:
 
     def __init__(self, row: dict, levels: set[int]):
         sizes = np.array(row["sizes"], dtype=np.int64)
-        vocabulary, tokens = unpack_keys(row["vocabulary"]), unpack(row["tokens"])
+        vocabulary, tokens = np.frombuffer(row["vocabulary"], dtype=np.uint64), unpack(row["tokens"])
         first = np.cumsum(sizes + 1) - sizes - 1
         is_token = np.ones(len(tokens) + len(sizes), dtype=bool)
         is_token[first] = False
@@ -231,7 +231,7 @@ class Automaton:
         self.words = len(grams.key[1])
         state, base = {}, 1  # of each n-gram that is a context; state 0 has no words
         self.fail, self.backoff = [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
-        sources, symbols, weights, targets = [], [], [], []
+        sources, weights, targets = [], [], []
         lower = None
         for k in range(1, order + 1):
             total, follow, _ = found[k]
@@ -249,21 +249,20 @@ class Automaton:
             if k < order:
                 state[k] = np.where(known, base + np.cumsum(known) - 1, 0)
                 base += int(known.sum())
-                self.fail.append(state[k - 1][suffix][known] if k > 1 else np.zeros(int(known.sum()), dtype=np.int64))
+                self.fail.append(state[k - 1][suffix[known]] if k > 1 else np.zeros(int(known.sum()), dtype=np.int64))
                 # A context without followers is only ever left: its words are a text's last.
                 spread = np.where(follow > 0, DISCOUNT * follow, 1) / np.where(follow > 0, total, 1)
                 self.backoff.append(np.log10(spread[known]))
                 target = state[k]
             else:
                 target = state[k - 1][suffix]
-            sources.append(source[arc])
-            symbols.append(grams.at[1][grams.place[k]][arc])
+            sources.append(source[arc] * self.words + grams.at[1][grams.place[k][arc]])
             weights.append(np.log10(p[arc]))
-            targets.append(target[arc])
+            targets.append(target[arc].astype(np.int32))
             lower = p
         self.begin = int(state[1][np.searchsorted(grams.key[1], np.uint64(BEGIN))]) if order > 1 else 0
         self.fail, self.backoff = np.concatenate(self.fail), np.concatenate(self.backoff)
-        key = np.concatenate(sources) * self.words + np.concatenate(symbols)
+        key = np.concatenate(sources)  # state * number of words + word
         by_key = np.argsort(key)
         self.key, self.weight, self.target = key[by_key], np.concatenate(weights)[by_key], np.concatenate(targets)[by_key]
 
@@ -345,22 +344,23 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        (id_remainder(F.col(doc_id), held_out_modulus) == 0).alias("held_out"),
                        F.col(text).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shards = rows.mapInArrow(make_shards, f"shard long, doc_id array<{kind}>, held_out array<boolean>, "
-                             "sizes array<long>, tokens binary, vocabulary binary, n long")
-    # Dealt out by shard once: the answers then come to the shards, which stay where they are.
-    shards = cut(shards.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard"))
+    shards = cut(rows.mapInArrow(make_shards, f"shard long, doc_id array<{kind}>, held_out array<boolean>, "
+                                 "sizes array<long>, tokens binary, vocabulary binary, n long"))
     tokens = shards.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, tokens / RANGE_ENTRIES)))))
     n = v = 0
-    known = shards
+    answered = {}
     for k in range(order, 0, -1):
+        known = shards.join(answered[k + 1], "shard", "left") if k < order else shards
         asked = known.mapInArrow(ask(k, order, bits), "range long, shard long, keys binary, counts binary, follow binary")
         totals = cut(asked.groupBy("range").applyInArrow(
             add_up, "shard long, range long, total binary, follow binary, first binary, n long, v long"))
         if k == 1:
             n, v = (x or 0 for x in totals.agg(F.sum("n"), F.sum("v")).first())
-        by_shard = totals.groupBy("shard").agg(
+        answered[k] = totals.groupBy("shard").agg(
             F.collect_list(F.struct("range", "total", "follow", "first")).alias(f"answer{k}"))
+    known = shards
+    for by_shard in answered.values():
         known = known.join(by_shard, "shard", "left")
     return known.mapInArrow(score_shards(order, n, v), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
                             "train_tokens long, base_score double, score double")

@@ -35,9 +35,9 @@ def plain_mix(rows):
         open_ = open_ - above if above else set()
     out = []
     for s in order:
-        here = sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"{mixing.SEED}|{r[0]}".encode()).hexdigest())
+        here = sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"{mixing.SEED}|{'' if r[0] is None else r[0]}".encode()).hexdigest())
         copies = int(target[s] // size[s]) if size[s] else 0
-        left = round(target[s] - copies * size[s])
+        left = int(target[s] - copies * size[s] + 0.5)  # halves go up
         for i, _, t in here:
             words = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t)
             lead = re.match(r"[\x20\x09-\x0D]*", t)[0]
