@@ -77,14 +77,20 @@ def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occupied bins of each query's present range [low, high]."""
+    """Upper bins of each query's present range [low, high], as counted in a pair of blocks.
+
+    With the scores of one block alone the bin sought would be the one that
+    reaches the number wanted from the top; more scores only move it up. Bins below
+    that one cannot be it, and are not sent.
+    """
     for row, q_ids, _, s, counts in scored(batches):
-        low, high, width = (row[c].values.to_numpy()[:, None] for c in ("low", "high", "width"))
-        inside = counts & (s >= low) & (s <= high)
-        place, _ = np.nonzero(inside)
-        number = ((s - low) // width)[inside]
-        key, n = np.unique(place * BINS + number, return_counts=True)
-        yield pa.record_batch({"query_id": q_ids[key // BINS], "bin": key % BINS, "n": n})
+        low, high, width, want = (row[c].values.to_numpy()[:, None] for c in ("low", "high", "width", "want"))
+        place, at = np.nonzero(counts & (s >= low) & (s <= high))
+        number = ((s[place, at] - low[place, 0]) // width[place, 0])
+        n = np.bincount(place * BINS + number, minlength=len(q_ids) * BINS).reshape(-1, BINS)
+        above = np.cumsum(n[:, ::-1], axis=1)[:, ::-1] - n
+        query, at = np.nonzero((n > 0) & (above < want))
+        yield pa.record_batch({"query_id": q_ids[query], "bin": at, "n": n[query, at]})
 
 
 def winners(k: int):
@@ -127,7 +133,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:
         open_ = state.where("high > low and want > 0").groupBy("q_block").agg(F.count(F.lit(1)).alias("n"))
         if open_.isEmpty():
             break
-        bins = with_state(rows.join(open_.select("q_block"), "q_block", "left_semi"), state, ["low", "high", "width"]).mapInArrow(
+        bins = with_state(rows.join(open_.select("q_block"), "q_block", "left_semi"), state, ["low", "high", "width", "want"]).mapInArrow(
             histogram, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         above = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         reached = F.sum("n").over(above.rowsBetween(Window.unboundedPreceding, 0))
