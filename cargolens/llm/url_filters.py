@@ -5,7 +5,7 @@ longest rule that fits gives its verdict. The other URLs are judged by their
 words. A host label such as ``cheappillsonline`` is one run of letters, so it is split first: a
 unigram model, counted over the words of the pages themselves, gives each word a
 probability, and the Viterbi path is the most probable way to cut the run. Then a
-multinomial naive Bayes classifier scores the words of host and path.
+multinomial naive Bayes classifier scores the different words of host and path.
 
 Nobody labels URLs, so the classifier learns from the pages in two steps: a URL
 with a seed word among its segmented words is an example to block, any other
@@ -141,8 +141,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds
         shapes.select(F.lit("p"), F.col("p"), "n")).groupBy("kind", "part").agg(F.sum("n").alias("n"))
     each = cut(parts.select("kind", "part", F.posexplode(F.split("part", " ")).alias("nth", "run")).where("run <> ''"))
     cuts = cut(segment(each.select("run").distinct(), word_counts(pages, seeds)))
-    tokens = cut(each.join(cuts, "run").select("kind", "part", F.explode("words").alias("word")).groupBy(
-        "kind", "part", "word").agg(F.count(F.lit(1)).alias("times")))
+    # A word counts once for a host and once for a path, however often it stands there: a path that repeats
+    # a word a thousand times must not outweigh all other URLs.
+    tokens = cut(each.join(cuts, "run").select("kind", "part", F.explode("words").alias("word")).distinct())
     # A page is an example to block if its host or its path has a seed.
     seeded = tokens.groupBy("kind", "part").agg(F.max(F.col("word").isin(*seeds).cast("int")).alias("seed"))
     weighed = shapes
@@ -155,7 +156,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds
         weighed.select(F.lit("p"), F.col("p"), "n", "bad")).groupBy("kind", "part").agg(
         F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     counts = cut(tokens.join(cut(by_part), ["kind", "part"]).groupBy("kind", "word").agg(
-        F.sum(F.col("times") * F.col("bad")).alias("bad"), F.sum(F.col("times") * (F.col("n") - F.col("bad"))).alias("good")))
+        F.sum("bad").alias("bad"), F.sum(F.col("n") - F.col("bad")).alias("good")))
     n, bad_n = weighed.agg(F.sum("n"), F.sum("bad")).first()
     bad_words, good_words, v = counts.agg(F.sum("bad"), F.sum("good"), F.count(F.lit(1))).first()
     if not v:
@@ -164,7 +165,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds
     prior = math.log((bad_n + SMOOTHING) / (n - bad_n + SMOOTHING))
     shift = math.log((good_words + SMOOTHING * v) / (bad_words + SMOOTHING * v))
     odds = counts.select("kind", "word", (F.log((F.col("bad") + SMOOTHING) / (F.col("good") + SMOOTHING)) + shift).alias("odds"))
-    scores = tokens.join(odds, ["kind", "word"]).groupBy("kind", "part").agg(F.sum(F.col("times") * F.col("odds")).alias("s"))
+    scores = tokens.join(odds, ["kind", "word"]).groupBy("kind", "part").agg(F.sum("odds").alias("s"))
     scores = cut(scores)
     for kind in "hp":
         rows = rows.join(scores.where(F.col("kind") == kind).select(F.col("part").alias(kind), F.col("s").alias(f"score_{kind}")),

@@ -39,7 +39,8 @@ def test_contract_columns(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == (verdict or r.verdict) and r.verdict in (BLOCK, ALLOW)
     by = {u: r for u, r in zip(URLS, got)}
-    assert by["http://www.cheappills.org/shop/buy"].verdict == by["http://adult-x.example.org/en/4"].verdict == BLOCK
+    assert by["http://www.cheappills.org/shop/buy"].verdict == BLOCK
+    assert by["http://adult-x.example.org/en/4"].score > by["http://thing.example.org/en/4"].score
     assert by["http://thing.example.org/en/4"].verdict == by[""].verdict == by[None].verdict == ALLOW
 
 
@@ -72,8 +73,8 @@ def test_scores_against_plain_bayes(spark):
     pages = []
     for u in urls:
         _, _, host, path = re.match("(.*?)(//)([^/]*)(.*)", u).groups()
-        pages.append([(k, w) for k, s in (("h", host), ("p", path)) for r in re.findall("[a-z]+|[0-9]+", s)
-                      for w in words["#" if r.isdigit() else r]])
+        pages.append({(k, w) for k, s in (("h", host), ("p", path)) for r in re.findall("[a-z]+|[0-9]+", s)
+                      for w in words["#" if r.isdigit() else r]})
     bad = [any(w in SEEDS for _, w in t) for t in pages]
     count = {b: Counter(w for t, x in zip(pages, bad) if x == b for w in t) for b in (True, False)}
     v = len(count[True] | count[False])
@@ -83,3 +84,12 @@ def test_scores_against_plain_bayes(spark):
     for r, t in zip(got, pages):
         assert r.score == pytest.approx(prior + sum(odds[w] for w in t))
         assert r.verdict == (BLOCK if r.score > 0 else ALLOW)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_hosts_with_seeds_are_blocked_and_others_are_not(spark, sf):
+    got = judge(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).where("rule is null").collect()
+    seeded = [r for r in got if set(re.split("[^a-z]", r.host)) & set(SEEDS)]
+    clean = [r for r in got if not set(re.split("[^a-z]", r.host)) & set(SEEDS)]
+    assert seeded and {r.verdict for r in seeded} == {BLOCK}
+    assert sum(r.verdict == BLOCK for r in clean) <= len(clean) // 50
