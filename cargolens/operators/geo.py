@@ -182,8 +182,10 @@ def buffer_whatif(t) -> DataFrame:
     """Late orders that would be on time if the estimate were n days longer
     on routes over the distance cut (order distance = its longest item)."""
     cfg = t.cfg
-    dist = item_distances(t).groupBy("order_id").agg(F.max("distance_km").alias("order_km"))
-    d = t.delivered.select("order_id", "delay_days", "is_late").join(dist, "order_id", "left")
+    # The view has every order of the summary with its delay on each item: one pass, one grouping.
+    d = (item_distances(t).where(F.col("delivery_days").isNotNull()).groupBy("order_id")
+         .agg(F.max("distance_km").alias("order_km"), F.max("delay_days").alias("delay_days"),
+              F.bool_or("is_late").alias("is_late")))
     long = F.coalesce(F.col("order_km") > cfg.whatif_min_km, F.lit(False))
     late_after = F.when(long, F.col("delay_days") > float(cfg.whatif_extra_days)).otherwise(F.col("is_late"))
     n = F.count(F.lit(1))

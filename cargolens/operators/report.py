@@ -14,16 +14,6 @@ from ..functions.exprs import avg_exact, count_when, pct, rnd
 from ..sources.sinks import write_csv
 
 
-def _sales_kpis(t) -> DataFrame:
-    s = t.orders_summary
-    base = s.agg(F.sum("order_revenue").alias("total_revenue"), F.count(F.lit(1)).alias("total_orders"),
-                 F.count_distinct("customer_unique_id").alias("unique_customers"),
-                 avg_exact("order_revenue").alias("avg_order_value"))
-    med = stats.quantiles(s, "order_revenue", [0.5], ["median_order_value"], t.cfg.exact_percentiles,
-                          t.cfg.approx_accuracy)
-    return base.crossJoin(med)
-
-
 def _product_kpis(t) -> DataFrame:
     """Active categories, top category and the Pareto point from one
     per-category frame (a window over categories only)."""
@@ -39,33 +29,37 @@ def _product_kpis(t) -> DataFrame:
                  F.min(F.when(hit, F.col("rank"))).alias("pareto_categories"))
 
 
-def _delivery_kpis(t) -> DataFrame:
-    d = t.delivered
-    n = F.count(F.lit(1))
-    base = d.agg(F.avg("delivery_days").alias("avg_delivery_days"),
-                 pct(count_when(F.col("is_late")), n).alias("late_delivery_rate"),
-                 F.avg("handling_days").alias("avg_handling_days"),
-                 F.avg("transit_days").alias("avg_transit_days"))
-    med = stats.quantiles(d, "delivery_days", [0.5], ["median_delivery_days"], t.cfg.exact_percentiles,
-                          t.cfg.approx_accuracy)
-    return base.crossJoin(med)
-
-
-def _satisfaction_kpis(t) -> DataFrame:
-    r = t.reviewed
-    n = F.count(F.lit(1))
-    base = r.agg(avg_exact("review_score").alias("avg_review_score"),
-                 pct(count_when(F.col("review_score") == 5), n).alias("five_star_rate"),
-                 pct(count_when(F.col("review_score") == 1), n).alias("one_star_rate"))
-    rho = stats.spearman_raw(t.reviewed_delivered, "order_id", [("delay_days", "review_score")]).select(
-        F.col("rho").alias("delay_review_spearman"))
-    return base.crossJoin(rho)
+def _summary_kpis(t) -> DataFrame:
+    """Sales, delivery and satisfaction figures: one pass over the order summary,
+    each figure over the orders that it speaks of."""
+    score, days = F.col("review_score"), F.col("delivery_days")
+    delivered = days.isNotNull()
+    n_delivered, n_scored = F.count(days), F.count(score)
+    return t.orders_summary.agg(
+        F.sum("order_revenue").alias("total_revenue"), F.count(F.lit(1)).alias("total_orders"),
+        F.count_distinct("customer_unique_id").alias("unique_customers"),
+        avg_exact("order_revenue").alias("avg_order_value"),
+        F.avg(days).alias("avg_delivery_days"),
+        pct(count_when(delivered & F.col("is_late")), n_delivered).alias("late_delivery_rate"),
+        F.avg(F.when(delivered, F.col("handling_days"))).alias("avg_handling_days"),
+        F.avg(F.when(delivered, F.col("transit_days"))).alias("avg_transit_days"),
+        avg_exact("review_score").alias("avg_review_score"),
+        pct(count_when(score == 5), n_scored).alias("five_star_rate"),
+        pct(count_when(score == 1), n_scored).alias("one_star_rate"))
 
 
 def executive_kpis_raw(t) -> DataFrame:
-    """One row of 17 figures; every part is a one-row aggregate."""
-    return (_sales_kpis(t).crossJoin(_product_kpis(t)).crossJoin(_delivery_kpis(t))
-            .crossJoin(_satisfaction_kpis(t)))
+    """One row of 17 figures; every part is a one-row aggregate. The order summary is
+    computed once: the medians and the rank correlation pass over it again."""
+    t = t.once("orders_summary")
+
+    def median(c: str, name: str) -> DataFrame:
+        return stats.quantiles(t.orders_summary, c, [0.5], [name], t.cfg.exact_percentiles, t.cfg.approx_accuracy)
+
+    rho = stats.spearman_raw(t.reviewed_delivered, "order_id", [("delay_days", "review_score")]).select(
+        F.col("rho").alias("delay_review_spearman"))
+    return (_summary_kpis(t).crossJoin(median("order_revenue", "median_order_value"))
+            .crossJoin(median("delivery_days", "median_delivery_days")).crossJoin(_product_kpis(t)).crossJoin(rho))
 
 
 @query("executive_kpis")

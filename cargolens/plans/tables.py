@@ -31,6 +31,7 @@ class Tables:
         self.cfg = cfg
         for name, df in (derived or {}).items():
             self.__dict__[name] = df  # pre-fills the cached properties
+        self._written = set(derived or ())
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.raw[name]
@@ -95,6 +96,17 @@ class Tables:
     def reviewed_delivered(self) -> DataFrame:
         return model.reviewed_delivered(self.orders_summary)
 
+    def once(self, *names: str) -> "Tables":
+        """These derived tables computed now, once, into spark.checkpoint.dir, for queries that
+        pass over them several times (ranks, medians, several reports side by side): each pass
+        then reads files instead of running the whole lineage. Written tables stay as they are."""
+        checkpoint_dir(self.spark)
+        for name in names:
+            if name not in self._written:
+                self.__dict__[name] = getattr(self, name).checkpoint(eager=True)
+                self._written.add(name)
+        return self
+
     # -- materialisation ---------------------------------------------------
     STAGE1 = ("orders_clean", "reviews_clean", "products_clean", "payments_order_agg",
               "geolocation_clean")
