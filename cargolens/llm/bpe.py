@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_local
+from .common import spare_names, worker_local
 
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -205,8 +205,9 @@ def encode_texts(docs: DataFrame, text: str = "text", ranks: str = RANKS,
             yield pa.array(rows, type=arrow_type)
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    return docs.select(*kept, encoded(F.col(text)).alias("encoded__")).select(
-        *kept, *[F.col(f"encoded__.{c}").alias(c) for c in new])
+    (made,) = spare_names(docs, "encoded")
+    return docs.select(*kept, encoded(F.col(text)).alias(made)).select(
+        *kept, *[F.col(f"{made}.{c}").alias(c) for c in new])
 
 
 def op7_bpe(docs: DataFrame) -> DataFrame:

@@ -75,3 +75,15 @@ def worker_local(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

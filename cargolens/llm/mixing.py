@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, word_count
+from .common import WORD, cut, spare_names, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -103,23 +103,21 @@ def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sou
     appears once more with as many of its leading words as the mix takes, each followed by what
     stood after it. Documents not taken go.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.withColumn("m_row", row)
-    taken = mix(marked, doc_id, source, text, also=("m_row",), **options).where("taken > 0")
-    # Repeated rows share m_row, and what they take together is dealt to them anew.
-    taken = taken.groupBy("m_row").agg(F.max("size").alias("m_size"), F.max("copies").alias("m_copies"),
-                                       F.sum("extra").alias("m_extra"))
-    nth = Window.partitionBy("m_row").orderBy(doc_id)
-    rows = marked.join(cut(taken), "m_row").withColumn("m_nth", F.row_number().over(nth) - 1)
-    own = F.greatest(F.lit(0), F.least(F.col("m_size"), F.col("m_extra") - F.col("m_nth") * F.col("m_size"))).cast("int")
-    whole = F.col("m_copies") + (own == F.col("m_size")).cast("long")
+    row, size, copies, extra, nth, words = spare_names(docs, "m_row", "m_size", "m_copies", "m_extra", "m_nth", "m_words")
+    marked = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    taken = mix(marked, doc_id, source, text, also=(row,), **options).where("taken > 0")
+    # Repeated rows share their hash, and what they take together is dealt to them anew.
+    taken = cut(taken.groupBy(row).agg(F.max("size").alias(size), F.max("copies").alias(copies), F.sum("extra").alias(extra)))
+    rows = marked.join(taken, row).withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(doc_id)) - 1)
+    own = F.greatest(F.lit(0), F.least(F.col(size), F.col(extra) - F.col(nth) * F.col(size))).cast("int")
+    whole = F.col(copies) + (own == F.col(size)).cast("long")
     pieces = F.concat(F.array_repeat(F.lit(-1), whole.cast("int")),
-                      F.when((own > 0) & (own < F.col("m_size")), F.array(own)).otherwise(F.array().cast("array<int>")))
-    rows = rows.select(*docs.columns, F.explode(pieces).alias("m_words"))
+                      F.when((own > 0) & (own < F.col(size)), F.array(own)).otherwise(F.array().cast("array<int>")))
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(pieces).alias(words))
     leading = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
     kept = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1,
-                                F.greatest(F.col("m_words"), F.lit(0))), "")
-    return rows.withColumn(text, F.when(F.col("m_words") < 0, F.col(text)).otherwise(F.concat(leading, kept))).drop("m_words")
+                                F.greatest(F.col(words), F.lit(0))), "")
+    return rows.withColumn(text, F.when(F.col(words) < 0, F.col(text)).otherwise(F.concat(leading, kept))).drop(words)
 
 
 def op3_mixing(docs: DataFrame) -> DataFrame:

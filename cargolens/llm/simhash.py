@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spare_names
 from .components import connected_components
 
 #: The contract: words in a shingle, and bits in which linked fingerprints differ at most.
@@ -272,15 +272,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """The rows of ``docs`` with one row of each component: that of the smallest
     id (null last; of rows with the same id, that of the smallest row hash).
     Columns stay as they are; an empty table stays empty."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.withColumn("row__", row)
-    found = near_duplicates(marked, doc_id, text, ("row__",), width, max_bits)
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row__").alias("row")))
-    chosen = cut(found.groupBy("component").agg(first.alias("first")).select("first.id", "first.row"))
-    kept = marked.join(chosen, (F.col("row__") == F.col("row")) & F.col(doc_id).eqNullSafe(F.col("id")), "left_semi")
+    row, nth, kept_row, kept_id = spare_names(docs, "row", "nth", "kept_row", "kept_id")
+    marked = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = near_duplicates(marked, doc_id, text, (row,), width, max_bits)
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row")))
+    chosen = cut(found.groupBy("component").agg(first.alias("first")).select(
+        F.col("first.id").alias(kept_id), F.col("first.row").alias(kept_row)))
+    kept = marked.join(chosen, (F.col(row) == F.col(kept_row)) & F.col(doc_id).eqNullSafe(F.col(kept_id)), "left_semi")
     # Repeated rows have one hash; one of them stays.
-    one = Window.partitionBy("row__").orderBy(doc_id)
-    return kept.withColumn("nth__", F.row_number().over(one)).where("nth__ = 1").drop("nth__", "row__")
+    one = Window.partitionBy(row).orderBy(doc_id)
+    return kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth, row)
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:

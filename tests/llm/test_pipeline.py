@@ -75,6 +75,11 @@ def test_stages_keep_columns_and_empty_tables(spark, docs):
             assert out.count() <= 3
             if name != "bpe":
                 assert out.columns == docs.columns
+    clashing = docs.withColumnsRenamed({"lang": "row", "n_chars": "m_row"}).withColumn("encoded", docs.source)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, clashing, SF)
+        assert out.columns == clashing.columns and out.count() > 0
+    assert bpe.encode_texts(clashing).columns[:6] == clashing.columns
     groups = defaultdict(int)
     for r in corpus_pipeline.drop_near_duplicates(spark, more, SF).collect():
         groups[r.doc_id] += 1
