@@ -3,8 +3,8 @@
 A store holds additive totals (documents, tokens) by source, language and tokenizer
 version. Changes come in batches: inserts, deletes and revised counts of
 documents. A batch is turned into signed deltas against what the store knows of the same
-documents and the deltas are added up before they are written, so a batch costs its
-own size and totals are sums of small rows.
+documents (a semi join with the earlier changes; no text is read again), and the deltas
+are added up before they are written, so totals are sums of small rows.
 
 The store is a folder with two tables, both partitioned by batch:
 

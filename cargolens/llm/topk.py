@@ -33,21 +33,20 @@ def quantise(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale)).alias("x"))
 
 
-def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """One row for each block of about ``size`` vectors: number, ids, matrix."""
+def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """One row for each block of about ``size`` vectors (number, ids, matrix), and how many there are at most."""
     n = max(1, -(-rows.count() // size))
     return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(f"{name}_block")).agg(
         F.collect_list(F.struct("vec_id", "x")).alias("rows")).select(
-        f"{name}_block", F.col("rows.vec_id").alias(f"{name}_ids"), F.col("rows.x").alias(name))
+        f"{name}_block", F.col("rows.vec_id").alias(f"{name}_ids"), F.col("rows.x").alias(name)), n
 
 
 def block_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every block of queries with every block of candidates, each pair on its own key."""
-    q, c = cut(blocks(queries, QUERY_BLOCK, "q")), cut(blocks(candidates, CANDIDATE_BLOCK, "c"))
-    q_numbers = F.lit([r[0] for r in q.select("q_block").collect()]).cast("array<long>")
-    c_numbers = F.lit([r[0] for r in c.select("c_block").collect()]).cast("array<long>")
-    return q.withColumn("c_block", F.explode(c_numbers)).join(
-        c.withColumn("q_block", F.explode(q_numbers)), ["q_block", "c_block"])
+    (q, n_q), (c, n_c) = blocks(queries, QUERY_BLOCK, "q"), blocks(candidates, CANDIDATE_BLOCK, "c")
+    q, c = cut(q), cut(c)
+    return q.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1).cast("long")))).join(
+        c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1).cast("long")))), ["q_block", "c_block"])
 
 
 def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
