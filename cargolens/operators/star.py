@@ -70,8 +70,10 @@ def dim_customer(t) -> DataFrame:
 
 @query("dim_product")
 def dim_product(t) -> DataFrame:
-    """Product dimension (the cleaned products)."""
-    return t.products_clean
+    """Product dimension: the cleaned products, and how often each was sold (all time)."""
+    sold = t["order_items"].groupBy("product_id").agg(F.count(F.lit(1)).alias("items_sold"))
+    return t.products_clean.join(sold, "product_id", "left").withColumn(
+        "items_sold", F.coalesce("items_sold", F.lit(0)))
 
 
 @query("dim_date")
@@ -91,8 +93,14 @@ def dim_date(t) -> DataFrame:
 
 @query("dim_geography")
 def dim_geography(t) -> DataFrame:
-    """Zip-prefix dimension (centroid, modal city and state)."""
-    return t.geolocation_clean
+    """Zip-prefix dimension: centroid, modal city and state, sellers and customers there."""
+    key = "geolocation_zip_code_prefix"
+    g = t.geolocation_clean
+    for table, zip_, name in (("sellers", "seller_zip_code_prefix", "sellers"),
+                              ("customers", "customer_zip_code_prefix", "customers")):
+        n = t[table].groupBy(F.col(zip_).alias(key)).agg(F.count(F.lit(1)).alias(name))
+        g = g.join(n, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return g
 
 
 STAR = ("fact_deliveries", "fact_order_economics", "dim_seller", "dim_customer", "dim_product",

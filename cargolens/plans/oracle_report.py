@@ -58,7 +58,8 @@ def dim_customer(cfg):
 
 @oracle("dim_product")
 def dim_product(cfg):
-    return "SELECT * FROM products_clean"
+    return """SELECT p.*, (SELECT COUNT(*) FROM r_order_items i WHERE i.product_id = p.product_id) AS items_sold
+              FROM products_clean p"""
 
 
 @oracle("dim_date")
@@ -77,7 +78,11 @@ def dim_date(cfg):
 
 @oracle("dim_geography")
 def dim_geography(cfg):
-    return "SELECT * FROM geolocation_clean"
+    return """
+    SELECT g.*, (SELECT COUNT(*) FROM r_sellers s WHERE s.seller_zip_code_prefix = g.geolocation_zip_code_prefix) AS sellers,
+           (SELECT COUNT(*) FROM r_customers c WHERE c.customer_zip_code_prefix = g.geolocation_zip_code_prefix)
+                AS customers
+    FROM geolocation_clean g"""
 
 
 def _kpi_ctes(cfg) -> str:
