@@ -88,3 +88,9 @@ def test_probabilities_sum_to_one(spark):
     for h in held:
         assert got[h]["score"] == pytest.approx(want[h][6], abs=1e-9)
     assert got[held[0]]["score"] > got[held[0]]["base_score"]
+
+
+def test_held_out_texts_are_better_predicted_than_by_single_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lm.op10_lm(docs).where("held_out").agg({"score": "sum", "base_score": "sum", "doc_id": "count"}).first()
+    assert held["count(doc_id)"] > 50 and held["sum(score)"] > held["sum(base_score)"]
