@@ -87,3 +87,9 @@ def spare_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a whole row; together they tell different rows apart."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(*columns), F.xxhash64(F.lit("twin"), *columns)

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, spare_names, word_count
+from .common import WORD, cut, row_hashes, spare_names, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -103,12 +103,13 @@ def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sou
     appears once more with as many of its leading words as the mix takes, each followed by what
     stood after it. Documents not taken go.
     """
-    row, size, copies, extra, nth, words = spare_names(docs, "m_row", "m_size", "m_copies", "m_extra", "m_nth", "m_words")
-    marked = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    taken = mix(marked, doc_id, source, text, also=(row,), **options).where("taken > 0")
-    # Repeated rows share their hash, and what they take together is dealt to them anew.
-    taken = cut(taken.groupBy(row).agg(F.max("size").alias(size), F.max("copies").alias(copies), F.sum("extra").alias(extra)))
-    rows = marked.join(taken, row).withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(doc_id)) - 1)
+    row = spare_names(docs, "m_row", "m_twin")
+    size, copies, extra, nth, words = spare_names(docs, "m_size", "m_copies", "m_extra", "m_nth", "m_words")
+    marked = docs.withColumns(dict(zip(row, row_hashes(docs))))
+    taken = mix(marked, doc_id, source, text, also=row, **options).where("taken > 0")
+    # Repeated rows share their hashes, and what they take together is dealt to them anew.
+    taken = cut(taken.groupBy(*row).agg(F.max("size").alias(size), F.max("copies").alias(copies), F.sum("extra").alias(extra)))
+    rows = marked.join(taken, row).withColumn(nth, F.row_number().over(Window.partitionBy(*row).orderBy(doc_id)) - 1)
     own = F.greatest(F.lit(0), F.least(F.col(size), F.col(extra) - F.col(nth) * F.col(size))).cast("int")
     whole = F.col(copies) + (own == F.col(size)).cast("long")
     pieces = F.concat(F.array_repeat(F.lit(-1), whole.cast("int")),
