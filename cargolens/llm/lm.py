@@ -41,13 +41,15 @@ ORDER = 3
 DISCOUNT = 0.75
 ADD = 0.1
 HELD_OUT_MODULUS = 10
-SHARD_TOKENS = 600_000
+SHARD_TOKENS = 800_000
 #: Entries of one key range over all shards, about.
 RANGE_ENTRIES = 2_000_000
 #: Tokens that a walk takes in one piece; all pieces of a shard walk side by side.
 PIECE = 512
 #: Keys of the text's end, a token, and of its begin, a context only.
 END, BEGIN = 0, 1
+#: Upper bits of the keys of n-grams of more than one word.
+GRAM_BITS = 0xFFFFFFFFFFFFFF00
 
 
 # ---------------------------------------------------------------- arrays --
@@ -64,7 +66,7 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted unsigned keys, as differences."""
+    """Unsigned keys as differences, which are small where the keys rise."""
     return pack(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
 
 
@@ -95,14 +97,19 @@ def make_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), count()
 
     def shard() -> pa.RecordBatch:
-        # Words are numbered as they come, so common ones have small numbers, which pack well.
         keys = np.array([END, *(word_key(w) for w in index)], dtype=np.uint64)
         flat = np.fromiter((i for t in tokens for i in t), np.int64, sum(map(len, tokens)))
+        # Numbered by falling count, then by key: common words have small numbers and keys come in
+        # rising runs, and both pack well.
+        by_count = np.lexsort((keys, -np.bincount(flat, minlength=len(keys))))
+        rank = np.empty_like(by_count)
+        rank[by_count] = np.arange(len(by_count))
+        keys, flat = keys[by_count], rank[flat]
         return pa.record_batch({
             "shard": [(part << 32) + next(number)], "doc_id": pa.array([ids], pa.list_(doc_id_type)),
             "held_out": pa.array([held], pa.list_(pa.bool_())),
             "sizes": pa.array([list(map(len, tokens))], pa.list_(pa.int64())),
-            "tokens": [pack(flat)], "vocabulary": [keys.tobytes()], "n": [len(flat)]})
+            "tokens": [pack(flat)], "vocabulary": [pack_keys(keys)], "n": [len(flat)]})
 
     def empty():
         index = defaultdict(count(1).__next__)
@@ -135,7 +142,7 @@ class Grams:
 
     def __init__(self, row: dict, levels: set[int]):
         sizes = np.array(row["sizes"], dtype=np.int64)
-        vocabulary, tokens = np.frombuffer(row["vocabulary"], dtype=np.uint64), unpack(row["tokens"])
+        vocabulary, tokens = unpack_keys(row["vocabulary"]), unpack(row["tokens"])
         first = np.cumsum(sizes + 1) - sizes - 1
         is_token = np.ones(len(tokens) + len(sizes), dtype=bool)
         is_token[first] = False
@@ -152,7 +159,9 @@ class Grams:
                 now = mix(before * np.uint64(0x9E3779B97F4A7C15) + symbol + np.uint64(k))
             if k in levels:
                 there = np.flatnonzero(depth >= k - 1)
-                self.key[k], place, inverse = np.unique(now[there], return_index=True, return_inverse=True)
+                # n-grams of several words are known by 56 bits, words by 64.
+                own = now[there] & np.uint64(GRAM_BITS) if k > 1 else now[there]
+                self.key[k], place, inverse = np.unique(own, return_index=True, return_inverse=True)
                 self.place[k] = there[place]
                 self.at[k] = np.full(len(symbol), -1)
                 self.at[k][there] = inverse
