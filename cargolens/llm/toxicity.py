@@ -29,6 +29,8 @@ THRESHOLD = 0.7
 MAX_TOXIC, MAX_UNLABELLED, MAX_WORDS = 4000, 12000, 600
 #: Texts of the sample that have a word, at least, for it to be chosen.
 MIN_TEXTS = 5
+#: Words that speak most for toxic texts, from which the class prior is estimated besides the labels.
+PRIOR_WORDS = 5
 EPOCHS, RATE, L2 = 400, 0.1, 2e-4
 
 #: Letters in lower case, digits as they are, other ASCII as spaces; the rest is kept.
@@ -75,7 +77,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Learn from the rows that are not held out.
 
     Confirmed: texts whose label is 1 in any of their label rows. Unlabelled: a sample of all texts, label or
-    not. The class prior is the share of toxic among the labelled ids. Both samples
+    not. The class prior is the share of toxic among the labelled ids, or less if the most telling words
+    are rarer than that among the unlabelled. Both samples
     are the rows of smallest id hash, so reruns agree. Without a toxic text every
     score is zero; rows without an id, a text or a label teach nothing.
     """
@@ -85,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n, positive = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not positive:
         return Model({}, -30.0)
-    prior = float(np.clip(positive / n, 1e-4, 0.9))
+    prior = positive / n
 
     def sample(ids: DataFrame, most: int, role: int) -> DataFrame:
         place = F.xxhash64("id", F.lit(role))
@@ -113,7 +116,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # Words whose share among toxic texts differs most from that among all, in standard errors.
     pooled = (F.col("c1") + F.col("c0") + 1) / F.lit(n1 + n0 + 2)
     apart = F.abs(F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(pooled * (1 - pooled))
-    vocabulary = [bytes(r[0]) for r in words.orderBy(F.desc(apart), "word").limit(MAX_WORDS).select("word").collect()]
+    found = words.orderBy(F.desc(apart), "word").limit(MAX_WORDS).select("word", "c1", "c0").collect()
+    vocabulary = [bytes(r.word) for r in found]
+    # Among unlabelled texts a word that only toxic ones have is as much rarer as toxic texts are. Labels
+    # may have been given to more suspicious texts than others; then that share is the smaller one.
+    shares = [(r.c0 / n0) / (r.c1 / n1) for r in found if r.c1 / n1 > r.c0 / n0][:PRIOR_WORDS]
+    prior = float(np.clip(min([prior, *([float(np.median(shares))] if shares else [])]), 1e-4, 0.9))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(vocabulary)}
