@@ -12,21 +12,25 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
-#: Spellings that licence texts use for the same word; the first becomes the second. Fixed values.
-EQUIVALENT = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
+#: Typographic signs and what stands for them in plain text; spellings that licence texts use for the same word. The
+#: first becomes the second. Fixed values.
+EQUIVALENT = (*zip("\u201c\u201d\u201e\u00ab\u00bb\u2018\u2019\u201a", "\"\"\"\"\"''''"), *zip("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-------"),
+              *zip("\u2026\u2022\u00b7\u00a0\u2009\u202f\u3000\u2028\ufeff", ".**      "),
+              ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
               ("non-infringement", "noninfringement"), ("merchantibility", "merchantability"),
               ("copyright owner", "copyright holder"), ("favour", "favor"), ("organisation", "organization"),
               ("per cent", "percent"), ("https://", "http://"), ("whilst", "while"), ("wilful", "willful"))
-#: Lines that name who holds the rights, and are not part of a licence.
-COPYRIGHT_LINE = r"^\s*(copyright\s+(\(c\)|©|[0-9])|\(c\)\s|©|all rights reserved)"
 
-#: Known texts: the notices and short licences that are looked up unless others are given. Fixed values.
-KNOWN = (
+#: Notices that stand on a line of their own. Fixed values.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
     ("MIT", "Released under the MIT License."),
@@ -35,25 +39,74 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
-purpose with or without fee is hereby granted, provided that the above
-copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
-WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
-MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
-SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
-WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
-OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
-CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 )
+#: Titles that stand above a licence or do not.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License",
+                     "Modified BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def entire_texts() -> list[tuple[str, str]]:
+    """(license, text) of the files in ``license_texts``, with and without what some copies leave out or write otherwise."""
+    found = []
+    for file in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        bodies = [text]
+        if name.startswith("BSD-"):
+            bodies.append(re.sub(r"(?m)^\s*[0-9]\. ", "* ", text))
+            bodies += [b.replace("HOLDERS AND", "HOLDER AND").replace("HOLDER OR", "HOLDERS OR") for b in bodies]
+            bodies += [b.replace("HOLDERS OR", "OWNER OR").replace("HOLDER OR", "OWNER OR") for b in bodies]
+        if name == "ISC":
+            bodies.append(text.replace("and/or distribute", "and distribute"))
+        if name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1"):  # without the advice on how to apply it
+            bodies.append(re.split(r"(?<=END OF TERMS AND CONDITIONS)", text)[0])
+        if name == "Apache-2.0":
+            bodies.append(re.split(r"\n\s*END OF TERMS AND CONDITIONS", text)[0])
+        found += [(name, f"{title}\n\n{body}") for body in bodies for title in ("", *TITLES.get(name, ()))]
+    return found
+
+
+#: Known texts: the notices and entire licences that are looked up unless others are given.
+KNOWN = (*NOTICES, *entire_texts())
+
+
+def followers(phrase: str) -> set[str]:
+    """Words that follow ``phrase`` in the known texts."""
+    return {w for _, text in KNOWN for w in re.findall(re.escape(phrase) + r"\s+([a-z]+)", re.sub(r"\s+", " ", text.lower()))}
+
+
+def other_than(words: set[str], within: bool = False) -> str:
+    """Pattern of the start of a word that is none of ``words``, without look-ahead, which DuckDB does not have."""
+    rest: dict[str, set[str]] = {}
+    for w in words - {""}:
+        rest.setdefault(w[0], set()).add(w[1:])
+    ways = [rf"[^\x00-\x60\x7B-\x7F{''.join(sorted(rest))}]"]
+    if within and "" not in words:
+        ways.append(r"([\x00-\x60\x7B-\x7F]|$)")
+    return "(" + "|".join(ways + [c + other_than(r, True) for c, r in sorted(rest.items())]) + ")"
+
+
+#: Lines that name who holds the rights, and are not part of a licence, behind comment signs too. A line of the licence that
+#: happens to be broken before the word goes on as one of the known texts does, and stays.
+COPYRIGHT_LINE = (r"^[\s\x{A0}\x{FEFF}#/*;%!<>|-]*(copyright:?[\s\x{A0}]+(\(c\)|©|[0-9\[<{]|by\s|the\s+" + other_than(followers("copyright the"))
+                  + "|" + other_than(followers("copyright")) + r")|copyright©|\(c\)[\s\x{A0}]*([0-9©]|copyright\s|"
+                  + other_than(followers("(c)")) + r")|©|all rights reserved)")
 
 
 def canonical_line(line: Column) -> Column:
     """Canonical form of one line; '' if nothing of it counts."""
     line = ascii_lower(line)
     line = F.when(line.rlike(COPYRIGHT_LINE), "").otherwise(line)
-    for spelling, usual in EQUIVALENT:
+    signs = [(a, b) for a, b in EQUIVALENT if len(a) == 1]
+    line = F.translate(line, "".join(a for a, _ in signs), "".join(b for _, b in signs))
+    for spelling, usual in EQUIVALENT[len(signs):]:
         line = F.replace(line, F.lit(spelling), F.lit(usual))
     return F.trim(F.regexp_replace(line, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
 
