@@ -31,7 +31,11 @@ MAX_TOXIC, MAX_UNLABELLED, MAX_WORDS = 4000, 12000, 600
 MIN_TEXTS = 5
 #: Words that speak most for toxic texts, from which the class prior is estimated besides the labels.
 PRIOR_WORDS = 5
-EPOCHS, RATE, L2 = 400, 0.1, 2e-4
+EPOCHS, RATE = 400, 0.1
+#: Penalty, as a share of the prior: the toxic part of the risk is multiplied by the prior, and rare toxic texts must be able to weigh as much.
+L2 = 1e-3
+#: Unlabelled texts of which a word may be in none and yet be in this many of as many others (at 95 %).
+UNSEEN = 3
 
 #: Letters in lower case, digits as they are, other ASCII as spaces; the rest is kept.
 TRANSLATE = bytes((b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b > 127 else 32) for b in range(256))
@@ -66,7 +70,7 @@ def fit(toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.nda
         toxic_part = np.concatenate([prior * (p[:n] - 1) / n, np.zeros(m)])
         clean_part = np.concatenate([-prior * p[:n] / n, p[n:] / m])
         slope = toxic_part + clean_part if negative >= 0 else -clean_part
-        grad = np.append(x.T @ slope.astype(np.float32) + L2 * w, slope.sum())
+        grad = np.append(x.T @ slope.astype(np.float32) + L2 * prior * w, slope.sum())
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         move = RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
@@ -120,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     vocabulary = [bytes(r.word) for r in found]
     # Among unlabelled texts a word that only toxic ones have is as much rarer as toxic texts are. Labels
     # may have been given to more suspicious texts than others; then that share is the smaller one.
-    shares = [(r.c0 / n0) / (r.c1 / n1) for r in found if r.c1 / n1 > r.c0 / n0][:PRIOR_WORDS]
+    # Words that no unlabelled text has may be as frequent as the sample can miss.
+    shares = [(max(r.c0, UNSEEN) / n0) / (r.c1 / n1) for r in found if r.c1 / n1 > r.c0 / n0][:PRIOR_WORDS]
     prior = float(np.clip(min([prior, *([float(np.median(shares))] if shares else [])]), 1e-4, 0.9))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

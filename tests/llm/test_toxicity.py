@@ -71,3 +71,46 @@ def test_keep_clean(spark):
 
 def test_tokens():
     assert tokens("Ünder-way, A1 B\x0bc".encode()) == {"Ünder".encode(), b"way", b"a1", b"b", b"c"}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.02, 0.005, 0.001])
+def test_rare_toxic_texts_reach_the_threshold(share):
+    """Ten words, each in 30 % of toxic texts and in no clean one, beside common words: as many texts with them are found at any share."""
+    rnd = np.random.default_rng(6)
+
+    def texts(n, toxic):
+        return np.hstack([(rnd.random((n, 10)) < 0.3) & toxic[:, None], rnd.random((n, 100)) < 0.2]).astype(float)
+
+    toxic = texts(1000, np.ones(1000, bool))
+    w, b = fit(toxic, texts(12_000, rnd.random(12_000) < share), share)
+    held = texts(20_000, np.arange(20_000) < 4000)
+    found = held @ w + b >= np.log(0.7 / 0.3)
+    signed = held[:4000, :10].any(axis=1)
+    assert found[:4000][signed].mean() > 0.75 and found[4000:].mean() < 0.005
+
+
+@pytest.mark.parametrize("every", [200, 1000])
+def test_rare_toxic_texts(spark, every):
+    """Toxic shares of 0.5 % and 0.1 %, whose words the labels and texts hold but few of."""
+    rnd = np.random.default_rng(8)
+    bad, good = [f"slur{i}" for i in range(10)], [f"word{i}" for i in range(60)]
+    docs = []
+    for i in range(24_000):
+        words = [w for w, r in zip(good, rnd.random(60)) if r < 0.2] + [w for w, r in zip(bad, rnd.random(10)) if r < 0.3 and i % every == 0]
+        docs.append((i, " ".join(words), None))
+    labels = [(i, 1, int(i % every == 0)) for i in range(24_000)]
+    got = toxicity.score_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    signed = {i for i, t, _ in docs if "slur" in t}
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted for r in held if r.doc_id in signed]) > 0.5
+    assert np.mean([r.predicted for r in held if r.doc_id not in signed]) < 0.002
+
+
+def test_words_that_no_unlabelled_text_has(spark, monkeypatch):
+    """The prior is then what the sample can miss, and not 1e-4."""
+    priors = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, unlabelled, prior: (priors.append(prior), fit(toxic, unlabelled, prior))[1])
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 100)
+    docs = spark.createDataFrame([(i, "vile scum" if i < 20 else "fine", None) for i in range(20_000)], DOCS)
+    toxicity.train(docs, spark.createDataFrame([(i, 1, int(i < 20)) for i in range(200)], LABELS))
+    assert priors[0] >= 3 / 100
