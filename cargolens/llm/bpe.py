@@ -35,6 +35,9 @@ from .common import spare_names, worker_local
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces that one recursive query takes; units that a task remembers; characters of text taken at a time.
 PIECES_PER_QUERY = 20_000
+#: The recursive query keeps the rows of every round, n * n / 2 for a piece of n bytes: its pieces have up to so many bytes, and a
+#: query up to so many rows. Longer pieces go through the rounds one by one.
+LONG_PIECE, ROWS_PER_QUERY = 256, 2_000_000
 CACHED_UNITS = 400_000
 BLOCK_CHARS = 2_000_000
 
@@ -66,6 +69,46 @@ FROM (SELECT piece, token, v.hex FROM step JOIN vocabulary v ON v.id = token WHE
 GROUP BY piece ORDER BY piece
 """
 
+WRITTEN = ENCODE[ENCODE.index("SELECT string_agg"):].replace("FROM step", "FROM {rows}").replace("WHERE done ", "")
+
+#: One round over the symbols of long pieces: each piece's pairs of minimum rank are contracted from the left wherever they
+#: stand, of overlapping ones the first, up to the first that makes a pair of lower rank with its neighbours, which
+#: comes next. That is what contracting the leftmost pair of minimum rank, one at a time, comes to.
+ROUND = """
+CREATE OR REPLACE TABLE chosen AS
+WITH found AS (
+    SELECT s.piece, s.nth, s.before, s.after, m.merged
+    FROM numbered s JOIN merges m ON m.pair = s.token::BIGINT * 1048576 + s.follower
+    QUALIFY m.merged = min(m.merged) OVER (PARTITION BY s.piece)),
+runs AS (SELECT *, nth - row_number() OVER (PARTITION BY piece ORDER BY nth) AS run FROM found),
+picked AS (SELECT * FROM runs QUALIFY (nth - min(nth) OVER (PARTITION BY piece, run)) % 2 = 0),
+sided AS (
+    SELECT *, CASE WHEN lag(nth) OVER (PARTITION BY piece ORDER BY nth) = nth - 2 THEN merged ELSE before END AS l FROM picked),
+falling AS (
+    SELECT p.piece, min(p.nth) AS nth
+    FROM (SELECT piece, nth, merged, l * 1048576 + merged AS pair FROM sided WHERE l >= 0
+          UNION ALL SELECT piece, nth, merged, merged * 1048576 + after FROM sided WHERE after >= 0) p
+         JOIN merges m ON m.pair = p.pair AND m.merged < p.merged
+    GROUP BY p.piece)
+SELECT p.piece, p.nth, p.merged FROM picked p LEFT JOIN falling f ON f.piece = p.piece WHERE f.nth IS NULL OR p.nth <= f.nth
+"""
+CONTRACT = """
+CREATE OR REPLACE TABLE symbols AS
+SELECT s.piece, s.pos, coalesce(c.merged, s.token)::INT AS token
+FROM numbered s LEFT JOIN chosen c ON c.piece = s.piece AND c.nth = s.nth
+     LEFT JOIN chosen p ON p.piece = s.piece AND p.nth + 1 = s.nth
+WHERE p.piece IS NULL
+"""
+NUMBER = """
+CREATE OR REPLACE TABLE numbered AS
+SELECT piece, pos, token, coalesce(lead(token) OVER w, -1) AS follower, coalesce(lag(token) OVER w, -1)::BIGINT AS before,
+       coalesce(lead(token, 2) OVER w, -1) AS after, row_number() OVER w AS nth
+FROM symbols WINDOW w AS (PARTITION BY piece ORDER BY pos)
+"""
+#: Pieces without a pair to contract leave the rounds.
+FINISH = ("INSERT INTO finished SELECT piece, pos, token FROM numbered WHERE piece NOT IN (SELECT piece FROM chosen)",
+          "DELETE FROM numbered WHERE piece NOT IN (SELECT piece FROM chosen)")
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -116,20 +159,44 @@ class Encoder:
         tokens, follower = np.where(known < 0, tokens, known), np.where(known < 0, follower, -1)
         self.load("symbols", **{k: pa.array(v[keep].astype(np.int32)) for k, v in
                                 (("piece", piece), ("pos", pos), ("token", tokens), ("follower", follower))})
-        out = self.db.sql(ENCODE).to_arrow_table()
+        out = self.db.sql(ENCODE if sizes.max() <= LONG_PIECE else self.rounds()).to_arrow_table()
         raw = out.column("raw").to_pylist()
         if raw != pieces:  # the ordered aggregation has to give back every piece
             raise ValueError("decoded bytes differ from the text")
         return list(zip(out.column("ids").to_pylist(), raw))
 
+    def rounds(self) -> str:
+        """Contract the symbols to the fixpoint, a table of the piece's length at a time; the query for what comes out."""
+        self.db.execute("CREATE OR REPLACE TABLE finished (piece INT, pos INT, token INT)").fetchall()
+        while True:
+            for step in (NUMBER, ROUND, *FINISH):
+                self.db.execute(step).fetchall()
+            if not self.db.execute("SELECT count(*) FROM chosen").fetchall()[0][0]:
+                return WRITTEN.format(rows="finished")
+            self.db.execute(CONTRACT).fetchall()
+
+    def blocks(self, pieces: list[str]) -> Iterator[list[bytes]]:
+        """Pieces, shortest first, by the rows that a query keeps of them."""
+        block, rows = [], 0
+        for p in map(str.encode, pieces):
+            n = len(p)
+            more = n * (n + 1) // 2 if n <= LONG_PIECE else n
+            other = block and (len(block) == PIECES_PER_QUERY or rows + more > ROWS_PER_QUERY or (len(block[0]) <= LONG_PIECE) != (n <= LONG_PIECE))
+            if other:
+                yield block
+                block, rows = [], 0
+            block.append(p)
+            rows += more
+        if block:
+            yield block
+
     def encode_found(self, found: list[list[str]]) -> Iterator[tuple[str, bytes]]:
         """The pieces of each list, encoded and put together."""
         # Pieces of like length share a query: it takes as many rounds as its longest piece needs.
-        pieces = sorted({p for f in found for p in f}, key=len)
+        pieces = sorted({p for f in found for p in f}, key=lambda p: len(p.encode()))
         done: dict[str, tuple[str, bytes]] = {}
-        for i in range(0, len(pieces), PIECES_PER_QUERY):
-            block = pieces[i:i + PIECES_PER_QUERY]
-            done.update(zip(block, self.encode_pieces([p.encode() for p in block])))
+        for block in self.blocks(pieces):
+            done.update(zip([p.decode() for p in block], self.encode_pieces(block)))
         for f in found:
             if len(f) == 1:
                 yield done[f[0]]
@@ -181,8 +248,8 @@ def encode_texts(docs: DataFrame, text: str = "text", ranks: str = RANKS,
 
     Null and empty texts have no tokens, both digests are of the empty string.
     Repeated rows stay as they are; an empty frame gives an empty frame. A
-    single piece of n bytes takes n rounds at most, so a run of one class of
-    characters without any break costs its length squared.
+    single piece of n bytes takes room in proportion to n and n rounds at most, so
+    the time for a run of one class of characters without any break grows up to its length squared.
 
     ``ranks`` is a file of the tokenizers package that every worker has
     installed.
