@@ -91,12 +91,12 @@ def fit_probes(rows: DataFrame, n: int, width: int, k: int) -> int:
     return int(np.quantile(needed, RECALL, method="higher")) if needed.size else 1
 
 
-def buckets(width: int, probes: int):
+def buckets(width: int, probes: int, tables: int = TABLES):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = unit(matrix(batch.column("x"), width))
-                for t in range(TABLES):
+                for t in range(tables):
                     found = axes(x, t, probes)
                     each = np.repeat(np.arange(len(x)), found.shape[1])
                     yield pa.record_batch({"vec_id": batch.column("vec_id").take(pa.array(each)),
@@ -147,9 +147,9 @@ def nearest(rows: DataFrame, queries: Column, k: int = TOP, probes: int | None =
     inner product first, ties to the smaller id.
 
     ``rows``: (vec_id long, x array<double>) with different ids and vectors not zero; a shorter vector counts as filled
-    up with zeros; ``queries`` says which rows are queries. The sign of zero makes no difference. With k candidates or fewer
-    in all of a query's buckets the query gets fewer rows; if the table itself has no more than
-    a few, all buckets are looked into. An empty frame gives an empty frame.
+    up with zeros; ``queries`` says which rows are queries. The sign of zero makes no difference. A query whose buckets hold
+    too few looks into more, in the end into all, so it gets fewer than k rows only where there are no more candidates.
+    An empty frame gives an empty frame.
     """
     rows = cut(rows)
     n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(1))).first()
@@ -162,21 +162,38 @@ def nearest(rows: DataFrame, queries: Column, k: int = TOP, probes: int | None =
     asking = rows.where(queries)
     first = cut(asking.groupBy("x").agg(F.min("vec_id").alias("asked_as")))
     members = parts(index.mapInArrow(buckets(width, 1), "vec_id long, x array<double>, bucket long"), MEMBERS, "c")
-    lookers = parts(first.select(F.col("asked_as").alias("vec_id"), "x").mapInArrow(
-        buckets(width, probes), "vec_id long, x array<double>, bucket long"), LOOKERS, "q")
     # The numbers of parts have one row for each bucket of the tables, whatever the rows.
     c_parts = members.groupBy("bucket").agg((F.max("c_part") + 1).alias("n"))
-    q_parts = lookers.groupBy("bucket").agg((F.max("q_part") + 1).alias("n"))
     every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    wide = lookers.join(F.broadcast(c_parts), "bucket").withColumn("c_part", every).drop("n")
-    deep = members.join(F.broadcast(q_parts), "bucket").withColumn("q_part", every).drop("n")
-    pairs = wide.join(deep, ["bucket", "q_part", "c_part"]).select("q_ids", "q", "c_ids", "c")
-    found = pairs.mapInArrow(rerank(k + 1), "query_id long, vec_id long, score double")
     # One more than asked for: a query's own row may be among them.
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = cut(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn(
-        "place", F.row_number().over(ranked)).where(F.col("place") <= k + 1).groupBy("query_id").agg(
-        F.collect_list(F.struct("place", "vec_id", "score")).alias("found")).withColumnRenamed("query_id", "asked_as"))
+
+    def search(askers: DataFrame, probes: int, tables: int) -> DataFrame:
+        """(asked_as, found) of the askers that found any."""
+        lookers = parts(askers.select(F.col("asked_as").alias("vec_id"), "x").mapInArrow(
+            buckets(width, probes, tables), "vec_id long, x array<double>, bucket long"), LOOKERS, "q")
+        q_parts = lookers.groupBy("bucket").agg((F.max("q_part") + 1).alias("n"))
+        wide = lookers.join(F.broadcast(c_parts), "bucket").withColumn("c_part", every).drop("n")
+        deep = members.join(F.broadcast(q_parts), "bucket").withColumn("q_part", every).drop("n")
+        pairs = wide.join(deep, ["bucket", "q_part", "c_part"]).select("q_ids", "q", "c_ids", "c")
+        found = pairs.mapInArrow(rerank(k + 1), "query_id long, vec_id long, score double")
+        return cut(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn(
+            "place", F.row_number().over(ranked)).where(F.col("place") <= k + 1).groupBy("query_id").agg(
+            F.collect_list(F.struct("place", "vec_id", "score")).alias("found")).withColumnRenamed("query_id", "asked_as"))
+
+    # Queries left short look into ever more buckets; in the end into all of one table, where every row is.
+    enough = min(k + 1, index.count())
+    askers, found = first, None
+    while True:
+        every_one = probes >= 2 * width
+        new = search(askers, probes, 1 if every_one and found is not None else TABLES)
+        full = new.where(F.size("found") >= enough)
+        short = cut(askers.join(full, "asked_as", "left_anti"))
+        done = new if every_one else full
+        found = done if found is None else found.unionByName(done)
+        if every_one or short.isEmpty():
+            break
+        askers, probes = short, min(4 * probes, 2 * width)
     answers = asking.select(F.col("vec_id").alias("query_id"), "x").join(first, "x").select("query_id", "asked_as").join(
         found, "asked_as")
     kept = F.slice(F.filter(F.array_sort("found"), lambda f: f["vec_id"] != F.col("query_id")), 1, k)

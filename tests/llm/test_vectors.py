@@ -137,3 +137,18 @@ def test_rotation_keeps_lengths_and_axes_find_themselves():
     r = ann.rotate(x, 2)
     assert r.shape == (50, 16) and np.allclose(np.linalg.norm(r, axis=1), 1)
     assert (ann.axes(x, 3)[:, 0] == ann.axes(x, 3, 5)[:, 0]).all()
+
+
+def test_every_query_gets_its_k(spark):
+    """Isolated vectors, whose own buckets hold next to nothing, beside clusters; one probe, as the fit gives it there."""
+    rnd = np.random.default_rng(12)
+    centres = ann.unit(rnd.normal(size=(3, 32)))
+    x = centres[rnd.integers(3, size=1200)] + 0.02 * rnd.normal(size=(1200, 32))
+    x[::20][:12] = rnd.normal(size=(12, 32))
+    rows = [(i, v.tolist(), "a", 0.5) for i, v in enumerate(ann.unit(x))]
+    df = ann.usable(spark.createDataFrame(rows, SCHEMA))
+    got = rows_of(ann.nearest(df, ann.is_query(ann.F.col("vec_id")), probes=1))
+    count = {}
+    for q, *_ in got:
+        count[q] = count.get(q, 0) + 1
+    assert count == {q: 20 for q in range(0, 1200, 20)}
