@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table rotates the unit vectors by three rounds of random signs and a fast Hadamard
+Vectors of unequal length get one coordinate more, which fills them up to the longest; queries have 0 there, so that the
+largest inner product is the nearest angle. A table rotates the unit vectors by three rounds of random signs and a fast Hadamard
 transform and puts each into the bucket of its largest coordinate, with the sign: the
 nearest of the 2d signed axes. A query looks, per table, into the buckets of the axes
 nearest to it. All buckets together are the index; every row is in one bucket
@@ -34,6 +35,9 @@ SEED = 11
 #: Recall to fit for on the sample, above the 0.9 to be reached; rows and queries of the sample.
 RECALL, SAMPLE_ROWS, SAMPLE_QUERIES = 0.96, 4096, 128
 MEMBERS, LOOKERS = 2048, 1024
+LENGTH_SCALE = 2.0**-16
+#: Vectors whose lengths differ by no more than this share count as equally long.
+SAME_LENGTH = 1e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -42,6 +46,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def length(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, scaled down so that none overflows."""
+    most = np.abs(x).max(axis=1)
+    return most * LENGTH_SCALE * np.linalg.norm(x / most[:, None], axis=1)
+
+
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """Rows as they are hashed: scaled so that the longest has length one, and filled up to that in the last, spare
+    coordinate. Queries have 0 there, so that the nearest angle is the largest inner product."""
+    share = np.minimum(length(x) / longest, 1)
+    out = unit(x) * share[:, None]
+    out[:, -1] = np.sqrt(1 - share**2)
+    return out
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of each row; the width is a power of two."""
     n, d = x.shape
@@ -69,14 +88,16 @@ def axes(x: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
-def fit_probes(rows: DataFrame, n: int, width: int, k: int) -> int:
+def fit_probes(rows: DataFrame, n: int, width: int, k: int, longest: float | None = None) -> int:
     """Buckets to look into per table, so that the sample's neighbours are found with the recall asked for.
 
-    Among a sample of s of n rows, the nearest k * s / n are about as near as the k nearest of all.
+    Among a sample of s of n rows, the k * s / n of largest inner product are about as good as the k best of all.
+    ``longest``: the greatest length if lengths differ.
     """
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("x").toArrow()
-    x = unit(matrix(sample.column("x"), width))
-    q = x[:SAMPLE_QUERIES]
+    x = matrix(sample.column("x"), width)
+    q = unit(x[:SAMPLE_QUERIES])
+    x = unit(x) if longest is None else lifted(x, longest)  # q is 0 in the spare coordinate
     near = min(len(x) - 1, max(1, round(k * len(x) / n)))
     s = q @ x.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
@@ -91,11 +112,12 @@ def fit_probes(rows: DataFrame, n: int, width: int, k: int) -> int:
     return int(np.quantile(needed, RECALL, method="higher")) if needed.size else 1
 
 
-def buckets(width: int, probes: int, tables: int = TABLES):
+def buckets(width: int, probes: int, tables: int = TABLES, longest: float | None = None):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = unit(matrix(batch.column("x"), width))
+                x = matrix(batch.column("x"), width)
+                x = unit(x) if longest is None else lifted(x, longest)
                 for t in range(tables):
                     found = axes(x, t, probes)
                     each = np.repeat(np.arange(len(x)), found.shape[1])
@@ -152,16 +174,22 @@ def nearest(rows: DataFrame, queries: Column, k: int = TOP, probes: int | None =
     An empty frame gives an empty frame.
     """
     rows = cut(rows)
-    n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(1))).first()
+    most = F.array_max(F.transform("x", F.abs))
+    long = most * LENGTH_SCALE * F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v / most) * (v / most)))
+    n, width, shortest, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(1)), F.min(long), F.max(long)).first()
+    if n and shortest < longest * (1 - SAME_LENGTH):
+        width += 1  # the spare coordinate
+    else:
+        longest = None
     width = 1 << max(0, width - 1).bit_length()
     same = Window.partitionBy("x").orderBy("vec_id")
     index = cut(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).select("vec_id", "x"))
     if probes is None:
-        probes = fit_probes(index, n, width, k) if n > 10 * k else 2 * width
+        probes = fit_probes(index, n, width, k, longest) if n > 10 * k else 2 * width
     # Query rows with one vector search once, as the smallest of their ids.
     asking = rows.where(queries)
     first = cut(asking.groupBy("x").agg(F.min("vec_id").alias("asked_as")))
-    members = parts(index.mapInArrow(buckets(width, 1), "vec_id long, x array<double>, bucket long"), MEMBERS, "c")
+    members = parts(index.mapInArrow(buckets(width, 1, longest=longest), "vec_id long, x array<double>, bucket long"), MEMBERS, "c")
     # The numbers of parts have one row for each bucket of the tables, whatever the rows.
     c_parts = members.groupBy("bucket").agg((F.max("c_part") + 1).alias("n"))
     every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))

@@ -152,3 +152,10 @@ def test_every_query_gets_its_k(spark):
     for q, *_ in got:
         count[q] = count.get(q, 0) + 1
     assert count == {q: 20 for q in range(0, 1200, 20)}
+
+
+def test_recall_of_unequal_lengths(spark):
+    """Largest inner products, not angles, with lengths that differ widely."""
+    lengths = np.random.default_rng(14).lognormal(0, 1, 4000)
+    rows = [(i, (np.array(v) * m).astype(np.float32).tolist(), a, b) for (i, v, a, b), m in zip(random_rows(4000, 48, seed=9), lengths)]
+    assert recall(rows_of(ann.op8_ann(spark.createDataFrame(rows, SCHEMA))), rows) >= 0.9
