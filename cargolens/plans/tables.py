@@ -99,13 +99,14 @@ class Tables:
     def once(self, *names: str) -> "Tables":
         """These derived tables computed now, once, into spark.checkpoint.dir, for queries that
         pass over them several times (ranks, medians, several reports side by side): each pass
-        then reads files instead of running the whole lineage. Written tables stay as they are."""
+        then reads files instead of running the whole lineage. Written tables stay as they are. These
+        tables themselves do not change: other queries on them plan from their sources."""
+        todo = [n for n in names if n not in self._written]
+        if not todo:
+            return self
         checkpoint_dir(self.spark)
-        for name in names:
-            if name not in self._written:
-                self.__dict__[name] = getattr(self, name).checkpoint(eager=True)
-                self._written.add(name)
-        return self
+        kept = {n: self.__dict__[n] for n in self._written}
+        return Tables(self.spark, self.raw, self.cfg, kept | {n: getattr(self, n).checkpoint(eager=True) for n in todo})
 
     # -- materialisation ---------------------------------------------------
     STAGE1 = ("orders_clean", "reviews_clean", "products_clean", "payments_order_agg",

@@ -51,19 +51,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the deployment sets it to a shared filesystem. Where it is
     unset, a local session (one machine, so a local folder is shared) gets a
-    fresh scratch folder; any other is an error.
+    fresh scratch folder, which its context remembers; any other is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        master = spark.sparkContext.master
-        if master.split("[")[0] != "local":
-            raise ValueError(f"spark.checkpoint.dir is not set: on {master} intermediate tables need a folder "
-                             "that the driver and all executors share")
-        d = tempfile.mkdtemp(prefix="cargolens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
-
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir is not set: on {context.master} intermediate tables need a folder "
+                         "that the driver and all executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cargolens-ckpt-"))
+    return named or context.getCheckpointDir()
 
 
 def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20) -> int:

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -22,8 +21,6 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     configure(s)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cargolens-test-"))
     yield s
 
 
