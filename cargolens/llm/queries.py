@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL.
 
-op1, op4, op6, op7, op8 and op10 have no SQL; ``tests/llm`` holds them against brute force.
+op1, op4, op6, op7, op8, op10 and op11 have no SQL; ``tests/llm`` holds them against brute force.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licenses, lm, mixing, rollups, simhash, topk, toxicity, url_filters
+from . import ann, bpe, chat, hard_negatives, licenses, lm, mixing, rollups, simhash, spelling, topk, toxicity, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,10 +65,25 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op10_lm(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with the far more frequent words one edit away."""
+    return spelling.op11_spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor vector and each of its positives."""
+    return hard_negatives.op12_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted for training, with its loss mask, as read back."""
+    return chat.op13_chat_format(spark, table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_url_filters, op2_token_counts, op3_mixing, op4_simhash, op5_topk, op6_toxicity, op7_bpe, op8_ann, op9_licenses,
-    op10_lm)}
+    op10_lm, op11_spelling_variants, op12_hard_negatives, op13_chat_format)}
 
 ORACLES: dict[str, str] = {
     "op2_token_counts": rollups.ORACLE, "op3_mixing": mixing.ORACLE, "op5_topk": topk.ORACLE,
-    "op9_licenses": licenses.oracle()}
+    "op9_licenses": licenses.oracle(), "op12_hard_negatives": hard_negatives.ORACLE, "op13_chat_format": chat.ORACLE}
