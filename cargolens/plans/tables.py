@@ -25,8 +25,9 @@ from ..sources.sinks import write_table
 
 class Tables:
     def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], cfg: Config,
-                 derived: dict[str, DataFrame] | None = None):
+                 derived: dict[str, DataFrame] | None = None, source: str | None = None):
         self.spark = spark
+        self.source = source  # the folder of the driver tables, for streams over them
         self.raw = raw
         self.cfg = cfg
         for name, df in (derived or {}).items():
@@ -106,7 +107,8 @@ class Tables:
             return self
         checkpoint_dir(self.spark)
         kept = {n: self.__dict__[n] for n in self._written}
-        return Tables(self.spark, self.raw, self.cfg, kept | {n: getattr(self, n).checkpoint(eager=True) for n in todo})
+        return Tables(self.spark, self.raw, self.cfg, kept | {n: getattr(self, n).checkpoint(eager=True) for n in todo},
+                      self.source)
 
     # -- materialisation ---------------------------------------------------
     STAGE1 = ("orders_clean", "reviews_clean", "products_clean", "payments_order_agg",
@@ -146,7 +148,7 @@ class Tables:
         for n in raw_names:
             raw[n] = self.spark.read.parquet(os.path.join(base, "raw", n))
         derived: dict[str, DataFrame] = {}
-        current: Tables = Tables(self.spark, raw, self.cfg)
+        current: Tables = Tables(self.spark, raw, self.cfg, source=self.source)
         for stage in (self.STAGE1, self.STAGE2, self.STAGE3):
             todo = [n for n in stage if n in names]
             part = ("order_month",) if stage is self.STAGE3 else ()
@@ -154,11 +156,11 @@ class Tables:
             run_stage([(os.path.join(base, n), getattr(current, n), part, cluster) for n in todo])
             for n in todo:
                 derived[n] = self.spark.read.parquet(os.path.join(base, n))
-            current = Tables(self.spark, raw, self.cfg, dict(derived))
+            current = Tables(self.spark, raw, self.cfg, dict(derived), self.source)
         return current
 
 
 def driver_tables(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> Tables:
     """Tables over the driver parquet at ``sf_dir`` through the adapter."""
     configure(spark)
-    return Tables(spark, adapter.raw_tables(spark, sf_dir), cfg or driver_config())
+    return Tables(spark, adapter.raw_tables(spark, sf_dir), cfg or driver_config(), source=sf_dir)

@@ -195,34 +195,44 @@ def _event_order_id(d: dict[str, DataFrame]) -> tuple[DataFrame, object]:
     return e, oid
 
 
-def reviews(d: dict[str, DataFrame]) -> DataFrame:
-    e, oid = _event_order_id(d)
+def _review_columns() -> list:
     eid = F.col("event_id")
-    return e.select(
+    return [
         eid.alias("review_id"),
-        oid.alias("order_id"),
         (F.pmod(eid, F.lit(5)) + 1).cast("int").alias("review_score"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("review_comment_title"),
-        F.when(F.col("event_type").isin("click", "error"), F.col("props"))
-        .alias("review_comment_message"),
+        F.when(F.col("event_type").isin("click", "error"), F.col("props")).alias("review_comment_message"),
         F.col("ts").cast("date").cast("timestamp_ntz").alias("review_creation_date"),
         F.when(F.pmod(eid, F.lit(89)) != 0, F.col("ts")).alias("review_answer_timestamp"),
-    )
+    ]
 
 
-def payments(d: dict[str, DataFrame]) -> DataFrame:
-    e, oid = _event_order_id(d)
+def _payment_columns() -> list:
     eid = F.col("event_id")
-    p = e.select(
-        oid.alias("order_id"),
-        eid,
+    return [
+        eid.alias("payment_id"),
         _map(F.col("event_type"), PAYMENT_TYPE_MAP).alias("payment_type"),
         (F.pmod(F.col("user_id"), F.lit(12)) + 1).cast("int").alias("payment_installments"),
         F.when(F.pmod(eid, F.lit(97)) == 0, F.lit(0).cast("decimal(18,2)"))
         .otherwise(F.col("value").cast("decimal(18,2)")).alias("payment_value"),
-    )
-    w = Window.partitionBy("order_id").orderBy("event_id")
-    return p.select(
+    ]
+
+
+def reviews(d: dict[str, DataFrame]) -> DataFrame:
+    e, oid = _event_order_id(d)
+    first, *rest = _review_columns()
+    return e.select(first, oid.alias("order_id"), *rest)
+
+
+def payment_events(d: dict[str, DataFrame]) -> DataFrame:
+    """One row per payment with its own id and time, which the published export leaves out."""
+    e, oid = _event_order_id(d)
+    return e.select(oid.alias("order_id"), "ts", *_payment_columns())
+
+
+def payments(d: dict[str, DataFrame]) -> DataFrame:
+    w = Window.partitionBy("order_id").orderBy("payment_id")
+    return payment_events(d).select(
         "order_id",
         F.row_number().over(w).cast("int").alias("payment_sequential"),
         "payment_type", "payment_installments", "payment_value",
@@ -258,6 +268,20 @@ BUILDERS = {
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All nine raw tables over the driver parquet at ``sf_dir`` (lazy)."""
+    """All nine raw tables over the driver parquet at ``sf_dir``, and the payments with their times (lazy)."""
     d = read_driver_tables(spark, sf_dir)
-    return {name: build(d) for name, build in BUILDERS.items()}
+    return {name: build(d) for name, build in (BUILDERS | {"payment_events": payment_events}).items()}
+
+
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The events file, or a folder that receives such files, as a stream."""
+    schema = spark.read.parquet(path).schema
+    # A stream's plain path has to be a folder; a pattern may match a single file as well.
+    events = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def event_facts(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """What each event says about its order, as a payment and as a review: one row per event of a table or a stream."""
+    e, oid = _event_order_id({"events": events, "orders": orders})
+    return e.select("event_id", "ts", oid.alias("order_id"), *_payment_columns(), *_review_columns())

@@ -1,8 +1 @@
-"""Streaming.
-
-The reference processes static extracts only: no streams, event-time
-windows, watermarks or per-key state appear in it, so there is no streaming
-operator to rebuild. The batch jobs are incremental-friendly as they stand:
-the materialised summary and item view are partitioned by month, so a
-refresh rewrites only the months that received new orders.
-"""
+"""Structured Streaming: order figures kept up to date from a stream of events (``order_figures``)."""
