@@ -64,7 +64,7 @@ def test_mining(spark, monkeypatch):
     """Several blocks of anchors and candidates, a hot label, equal vectors at the thresholds."""
     monkeypatch.setattr(hard_negatives, "ANCHOR_BLOCK", 2)
     monkeypatch.setattr(hard_negatives, "CANDIDATE_BLOCK", 60)
-    rows = random_rows(900, 6, 10) + [(2000 + i, [0.5, 0.25, 0, 0, 0, 0.5], i % 4, "same", 0.0) for i in range(120)]
+    rows = random_rows(900, 6, 10) + [(2000 + i, [0.5, 0.25, 0.0, 0.0, 0.0, 0.5], i % 4, "same", 0.0) for i in range(120)]
     assert rows_of(hard_negatives.op12_hard_negatives(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
 
 
@@ -83,7 +83,8 @@ def test_odd_rows(spark):
 
 def test_large_components(spark):
     """Scores beyond float32 and float64 stay exact."""
-    rows = [(i, [float(2**24 + i), float(3 * i - 40)], i % 2, "", 0.0) for i in range(60)]
+    rows = [(i, [float(2**17 * (i % 13 + 1) + i), float(3 * i - 40)], i % 2, "", 0.0) for i in range(60)]
     doubled = spark.createDataFrame(rows, SCHEMA).withColumn("embedding", F.transform("embedding", lambda v: v * 4))
     wide = [(i, [c * 4 for c in map(float, map(np.float32, e))], label, *rest) for i, e, label, *rest in rows]
-    assert rows_of(hard_negatives.op12_hard_negatives(doubled)) == plain(wide)
+    got = rows_of(hard_negatives.op12_hard_negatives(doubled))
+    assert got == plain(wide) and max(r[5] for r in got) > 2**53
