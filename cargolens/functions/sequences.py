@@ -102,20 +102,20 @@ def running_total(df: DataFrame, by: Sequence[str], time: str, value: Column, na
     """``df`` with the sum of ``value`` over its key's rows up to its time: rows of the same time included, or, with an ``order``
     that tells them apart, row by row."""
     slices = Slices([(df, time)], by, most, unit) if slices is None else slices
-    marked = slices.mark(df.withColumn("_v", value), time)
+    marked = slices.mark(df.withColumn("_add", value), time)
     w = Window.partitionBy(*by, SLICE).orderBy(time, *order)
     w = w.rowsBetween(Window.unboundedPreceding, 0) if order else w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    here = F.sum("_v").over(w)
+    here = F.sum("_add").over(w)
     if not slices:
-        return marked.withColumn(name, here).drop(SLICE, "_v")
-    sums = marked.join(_small(slices.names(), slices.rows), [*by, SLICE], "left_semi").groupBy(*by, SLICE).agg(F.sum("_v").alias("_s"))
+        return marked.withColumn(name, here).drop(SLICE, "_add")
+    sums = marked.join(_small(slices.names(), slices.rows), [*by, SLICE], "left_semi").groupBy(*by, SLICE).agg(F.sum("_add").alias("_s"))
     before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*by, SLICE, F.sum("_s").over(before).alias("_offset"))
-    kind = marked.select(F.sum("_v").alias("s")).schema["s"].dataType
+    kind = marked.select(F.sum("_add").alias("s")).schema["s"].dataType
     out = marked.join(_small(offsets, slices.rows), [*by, SLICE], "left").withColumn("_here", here)
     total = F.when(F.col("_here").isNotNull() | F.col("_offset").isNotNull(),
                    F.coalesce("_here", F.lit(0)) + F.coalesce("_offset", F.lit(0))).cast(kind)
-    return out.withColumn(name, total).drop(SLICE, "_v", "_here", "_offset")
+    return out.withColumn(name, total).drop(SLICE, "_add", "_here", "_offset")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, values: Sequence[str], right_time: str | None = None,
@@ -170,13 +170,17 @@ def trailing_total(df: DataFrame, by: Sequence[str], time: str, value: Column, d
         return rows.withColumn(name, plain).drop("_v")
     cut = slices.units.select(*by).distinct()
     cold = rows.join(_small(cut, slices.rows), list(by), "left_anti").withColumn(name, plain).drop("_v")
-    hot = running_total(rows.join(_small(cut, slices.rows), list(by), "left_semi"), by, time, F.col("_v"), "_upto", slices=slices)
+    hot = rows.join(_small(cut, slices.rows), list(by), "left_semi")
+    hot = running_total(hot, by, time, F.col("_v"), "_upto", slices=slices)
+    hot = running_total(hot, by, time, F.when(F.col("_v").isNotNull(), 1).otherwise(0), "_n_upto", slices=slices)
     start = F.col(time) - F.make_dt_interval(F.lit(days))
-    totals = hot.groupBy(*by, time).agg(F.max("_upto").alias("_before"))
-    found = asof_join(hot.withColumn("_start", start), totals, by, "_start", ["_before"], right_time=time, inclusive=False, most=most, unit=unit)
-    kind = cold.schema[name].dataType
-    total = (F.col("_upto") - F.coalesce("_before", F.lit(0))).cast(kind)
-    return cold.unionByName(found.withColumn(name, total).drop("_v", "_upto", "_before", "_start"))
+    totals = hot.groupBy(*by, time).agg(F.max("_upto").alias("_before"), F.max("_n_upto").alias("_n_before"))
+    found = asof_join(hot.withColumn("_start", start), totals, by, "_start", ["_before", "_n_before"], right_time=time, inclusive=False,
+                      most=most, unit=unit)
+    # A frame without values has no sum.
+    some = F.col("_n_upto") > F.coalesce("_n_before", F.lit(0))
+    total = F.when(some, F.col("_upto") - F.coalesce("_before", F.lit(0))).cast(cold.schema[name].dataType)
+    return cold.unionByName(found.withColumn(name, total).drop("_v", "_upto", "_n_upto", "_before", "_n_before", "_start"))
 
 
 def sessions(df: DataFrame, by: Sequence[str], order: Sequence[str], gap_days: float, name: str = "session_no", most: int = SLICE_ROWS,
