@@ -300,3 +300,27 @@ def quantiles(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str
         h = (F.col("n") - 1) * F.lit(float(p))
         out.append((low + (high - low) * (h - F.floor(h))).alias(name))
     return values.select(*out)
+
+
+def grouped_quantile(df: DataFrame, by: Sequence[str], c: str, p: float, name: str) -> DataFrame:
+    """(*by, ``name``): PERCENTILE_CONT(p) of ``c`` in each group (NULLs ignored; a group of nothing else has no row).
+
+    As in :func:`quantiles`: distinct values with their counts, and only those of the buckets that hold the order statistics are
+    ranked, so a group with a large share of the rows is no single task. NULL is a group of its own.
+    """
+    vc = df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    offsets = bucket_offsets(vc, by).withColumn("n", F.sum("total").over(Window.partitionBy(*by)))
+    h = (F.col("n") - 1) * F.lit(float(p))
+    offsets = offsets.withColumn("low", F.floor(h)).withColumn("high", F.least(F.floor(h) + 1, F.col("n") - 1))
+    # One to a few buckets of each group.
+    held = offsets.where("offset <= high and offset + total > low").withColumnsRenamed({b: f"_{b}" for b in by} | {"bkt": "_bkt"}).drop("total")
+    on = F.col("bkt") == F.col("_bkt")
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    inside = vc.withColumn("bkt", bucket(F.col("v"))).join(held, on).withColumn("start", F.col("offset") + _before(by))
+
+    def at(i: str) -> Column:
+        return F.max(F.when((F.col("start") <= F.col(i)) & (F.col(i) < F.col("start") + F.col("cnt")), F.col("v").cast("double")))
+
+    found = inside.groupBy(*by).agg(F.first("n").alias("n"), at("low").alias("low"), at("high").alias("high"))
+    return found.select(*by, (F.col("low") + (F.col("high") - F.col("low")) * (h - F.floor(h))).alias(name))

@@ -19,10 +19,10 @@ from .oracle_base import with_ctes
 from .tables import Tables, driver_tables
 
 QUERY_MODULES = ("sales", "product", "delivery", "satisfaction", "profile", "cleaning_checks",
-                 "geo", "report", "star", "timeline", "live")
+                 "geo", "report", "star", "timeline", "live", "grouping")
 ORACLE_MODULES = ("oracle_sales", "oracle_product", "oracle_delivery", "oracle_satisfaction",
                   "oracle_profile", "oracle_cleaning", "oracle_geo", "oracle_report",
-                  "oracle_timeline")
+                  "oracle_timeline", "oracle_grouping")
 
 
 def load_all() -> None:
