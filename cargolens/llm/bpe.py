@@ -20,6 +20,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -33,12 +34,12 @@ from .common import spare_names, worker_local
 
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces that one recursive query takes; units that a task remembers; characters of text taken at a time.
+#: Distinct pieces that one recursive query takes; units whose ids a worker remembers (some 200 bytes each); characters of text taken at a time.
 PIECES_PER_QUERY = 20_000
 #: The recursive query keeps the rows of every round, n * n / 2 for a piece of n bytes: its pieces have up to so many bytes, and a
 #: query up to so many rows. Longer pieces go through the rounds one by one.
 LONG_PIECE, ROWS_PER_QUERY = 256, 2_000_000
-CACHED_UNITS = 400_000
+CACHED_UNITS = 800_000
 BLOCK_CHARS = 2_000_000
 
 #: Columns added, with their Spark and Arrow types.
@@ -124,9 +125,11 @@ class Encoder:
         self.space_after_space = re.compile(r"\s ")
         self.cut_at = re.compile(r"(?<=\S) ")
         self.first = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        #: What stands after a cut, without its space -> (ids joined by commas, decoded bytes).
-        self.units: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        #: What stands after a cut, without its space -> ids joined by commas.
+        self.ids: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: Of units whose ids do not decode to the unit itself (the pattern leaves something out): what they decode to.
+        self.other: dict[str, bytes] = {}
         pairs, merged = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -144,8 +147,8 @@ class Encoder:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
-        """(ids joined by commas, bytes that the ids decode to) of each piece."""
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[list[str], list[bytes]]:
+        """Ids joined by commas, and bytes that the ids decode to, of each piece."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         tokens = self.first[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         pos = np.arange(len(tokens), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -161,9 +164,10 @@ class Encoder:
                                 (("piece", piece), ("pos", pos), ("token", tokens), ("follower", follower))})
         out = self.db.sql(ENCODE if sizes.max() <= LONG_PIECE else self.rounds()).to_arrow_table()
         raw = out.column("raw").to_pylist()
-        if raw != pieces:  # the ordered aggregation has to give back every piece
+        # One thread aggregates the rows in the order in which the subquery gives them; every piece has to come back.
+        if raw != pieces:
             raise ValueError("decoded bytes differ from the text")
-        return list(zip(out.column("ids").to_pylist(), raw))
+        return out.column("ids").to_pylist(), raw
 
     def rounds(self) -> str:
         """Contract the symbols to the fixpoint, a table of the piece's length at a time; the query for what comes out."""
@@ -175,10 +179,10 @@ class Encoder:
                 return WRITTEN.format(rows="finished")
             self.db.execute(CONTRACT).fetchall()
 
-    def blocks(self, pieces: list[str]) -> Iterator[list[bytes]]:
+    def blocks(self, pieces: list[bytes]) -> Iterator[list[bytes]]:
         """Pieces, shortest first, by the rows that a query keeps of them."""
         block, rows = [], 0
-        for p in map(str.encode, pieces):
+        for p in pieces:
             n = len(p)
             more = n * (n + 1) // 2 if n <= LONG_PIECE else n
             other = block and (len(block) == PIECES_PER_QUERY or rows + more > ROWS_PER_QUERY or (len(block[0]) <= LONG_PIECE) != (n <= LONG_PIECE))
@@ -190,19 +194,19 @@ class Encoder:
         if block:
             yield block
 
-    def encode_found(self, found: list[list[str]]) -> Iterator[tuple[str, bytes]]:
-        """The pieces of each list, encoded and put together."""
+    def encode_found(self, found: list[list[str]]) -> tuple[list[str], list[bytes]]:
+        """Ids and bytes of the pieces of each list, encoded and put together."""
         # Pieces of like length share a query: it takes as many rounds as its longest piece needs.
-        pieces = sorted({p for f in found for p in f}, key=lambda p: len(p.encode()))
-        done: dict[str, tuple[str, bytes]] = {}
+        pieces = sorted(map(str.encode, set(chain.from_iterable(found))), key=len)
+        ids: dict[str, str] = {}
+        raws: dict[str, bytes] = {}
         for block in self.blocks(pieces):
-            done.update(zip([p.decode() for p in block], self.encode_pieces(block)))
-        for f in found:
-            if len(f) == 1:
-                yield done[f[0]]
-            else:
-                got = [done[p] for p in f]
-                yield ",".join([g[0] for g in got]), b"".join([g[1] for g in got])
+            texts = list(map(bytes.decode, block))
+            got, raw = self.encode_pieces(block)
+            ids.update(zip(texts, got))
+            raws.update(zip(texts, raw))
+        return ([ids[f[0]] if len(f) == 1 else ",".join(map(ids.__getitem__, f)) for f in found],
+                [raws[f[0]] if len(f) == 1 else b"".join(map(raws.__getitem__, f)) for f in found])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
         """Of each text, null as '': ids joined by commas and the decoded bytes."""
@@ -217,23 +221,32 @@ class Encoder:
 
     def encode_block(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         cut = [self.cut_at.split(t) if self.space_after_space.search(t) else t.split(" ") for t in texts]
-        units = set().union(*[c[1:] for c in cut])
-        if len(self.units) > CACHED_UNITS // 2:
-            self.units, self.older = {}, self.units
-        new = units - self.units.keys()
+        starts = [c[0] for c in cut]  # no space stands before these
+        for c in cut:
+            del c[0]
+        units = set().union(*cut)
+        if len(self.ids) > CACHED_UNITS // 2:
+            self.ids, self.older = {}, self.ids
+            self.other = {u: raw for u, raw in self.other.items() if u in self.older}
+        new = units - self.ids.keys()
         for u in new & self.older.keys():
-            self.units[u] = self.older[u]
+            self.ids[u] = self.older[u]
         new = list(new - self.older.keys())
         # Letters alone are one match together with the space before them.
         found = [[" " + u] if u.isascii() and u.isalpha() else self.pattern.findall(" " + u) for u in new]
-        self.units.update(zip(new, self.encode_found(found)))
-        heads = list({c[0] for c in cut})  # no space stands before these
-        head = dict(zip(heads, self.encode_found([self.pattern.findall(h) for h in heads])))
-        for c in cut:
-            got = [head[c[0]]] if c[0] else []
-            got += map(self.units.__getitem__, c[1:])
-            ids, raw = zip(*got) if got else ((), ())
-            yield ",".join(ids), b"".join(raw)
+        ids, raws = self.encode_found(found)
+        self.ids.update(zip(new, ids))
+        self.other.update((u, raw) for u, raw in zip(new, raws) if raw != (" " + u).encode())
+        heads = list(set(starts))
+        ids, raws = self.encode_found([self.pattern.findall(h) for h in heads])
+        head, head_raw = dict(zip(heads, ids)), dict(zip(heads, raws))
+        for text, start, c in zip(texts, starts, cut):
+            first, ids = head[start], ",".join(map(self.ids.__getitem__, c))
+            if head_raw[start] == start.encode() and self.other.keys().isdisjoint(c):
+                raw = text.encode()  # every unit has decoded to itself
+            else:
+                raw = head_raw[start] + b"".join([self.other.get(u, (" " + u).encode()) for u in c])
+            yield first + "," + ids if first and ids else first or ids, raw
 
 
 def encode_texts(docs: DataFrame, text: str = "text", ranks: str = RANKS,
