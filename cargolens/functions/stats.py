@@ -324,3 +324,12 @@ def grouped_quantile(df: DataFrame, by: Sequence[str], c: str, p: float, name: s
 
     found = inside.groupBy(*by).agg(F.first("n").alias("n"), at("low").alias("low"), at("high").alias("high"))
     return found.select(*by, (F.col("low") + (F.col("high") - F.col("low")) * (h - F.floor(h))).alias(name))
+
+
+def quantile_of_each(df: DataFrame, columns: dict[str, str], p: float, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    """One row: PERCENTILE_CONT(p) of several columns (name of a column -> name of its quantile), ranked in one frame together."""
+    if not exact:
+        return df.agg(*[F.percentile_approx(F.col(c).cast("double"), p, accuracy).alias(n) for c, n in columns.items()])
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns]))
+    found = grouped_quantile(df.select(values.alias("s")).select("s.*"), ["c"], "x", p, "q")
+    return found.agg(*[F.max(F.when(F.col("c") == c, F.col("q"))).alias(n) for c, n in columns.items()])

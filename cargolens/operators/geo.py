@@ -139,7 +139,8 @@ def slowest_sellers(t) -> DataFrame:
     """Sellers at or above the 90th percentile of mean processing time
     (the slowest 10 %). The threshold comes from the distributed quantile
     operator, over one row per seller."""
-    p = seller_profile(t).where(F.col("avg_processing_days").isNotNull())
+    # One row per seller; the threshold passes over it twice, the picks once more.
+    p = t.kept(seller_profile(t).where(F.col("avg_processing_days").isNotNull()))
     cut = stats.quantiles(p, "avg_processing_days", [1.0 - t.cfg.slowest_seller_share], ["cut"],
                           t.cfg.exact_percentiles, t.cfg.approx_accuracy)
     return (p.crossJoin(F.broadcast(cut)).where(F.col("avg_processing_days") >= F.col("cut"))

@@ -63,29 +63,25 @@ def item_view(items: DataFrame, enriched: DataFrame, pc: DataFrame,
 
 
 def items_by_order(items: DataFrame) -> DataFrame:
-    """Items added up per order. The sums are taken once per (order, product,
-    seller); only those rows are laid out for the two distinct counts, not
-    the items with their amounts."""
-    lines = items.groupBy("order_id", "product_id", "seller_id").agg(
-        F.count("order_item_id").alias("n"), F.sum("price").alias("price"),
-        F.sum("freight_value").alias("freight"),
-        F.sum(F.col("price") + F.col("freight_value")).alias("total"))
-    # Distinct ids: an id counts where it stands first among the order's lines with it.
-    ids = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("product_id").cast("string").alias("id")),
-                            F.struct(F.lit(1).alias("kind"), F.col("seller_id").cast("string").alias("id"))))
-    kinds = (lines.select("order_id", ids.alias("x")).where("x.id is not null").distinct()
-             .groupBy("order_id").agg(F.count_if(F.col("x.kind") == 0).alias("unique_products"),
-                                      F.count_if(F.col("x.kind") == 1).alias("unique_sellers")))
-    # Adding up sums must not widen the decimals once more.
-    kinds_of = items.agg(F.sum("price").alias("price"), F.sum("freight_value").alias("freight"),
-                         F.sum(F.col("price") + F.col("freight_value")).alias("total")).schema
-    sums = lines.groupBy("order_id").agg(F.sum("n").alias("item_count"), *[
-        F.sum(c).cast(kinds_of[c].dataType).alias(name)
-        for c, name in (("price", "order_revenue"), ("freight", "order_freight"), ("total", "order_total"))])
-    return sums.join(kinds, "order_id", "left").select(
-        "order_id", "item_count", F.coalesce("unique_products", F.lit(0)).alias("unique_products"),
-        F.coalesce("unique_sellers", F.lit(0)).alias("unique_sellers"),
-        "order_revenue", "order_freight", "order_total")
+    """Items added up per order, with the number of different products and sellers.
+
+    One chain of three aggregates over one scan: per (order, product), where each product counts once; per
+    (order, seller), where each seller does; per order. Every step combines map-side and none needs all lines of an
+    order in one task. No row is laid out twice, nothing is joined.
+    """
+    total = F.col("price") + F.col("freight_value")
+    # A product of an order has one seller, seldom more.
+    by_product = items.groupBy("order_id", "product_id").agg(
+        F.count("order_item_id").alias("n"), F.sum("price").alias("price"), F.sum("freight_value").alias("freight"), F.sum(total).alias("total"),
+        F.collect_set("seller_id").alias("sellers"))
+    kinds = {c: by_product.schema[c].dataType for c in ("price", "freight", "total")}  # adding up sums must not widen the decimals once more
+    amounts = ["n", "price", "freight", "total", "products"]
+    each = by_product.withColumn("products", F.col("product_id").isNotNull().cast("long")).select("order_id", *amounts, F.posexplode_outer("sellers").alias("at", "seller_id"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0  # a product's amounts go with its first seller
+    by_seller = each.groupBy("order_id", "seller_id").agg(*[F.sum(F.when(first, F.col(c))).alias(c) for c in amounts])
+    return by_seller.groupBy("order_id").agg(
+        F.sum("n").alias("item_count"), F.sum("products").alias("unique_products"), F.count("seller_id").alias("unique_sellers"),
+        *[F.sum(c).cast(kinds[c]).alias(f"order_{name}") for c, name in (("price", "revenue"), ("freight", "freight"), ("total", "total"))])
 
 
 def orders_summary(items: DataFrame, enriched: DataFrame) -> DataFrame:

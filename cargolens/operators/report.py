@@ -48,18 +48,17 @@ def _summary_kpis(t) -> DataFrame:
         pct(count_when(score == 1), n_scored).alias("one_star_rate"))
 
 
-def executive_kpis_raw(t) -> DataFrame:
-    """One row of 17 figures; every part is a one-row aggregate. The order summary is
-    computed once: the medians and the rank correlation pass over it again."""
+def executive_kpis_raw(t, medians: bool = True) -> DataFrame:
+    """One row of 17 figures (15 without medians); every part is a one-row aggregate. The order summary is
+    computed once: the medians, ranked together, and the rank correlation pass over it again."""
     t = t.once("orders_summary")
-
-    def median(c: str, name: str) -> DataFrame:
-        return stats.quantiles(t.orders_summary, c, [0.5], [name], t.cfg.exact_percentiles, t.cfg.approx_accuracy)
-
     rho = stats.spearman_raw(t.reviewed_delivered, "order_id", [("delay_days", "review_score")]).select(
         F.col("rho").alias("delay_review_spearman"))
-    return (_summary_kpis(t).crossJoin(median("order_revenue", "median_order_value"))
-            .crossJoin(median("delivery_days", "median_delivery_days")).crossJoin(_product_kpis(t)).crossJoin(rho))
+    out = _summary_kpis(t).crossJoin(_product_kpis(t)).crossJoin(rho)
+    if not medians:
+        return out
+    of = {"order_revenue": "median_order_value", "delivery_days": "median_delivery_days"}
+    return out.crossJoin(stats.quantile_of_each(t.orders_summary, of, 0.5, t.cfg.exact_percentiles, t.cfg.approx_accuracy))
 
 
 @query("executive_kpis")
@@ -89,7 +88,7 @@ def _fmt(c: str, d: int) -> F.Column:
 def kpi_summary_table(t) -> DataFrame:
     """(metric, value) text rows: the exported KPI table, plus the two rows
     the shipped file and the export cell disagree on (SURVEY §1.6o)."""
-    k = executive_kpis_raw(t)
+    k = executive_kpis_raw(t, medians=False)
     rows = [
         ("Total Revenue", F.concat(F.lit("R$ "), _fmt("total_revenue", 2))),
         ("Total Orders", F.format_number(F.col("total_orders"), 0)),

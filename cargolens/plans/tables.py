@@ -110,6 +110,11 @@ class Tables:
         return Tables(self.spark, self.raw, self.cfg, kept | {n: getattr(self, n).checkpoint(eager=True) for n in todo},
                       self.source)
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """``df`` computed now, once, into spark.checkpoint.dir."""
+        checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
+
     # -- materialisation ---------------------------------------------------
     STAGE1 = ("orders_clean", "reviews_clean", "products_clean", "payments_order_agg",
               "geolocation_clean")

@@ -7,6 +7,7 @@ ANSI mode.
 
 from __future__ import annotations
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +26,44 @@ def _as_text(schema: StructType) -> StructType:
 CORRUPT = "_corrupt_record"
 
 
-def _csv_text(spark: SparkSession, path: str) -> DataFrame:
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path (a file, a folder or a pattern) by their header. One line of each file is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(conf)
+    found = fs.globStatus(Path(path)) or []
+    files = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(files, key=lambda f: f.getPath().toString()):
+        if f.isDirectory() or f.getPath().getName()[0] in "._" or not f.getLen():
+            continue
+        stream = fs.open(f.getPath())
+        try:
+            codec = codecs.getCodec(f.getPath())
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+            line = (reader.readLine() or "").removeprefix("\ufeff")
+        finally:
+            stream.close()
+        out.setdefault(tuple(next(csv.reader([line]), [])), []).append(f.getPath().toString())
+    return out
+
+
+def _csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns of a CSV as text, by their header names, and the text of records
-    whose fields do not match the header."""
-    def reader():
-        return (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-                .option("escape", '"').option("mode", "PERMISSIVE"))
-
-    header = reader().csv(path).columns
-    text = StructType([StructField(c, StringType(), True) for c in (*header, CORRUPT)])
-    return reader().option("columnNameOfCorruptRecord", CORRUPT).schema(text).csv(path)
+    whose fields do not match the header. Files with different headers are read apart and put together by name."""
+    headers = _headers(spark, path)
+    if not headers:
+        raise FileNotFoundError(f"no CSV file with a header at {path}")
+    parts = []
+    for header, files in headers.items():
+        text = StructType([StructField(c, StringType(), True) for c in (*header, CORRUPT)])
+        parts.append(spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+                     .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(text).csv(files))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def corrupt_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -51,16 +80,17 @@ def corrupt_records(spark: SparkSession, path: str, schema: StructType) -> DataF
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: StructType,
-                   timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+                   timestamp_format: str = "yyyy-MM-dd HH:mm:ss", multi_line: bool = True) -> DataFrame:
     """A CSV file or folder with headers, as the published export writes them.
 
     Quoted fields may hold commas, newlines and doubled quotes (RFC 4180). Columns
-    are bound by header name, in any order; one that is missing is NULL, others are left out. A
+    are bound by the header name of their own file, in any order; one that is missing is NULL, others are left out. A
     record that does not parse is kept, with NULLs where it does not fit, and
     counted by :func:`corrupt_records`. Quoted newlines keep a file from being
-    split, so large exports should be written to Parquet once.
+    split: an export without any can be read with ``multi_line=False``, which
+    divides files among tasks; others should be written to Parquet once.
     """
-    df = _csv_text(spark, path)
+    df = _csv_text(spark, path, multi_line)
     wanted = {f.name: f for f in _as_text(schema).fields}
     df = df.select(*[(F.col(f"`{n}`").try_cast(f.dataType) if n in df.columns else F.lit(None).cast(f.dataType)).alias(n)
                      for n, f in wanted.items()])
@@ -75,11 +105,11 @@ def read_csv_table(spark: SparkSession, path: str, schema: StructType,
 
 
 def csv_tables(spark: SparkSession, files: dict[str, str], key_type=StringType(),
-               timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> dict[str, DataFrame]:
+               timestamp_format: str = "yyyy-MM-dd HH:mm:ss", multi_line: bool = True) -> dict[str, DataFrame]:
     """The raw tables from CSV files: ``files`` maps a table name (see
     ``RAW_TABLES``) to a file or folder path."""
     schemas = raw_schemas(key_type)
-    return {name: read_csv_table(spark, path, schemas[name], timestamp_format)
+    return {name: read_csv_table(spark, path, schemas[name], timestamp_format, multi_line)
             for name, path in files.items()}
 
 

@@ -45,6 +45,27 @@ def test_summary_aggregates_items_before_the_join(tables):
     assert "Keys [25]" not in p
 
 
+def test_items_are_read_once_and_never_laid_out(model):
+    from cargolens.operators.model import items_by_order
+    p = plan(items_by_order(model["order_items"]))
+    numbered = [line for line in p.splitlines() if line.startswith("(")]
+    assert sum("Scan parquet" in line for line in numbered) == 1 and sum("Exchange" in line for line in numbered) == 3
+    assert "Join" not in p and "Expand" not in p
+
+
+def test_products_of_several_sellers(spark):
+    """Different products and sellers of an order, with a product that three sellers sold, and null ids."""
+    from decimal import Decimal
+
+    from cargolens.operators.model import items_by_order
+    one = Decimal("1.00")
+    lines = [(1, 1, 5, 9), (1, 2, 5, 8), (1, 3, 5, 7), (1, 4, 6, 9), (1, 5, None, 9), (1, 6, 6, None), (1, 7, 5, 9), (2, 1, None, None)]
+    items = spark.createDataFrame([(*x, one, one) for x in lines],
+                                  "order_id long, order_item_id int, product_id long, seller_id long, price decimal(18,2), freight_value decimal(18,2)")
+    got = {r.order_id: (r.item_count, r.unique_products, r.unique_sellers, r.order_revenue, r.order_total) for r in items_by_order(items).collect()}
+    assert got == {1: (7, 2, 3, 7 * one, 14 * one), 2: (1, 0, 0, one, 2 * one)}
+
+
 def test_review_dedupe_is_an_aggregate_not_a_window(tables):
     p = plan(tables.reviews_clean)
     assert "Window" not in p

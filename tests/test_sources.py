@@ -127,6 +127,34 @@ def test_csv_with_quoted_newlines_and_doubled_quotes(spark, tmp_path):
     assert (bad["records"], bad["malformed"], bad["mistyped"]) == (4, 1, 1)
 
 
+def test_csv_folder_of_files_with_different_headers(spark, tmp_path):
+    """Every file is bound by its own header; a compressed one and one with a byte order mark too; empty files and marker files don't count."""
+    import gzip
+
+    from cargolens.sources.schemas import LONG_KEYS
+    schema = LONG_KEYS["sellers"]
+    names = [f.name for f in schema.fields]
+    rows = {"a": (1, 11, "x", "SP"), "b": (2, 22, "y", "RJ"), "c": (3, 33, "z", "MG"), "d": (4, 44, "a, b", "ES")}
+
+    def text(order, row, extra=""):
+        quoted = ",".join(f'"{row[names.index(c)]}"' if c in names else "?" for c in order)
+        return ",".join(order) + extra + "\n" + quoted + "\n"
+
+    folder = tmp_path / "sellers.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text(text(names, rows["a"]))
+    (folder / "b.csv").write_text(text(names[::-1], rows["b"]))
+    (folder / "c.csv").write_text("\ufeff" + text([names[1], "more", names[0], names[3]], rows["c"]), encoding="utf-8")
+    (folder / "d.csv.gz").write_bytes(gzip.compress(text(names, rows["d"]).encode()))
+    (folder / "_SUCCESS").write_text("")
+    (folder / "empty.csv").write_text("")
+    for multi_line in (True, False):
+        got = sorted(map(tuple, readers.read_csv_table(spark, str(folder), schema, multi_line=multi_line).collect()))
+        assert got == [rows["a"], rows["b"], (3, 33, None, "MG"), rows["d"]]
+    bad = readers.corrupt_records(spark, str(folder), schema).first()
+    assert (bad["records"], bad["malformed"], bad["mistyped"]) == (4, 0, 0)
+
+
 def test_checkpoint_folder_is_an_error_on_a_cluster():
     import pytest
 
