@@ -83,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     Confirmed: texts whose label is 1 in any of their label rows. Unlabelled: a sample of all texts, label or
     not. The class prior is the share of toxic among the labelled ids, or less if the most telling words
     are rarer than that among the unlabelled. Both samples
-    are the rows of smallest id hash, so reruns agree. Without a toxic text every
+    are the rows of smallest id hash, and of rows with one id that of the smallest text hash, so reruns agree. Without a toxic text every
     score is zero; rows without an id, a text or a label teach nothing.
     """
     learn = F.col("id").isNotNull() & (id_remainder(F.col("id"), HELD_OUT_MODULUS) != HELD_OUT)
@@ -103,7 +103,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         sample(ids.where(learn).distinct(), MAX_UNLABELLED, 0)))
     # At most MAX_TOXIC + MAX_UNLABELLED ids.
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text")).where("text is not null").join(
-        F.broadcast(chosen), "id").select("role", "text")
+        F.broadcast(chosen), "id")
+    # Of rows that repeat an id one teaches, so the bound on ids is one on rows.
+    texts = texts.groupBy("id", "role").agg(F.min(F.struct(F.xxhash64("text").alias("place"), "text")).alias("t")).select("role", "t.text")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
