@@ -93,3 +93,10 @@ def row_hashes(df: DataFrame) -> tuple[Column, Column]:
     """Two 64-bit hashes of a whole row; together they tell different rows apart."""
     columns = [F.col(f"`{c}`") for c in df.columns]
     return F.xxhash64(*columns), F.xxhash64(F.lit("twin"), *columns)
+
+
+def one_of_each(marked: DataFrame, row: list[str]) -> DataFrame:
+    """(*row, ``kept``): one row, as a struct of the other columns, for each pair of row hashes. Copies are
+    left out in the task that reads them, so a row that repeats without end is one row a task."""
+    columns = F.struct(*[F.col(f"`{c}`") for c in marked.columns if c not in row])
+    return marked.groupBy(*row).agg(F.first(columns).alias("kept"))

@@ -21,13 +21,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, row_hashes, spare_names, word_count
+from .common import cut, one_of_each, row_hashes, spare_names, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
 #: Leading hex digits of the hash that name a range of the sample's order.
 RANGE_DIGITS = 3
+#: Copies of one row that one task writes.
+LOT = 1000
 
 
 def order_key(doc_id: Column, seed: int) -> Column:
@@ -99,26 +101,24 @@ def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sou
                      **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, with all its columns.
 
-    Whole repetitions are the row as it is. The document at the end of a source's sample
-    appears once more with as many of its leading words as the mix takes, each followed by what
-    stood after it. Documents not taken go.
+    Rows are taken whole: the document at the end of a source's sample, of which ``mix`` takes a part, appears once more if that
+    part is half of its words or more, so that the source comes as near to its target as whole documents can. Documents not
+    taken go. Rows that repeat count together.
     """
     row = spare_names(docs, "m_row", "m_twin")
-    size, copies, extra, nth, words = spare_names(docs, "m_size", "m_copies", "m_extra", "m_nth", "m_words")
+    (nth,) = spare_names(docs, "m_nth")
     marked = docs.withColumns(dict(zip(row, row_hashes(docs))))
     taken = mix(marked, doc_id, source, text, also=row, **options).where("taken > 0")
-    # Repeated rows share their hashes, and what they take together is dealt to them anew.
-    taken = cut(taken.groupBy(*row).agg(F.max("size").alias(size), F.max("copies").alias(copies), F.sum("extra").alias(extra)))
-    rows = marked.join(taken, row).withColumn(nth, F.row_number().over(Window.partitionBy(*row).orderBy(doc_id)) - 1)
-    own = F.greatest(F.lit(0), F.least(F.col(size), F.col(extra) - F.col(nth) * F.col(size))).cast("int")
-    whole = F.col(copies) + (own == F.col(size)).cast("long")
-    pieces = F.concat(F.array_repeat(F.lit(-1), whole.cast("int")),
-                      F.when((own > 0) & (own < F.col(size)), F.array(own)).otherwise(F.array().cast("array<int>")))
-    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(pieces).alias(words))
-    leading = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
-    kept = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1,
-                                F.greatest(F.col(words), F.lit(0))), "")
-    return rows.withColumn(text, F.when(F.col(words) < 0, F.col(text)).otherwise(F.concat(leading, kept))).drop(words)
+    # What the copies of a row take together: whole repetitions of each, and of one more as many as fit.
+    times = F.col("whole") + F.floor((F.col("extra") * 2 + F.col("size")) / (F.col("size") * 2))
+    taken = cut(taken.groupBy(*row).agg(F.max("size").alias("size"), F.sum("copies").alias("whole"), F.sum("extra").alias("extra"))
+                .select(*row, times.cast("long").alias("times")).where("times > 0"))
+    rows = one_of_each(marked, row).join(taken, row)
+    few = rows.where(F.col("times") <= LOT).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    # A row taken very often is dealt out in lots before its copies are written.
+    lots = rows.where(F.col("times") > LOT).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / LOT)))).repartition("lot", *row)
+    many = lots.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT), F.col("times") - F.col("lot") * LOT))))
+    return few.select("kept.*").unionByName(many.select("kept.*"))
 
 
 def op3_mixing(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_hashes, spare_names
+from .common import cut, one_of_each, row_hashes, spare_names
 from .components import connected_components
 
 #: The contract: words in a shingle, and bits in which linked fingerprints differ at most.
@@ -273,15 +273,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     id (null last; of rows with the same id, that of the smallest row hash).
     Columns stay as they are; an empty table stays empty."""
     row = spare_names(docs, "row", "twin")
-    (nth,) = spare_names(docs, "nth")
     marked = docs.withColumns(dict(zip(row, row_hashes(docs))))
     found = near_duplicates(marked, doc_id, text, tuple(row), width, max_bits)
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), *row))
     chosen = cut(found.groupBy("component").agg(first.alias("first")).select(*[f"first.{c}" for c in row]))
-    # Repeated rows have the same hashes; one of them stays. The join has put them together already.
-    one = Window.partitionBy(*row).orderBy(doc_id)
-    return marked.join(chosen, row, "left_semi").withColumn(nth, F.row_number().over(one)).where(
-        F.col(nth) == 1).drop(nth, *row)
+    return one_of_each(marked, row).join(chosen, row, "left_semi").select("kept.*")
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:

@@ -33,8 +33,10 @@ def check(spark, rows):
         assert s["own"] == s["size"] and abs(s["taken"] - s["target"]) <= 0.5 and s["target"] <= 3 * s["size"] + 1e-9
     assert sum(s["target"] for s in by.values()) == pytest.approx(total)
     assert sorted(map(str, got(spark, rows))) == sorted(map(str, out))
-    mixed = [len(t.split()) for _, t in plain_mix([(i, s, t or "") for i, s, t in rows])]
-    assert sum(mixed) == sum(r.taken for r in out)
+    # Whole documents come as near to the words taken as half of a source's last document.
+    for s, words_of in by.items():
+        mixed = sum(len(t.split()) for _, t in plain_mix([(i, q, t or "") for i, q, t in rows], s))
+        assert abs(mixed - words_of["taken"]) <= max(len((t or "").split()) for _, q, t in rows if q == s) / 2
 
 
 def test_hot_and_small_sources(spark):
@@ -53,16 +55,18 @@ def test_no_words_and_empty_table(spark):
     assert mixing.repeat_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_repeated_documents(spark):
-    rows = [(1, "a", words(10)), (1, "a", words(10)), (2, "a", " lead " + words(7)), (3, "b", words(500)), (4, "c", words(40))]
+def test_repeated_documents(spark, monkeypatch):
+    """Every text whole, as often as the plain version has it, also where one row is taken in many lots."""
+    rows = [(1, "a", words(10)), (1, "a", words(10)), (2, "a", " lead " + words(7)), (3, "b", words(500)), (4, "c", words(40)), (5, "c", None), (6, "b", "")]
+    rows += [(7, "d", "the same row")] * 60
     df = spark.createDataFrame([(*r, "x", 0.0) for r in rows], SCHEMA)
-    want = mixing.mix(df).groupBy("source").agg({"taken": "sum"}).collect()
-    out = mixing.repeat_documents(df)
-    assert out.columns == df.columns
-    have = {}
-    for r in out.collect():
-        have[r.source] = have.get(r.source, 0) + len(r.text.split())
-    assert have == {r.source: r["sum(taken)"] for r in want if r["sum(taken)"]}
+    want = sorted(plain_mix([(i, s, t or "") for i, s, t in rows]))
+    assert any(t == "the same row" for _, t in want)
+    for lot in (1000, 3):
+        monkeypatch.setattr(mixing, "LOT", lot)
+        out = mixing.repeat_documents(df)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == want
 
 
 @settings(max_examples=12, deadline=None)

@@ -21,8 +21,8 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-def plain_mix(rows):
-    """Rows of (doc_id, source, text) -> the mix, by clamping and sharing until no source is above its cap."""
+def plain_mix(rows, *only):
+    """Rows of (doc_id, source, text) -> the mix (of some sources), by clamping and sharing until no source is above its cap."""
     size = {s: sum(len(WORD.findall(t)) for _, q, t in rows if q == s) for s in {r[1] for r in rows}}
     order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
@@ -34,17 +34,15 @@ def plain_mix(rows):
         target |= {s: 3.0 * size[s] for s in above} or share
         open_ = open_ - above if above else set()
     out = []
-    for s in order:
+    for s in only or order:
         here = sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"{mixing.SEED}|{'' if r[0] is None else r[0]}".encode()).hexdigest())
         copies = int(target[s] // size[s]) if size[s] else 0
         left = int(target[s] - copies * size[s] + 0.5)  # halves go up
         for i, _, t in here:
-            words = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t)
-            lead = re.match(r"[\x20\x09-\x0D]*", t)[0]
-            out += [(i, t)] * copies
-            if words and left > 0:
-                out.append((i, t if left >= len(words) else lead + "".join(words[:left])))
-                left -= len(words)
+            words = len(WORD.findall(t))
+            # Texts stay whole: the last one is taken once more if half of it or more is asked for.
+            out += [(i, t)] * (copies + (words > 0 and 2 * max(0, left) >= words) if words else 0)
+            left -= words
     return out
 
 
