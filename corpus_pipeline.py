@@ -15,22 +15,30 @@ from cargolens.llm.common import fresh_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; it learns from the labels of these documents."""
+    """Documents that the classifier does not call toxic; it learns from the labels of these documents.
+
+    Null and empty texts score as texts without words, repeated rows alike; without toxic labels, or without rows, all stay."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked fingerprints."""
+    """One document, that of the smallest id, of each group of linked fingerprints.
+
+    Null and empty texts share a fingerprint; a null id comes last, and of repeated rows one stays; no rows give none."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a source's last one may be cut to the words that fill its target."""
+    """Documents as often as the mix takes them, always whole: a source's last one if that comes nearer to its target.
+
+    Documents without words go, a null source is a source, repeated rows count together; no rows give none."""
     return mixing.repeat_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of every document of the mix, with its source and language."""
+    """Token count and digests of every document of the mix, with its source and language.
+
+    A null text is an empty one, without tokens; every row stays, repeated or not."""
     return bpe.encode_texts(docs).select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
