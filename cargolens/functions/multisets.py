@@ -23,25 +23,33 @@ def _counted(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*_named(a)).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
 
 
+#: Copies of one row that one task writes.
+LOT = 1000
+
+
 def _times(counted: DataFrame, n: Column) -> DataFrame:
-    """Each row ``n`` times; many copies of one row are spread before they are written out."""
-    columns = [c for c in counted.columns if c not in ("_a", "_b")]
-    # In two steps, so that no single row turns into all copies at once: lots of a thousand, dealt out, then the copies.
-    lots = counted.withColumn("_n", n).where("_n > 0").withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / 1000))))
-    in_lot = F.least(F.lit(1000), F.col("_n") - F.col("_lot") * 1000).cast("int")
-    return lots.withColumn("_i", F.explode(F.sequence(F.lit(1), in_lot))).select(*[F.col(f"`{c}`") for c in columns])
+    """Each row ``n`` times; a row of very many copies is dealt out in lots before they are written."""
+    columns = [F.col(f"`{c}`") for c in counted.columns if c not in ("_a", "_b")]
+    counted = counted.withColumn("_n", n.cast("long"))
+    few = counted.where(F.col("_n").between(1, LOT)).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    lots = counted.where(F.col("_n") > LOT).withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / LOT))))
+    many = lots.repartition("_lot", *columns).withColumn(
+        "_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT), F.col("_n") - F.col("_lot") * LOT))))
+    return few.select(*columns).unionByName(many.select(*columns))
 
 
 def intersect(a: DataFrame, b: DataFrame, every: bool = False) -> DataFrame:
     """Rows of both; ``every``: as often as both have them (INTERSECT ALL). Nulls are equal."""
     c = _counted(a, b)
-    return _times(c, F.least("_a", "_b") if every else F.least("_a", "_b", F.lit(1)))
+    if every:
+        return _times(c, F.least("_a", "_b"))
+    return c.where("_a > 0 and _b > 0").drop("_a", "_b")
 
 
 def subtract(a: DataFrame, b: DataFrame, every: bool = False) -> DataFrame:
     """Rows of ``a`` that ``b`` has not; ``every``: as often as ``a`` has them more (EXCEPT ALL)."""
     c = _counted(a, b)
-    return _times(c, F.col("_a") - F.col("_b")) if every else _times(c, F.when(F.col("_b") == 0, 1).otherwise(0))
+    return _times(c, F.col("_a") - F.col("_b")) if every else c.where("_b = 0").drop("_a", "_b")
 
 
 def changes(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -241,3 +241,23 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_spa
         (F.col("_level") == F.greatest("l_level", "r_level")) & (F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to"))
         & (F.col("_bin") == F.greatest("l_first", "r_first")))
     return met.select(*by, "l", "r")
+
+
+def overlap_counts(df: DataFrame, by: Sequence[str], start: str, end: str, name: str, most: int = SLICE_ROWS, unit: str = "day") -> DataFrame:
+    """``df`` with the number of other rows of its key whose half-open interval has an instant in common with its own.
+
+    No pair is made: those that overlap are those that start before this one ends, less those that end by its start, less itself; both numbers are
+    running counts over the key's starts and ends, looked up by an as-of join. Intervals without a start or end, or that end no later than they
+    start, overlap nothing and get 0. Linear in the rows, however many of a key overlap.
+    """
+    valid = F.coalesce(F.col(end) > F.col(start), F.lit(False))
+    some = df.where(valid)
+
+    def counted(time: str, out: str) -> DataFrame:
+        n = some.groupBy(*by, F.col(time).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+        return running_total(n, by, "_at", F.col("_n"), out, most, unit)
+
+    begun = asof_join(some, counted(start, "_begun"), by, end, ["_begun"], right_time="_at", inclusive=False, most=most, unit=unit)
+    both = asof_join(begun, counted(end, "_ended"), by, start, ["_ended"], right_time="_at", most=most, unit=unit)
+    out = both.withColumn(name, F.col("_begun") - F.coalesce("_ended", F.lit(0)) - 1).drop("_begun", "_ended")
+    return out.unionByName(df.where(~valid).withColumn(name, F.lit(0).cast("long")))

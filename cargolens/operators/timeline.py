@@ -88,19 +88,27 @@ def customer_trailing_revenue(t) -> DataFrame:
     return out.select("customer_unique_id", "order_id", F.col("trailing_revenue").cast("double").alias("trailing_revenue"))
 
 
-@query("seller_concurrent_orders")
-def seller_concurrent_orders(t) -> DataFrame:
-    """Per seller: orders, pairs of them that were open at the same time, and orders that never were alone."""
+def seller_orders(t, *more: str) -> DataFrame:
+    """One row for each seller (and further columns of the items) of an order, whatever the number of its lines, with the time it was open."""
     till = F.coalesce("order_delivered_customer_date", "order_estimated_delivery_date")
     spans = t["orders"].select("order_id", F.col("order_purchase_timestamp").alias("opened"), till.alias("closed"))
-    # One row for each seller of an order, whatever the number of its lines.
-    o = t["order_items"].select("seller_id", "order_id").distinct().join(spans, "order_id")
-    # A column's worth of each side: the pairs are counted where they are found.
-    met = sequences.interval_join(o.select("seller_id", "order_id", "opened", "closed"), o.select("seller_id", "order_id", "opened", "closed"),
-                                  ["seller_id"], ("opened", "closed"), ("opened", "closed")).where("l.order_id <> r.order_id")
-    others = met.groupBy("seller_id", F.col("l.order_id").alias("order_id")).agg(F.count(F.lit(1)).alias("others"))
-    overlaps = others.groupBy("seller_id").agg(F.sum("others").alias("met"), F.count(F.lit(1)).alias("orders_overlapped"), F.max("others").alias("most_others"))
-    return (o.groupBy("seller_id").agg(F.count(F.lit(1)).alias("orders")).join(overlaps, "seller_id", "left")
-            .select("seller_id", "orders", F.coalesce(F.expr("met div 2"), F.lit(0)).cast("long").alias("overlapping_pairs"),
-                    F.coalesce("orders_overlapped", F.lit(0)).cast("long").alias("orders_overlapped"),
-                    F.coalesce("most_others", F.lit(0)).cast("long").alias("most_others")))
+    return t["order_items"].select("seller_id", *more, "order_id").distinct().join(spans, "order_id").select("seller_id", *more, "order_id", "opened", "closed")
+
+
+@query("seller_concurrent_orders")
+def seller_concurrent_orders(t) -> DataFrame:
+    """Per seller: orders, pairs of them that were open at the same time, orders that were not alone, most others of one order."""
+    o = sequences.overlap_counts(seller_orders(t), ["seller_id"], "opened", "closed", "others")
+    return o.groupBy("seller_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.expr("sum(others) div 2").cast("long").alias("overlapping_pairs"),
+        F.count_if(F.col("others") > 0).alias("orders_overlapped"), F.max("others").alias("most_others"))
+
+
+@query("product_orders_at_once")
+def product_orders_at_once(t) -> DataFrame:
+    """Pairs of orders that waited for the same product of the same seller at the same time, with the first and last such instant."""
+    o = seller_orders(t, "product_id")
+    span = ("opened", "closed")
+    met = sequences.interval_join(o, o, ["seller_id", "product_id"], span, span).where("l.order_id < r.order_id")
+    return met.select("seller_id", "product_id", F.col("l.order_id").alias("order_id"), F.col("r.order_id").alias("other_order_id"),
+                      F.greatest("l.opened", "r.opened").alias("both_from"), F.least("l.closed", "r.closed").alias("both_to"))

@@ -97,3 +97,16 @@ def seller_concurrent_orders(cfg):
     SELECT seller_id, COUNT(*) AS orders, (SUM(n) / 2)::BIGINT AS overlapping_pairs,
            COUNT(*) FILTER (n > 0) AS orders_overlapped, max(n) AS most_others
     FROM others GROUP BY seller_id"""
+
+
+@oracle("product_orders_at_once")
+def product_orders_at_once(cfg):
+    return """
+    WITH spans AS (
+        SELECT DISTINCT seller_id, product_id, order_id, order_purchase_timestamp AS opened,
+               ifnull(order_delivered_customer_date, order_estimated_delivery_date) AS closed
+        FROM r_order_items JOIN r_orders USING (order_id))
+    SELECT a.seller_id, a.product_id, a.order_id, b.order_id AS other_order_id,
+           greatest(a.opened, b.opened) AS both_from, least(a.closed, b.closed) AS both_to
+    FROM spans a JOIN spans b ON a.seller_id = b.seller_id AND a.product_id = b.product_id AND a.order_id < b.order_id
+     AND a.opened < b.closed AND b.opened < a.closed AND a.opened < a.closed AND b.opened < b.closed"""

@@ -152,6 +152,21 @@ def test_interval_join(spark):
     assert "NestedLoop" not in p and "Cartesian" not in p
 
 
+@pytest.mark.parametrize("most", SLICED)
+def test_overlap_counts(spark, most):
+    """Against all pairs, with a hot key all of whose intervals overlap."""
+    rnd = random.Random(7)
+    data = []
+    for i in range(240):
+        start = T0 + dt.timedelta(hours=rnd.randrange(0, 2000) // 5 * 5)
+        data.append(("hot" if i % 3 == 0 else rnd.choice("ab"), i, None if i % 37 == 0 else start, start + dt.timedelta(hours=rnd.choice([0, -3, 5, 10, 400, 5000]))))
+    df = spark.createDataFrame(data, "k string, id long, s timestamp_ntz, e timestamp_ntz")
+    got = {r.id: r.others for r in sequences.overlap_counts(df, ["k"], "s", "e", "others", most=most).collect()}
+    ok = [r for r in data if r[2] and r[2] < r[3]]
+    want = {r[1]: 0 for r in data} | {a[1]: sum(a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and b[2] < a[3] for b in ok) for a in ok}
+    assert got == want
+
+
 def test_empty_frames(spark):
     none = frame(spark, [])
     assert sequences.asof_join(none, none.withColumnRenamed("id", "x"), ["k"], "t", ["x"]).isEmpty()
@@ -160,16 +175,16 @@ def test_empty_frames(spark):
 
 
 def test_queries_have_no_nested_loops(tables):
-    for name in ("payment_order_state", "seller_concurrent_orders", "customer_trailing_revenue"):
+    for name in ("payment_order_state", "seller_concurrent_orders", "product_orders_at_once", "customer_trailing_revenue"):
         p = plan(QUERIES[name](tables))
         loops = [line for line in p.splitlines() if "NestedLoop" in line or "Cartesian" in line]
         assert all("n_orders" in line for line in loops), name  # the adapter's one-row order count
 
 
-@pytest.mark.parametrize("name", ["payment_order_state", "customer_order_gaps", "customer_sessions", "customer_trailing_revenue"])
+@pytest.mark.parametrize("name", ["payment_order_state", "customer_order_gaps", "customer_sessions", "customer_trailing_revenue", "seller_concurrent_orders"])
 def test_queries_are_the_same_in_slices(tables, monkeypatch, name):
     whole = sorted(map(str, QUERIES[name](tables).collect()))
     monkeypatch.setattr(sequences.Slices.__init__, "__defaults__", (2, "day"))
-    for f in (sequences.asof_join, sequences.trailing_total, sequences.sessions):
+    for f in (sequences.asof_join, sequences.trailing_total, sequences.sessions, sequences.overlap_counts):
         monkeypatch.setattr(f, "__defaults__", tuple(2 if d == sequences.SLICE_ROWS else d for d in f.__defaults__))
     assert sorted(map(str, QUERIES[name](tables).collect())) == whole
