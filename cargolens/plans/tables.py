@@ -60,7 +60,10 @@ class Tables:
 
     @cached_property
     def payments_order_agg(self) -> DataFrame:
-        return clean.payments_order_agg(self.payments_clean)
+        # Payments that still have their own ids need no sequence number per order to tell which came first.
+        events = self.raw.get("payment_events")
+        return clean.payments_order_agg(self.payments_clean if events is None else
+                                        clean.payments_clean(events.withColumnRenamed("payment_id", "payment_sequential")))
 
     @cached_property
     def geolocation_clean(self) -> DataFrame:
@@ -83,7 +86,8 @@ class Tables:
 
     @cached_property
     def orders_summary(self) -> DataFrame:
-        return model.orders_summary(self.raw["order_items"], self.orders_enriched)
+        # Sums and counts do not need the lines numbered.
+        return model.orders_summary(self.raw.get("order_lines", self.raw["order_items"]), self.orders_enriched)
 
     @property
     def delivered(self) -> DataFrame:

@@ -115,21 +115,30 @@ LINEITEM_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_ext
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-def order_items(d: dict[str, DataFrame]) -> DataFrame:
-    # (l_orderkey, l_linenumber) is not unique but whole rows are, so the
-    # sequence number orders by every column. The window partitions by the
-    # order key, which is also the key every later step groups or joins on.
-    w = Window.partitionBy("l_orderkey").orderBy(*LINEITEM_ORDER)
+def _line_columns(number) -> list:
     price = F.col("l_extendedprice").cast("decimal(18,2)")
-    return d["lineitem"].select(
+    return [
         F.col("l_orderkey").alias("order_id"),
-        F.row_number().over(w).cast("int").alias("order_item_id"),
+        number.cast("int").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
         price.alias("price"),
         (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(18,2)").alias("freight_value"),
-    )
+    ]
+
+
+def order_items(d: dict[str, DataFrame]) -> DataFrame:
+    # (l_orderkey, l_linenumber) is not unique but whole rows are, so the
+    # sequence number orders by every column. The window partitions by the
+    # order key, which is also the key every later step groups or joins on.
+    w = Window.partitionBy("l_orderkey").orderBy(*LINEITEM_ORDER)
+    return d["lineitem"].select(*_line_columns(F.row_number().over(w)))
+
+
+def order_lines(d: dict[str, DataFrame]) -> DataFrame:
+    """The items by the source's own line numbers, which repeat: for sums and counts, which need no sequence and so no window."""
+    return d["lineitem"].select(*_line_columns(F.col("l_linenumber")))
 
 
 def customers(d: dict[str, DataFrame]) -> DataFrame:
@@ -268,9 +277,9 @@ BUILDERS = {
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All nine raw tables over the driver parquet at ``sf_dir``, and the payments with their times (lazy)."""
+    """All nine raw tables over the driver parquet at ``sf_dir``, and payments and lines as they are before they are numbered (lazy)."""
     d = read_driver_tables(spark, sf_dir)
-    return {name: build(d) for name, build in (BUILDERS | {"payment_events": payment_events}).items()}
+    return {name: build(d) for name, build in (BUILDERS | {"payment_events": payment_events, "order_lines": order_lines}).items()}
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:

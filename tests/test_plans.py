@@ -45,6 +45,11 @@ def test_summary_aggregates_items_before_the_join(tables):
     assert "Keys [25]" not in p
 
 
+def test_the_summary_needs_no_window(tables):
+    """Neither lines nor payments are numbered per order for it, so an order of a third of all rows is no single task."""
+    assert "Window" not in plan(tables.orders_summary) and "Window" not in plan(tables.payments_order_agg)
+
+
 def test_items_are_read_once_and_never_laid_out(model):
     from cargolens.operators.model import items_by_order
     p = plan(items_by_order(model["order_items"]))
