@@ -26,7 +26,8 @@ ANCHOR_MODULUS = 100
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score lies between these tenths of the positive's score.
 LOW_TENTHS, HIGH_TENTHS = 3, 9
-ANCHOR_BLOCK, CANDIDATE_BLOCK = 512, 2048
+#: Vectors in a block at most, and components in a block of candidates: wide vectors come in smaller blocks.
+ANCHOR_BLOCK, CANDIDATE_BLOCK, COMPONENTS = 512, 2048, 2**17
 #: Sums of float32 integers are exact up to here.
 EXACT = 2**24
 #: Components multiplied in one float32 product.
@@ -109,10 +110,11 @@ def blocks(rows: DataFrame, by: list[str], size: int, name: str, columns: list[s
         *by, f"{name}_block", F.col(f"{name}_blocks").cast("long").alias(f"{name}_blocks"), *[F.col(f"r.{c}").alias(f"{name}_{c}") for c in columns]))
 
 
-def tiles(anchors: DataFrame, candidates: DataFrame, by: list[str], anchor_columns: list[str], candidate_columns: list[str]) -> DataFrame:
+def tiles(anchors: DataFrame, candidates: DataFrame, by: list[str], anchor_columns: list[str], candidate_columns: list[str], width: int) -> DataFrame:
     """Every block of anchors with every block of candidates of the same group, each pair on its own key."""
-    a = blocks(anchors, by, ANCHOR_BLOCK, "a", anchor_columns)
-    c = blocks(candidates, by, CANDIDATE_BLOCK, "c", candidate_columns)
+    most = max(1, COMPONENTS // max(1, width))
+    a = blocks(anchors, by, min(ANCHOR_BLOCK, most), "a", anchor_columns)
+    c = blocks(candidates, by, min(CANDIDATE_BLOCK, most), "c", candidate_columns)
 
     def met(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
         numbers = other.groupBy(*by).agg(F.max(f"{name}_blocks").alias("n")) if by else other.agg(F.max(f"{name}_blocks").alias("n"))
@@ -192,14 +194,15 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negativ
     rows = cut(rows)
     # |score| is at most the largest squared length (Cauchy-Schwarz); a little is added for the rounding of doubles.
     square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    bound = int((rows.agg(F.max(square)).first()[0] or 0.0) * (1 + 1e-9)) + 1
+    largest, width = rows.agg(F.coalesce(F.max(square), F.lit(0.0)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    bound = int(largest * (1 + 1e-9)) + 1
     moduli, anchors = primes(bound), rows.where(is_anchor)
-    near = tiles(anchors, rows, ["label"], ["vec_id", "x"], ["vec_id", "x"]).mapInArrow(
+    near = tiles(anchors, rows, ["label"], ["vec_id", "x"], ["vec_id", "x"], width).mapInArrow(
         nearest(moduli, bound, positives), "anchor_id long, positive_id long, positive_score long")
     near = first_by(near, ["anchor_id"], "positive_score", "positive_id", positives)
     windows = near.groupBy(F.col("anchor_id").alias("vec_id")).agg(
         F.collect_list(F.struct("positive_id", "positive_score")).alias("positives"))
-    found = tiles(anchors.join(cut(windows), "vec_id"), rows, [], ["vec_id", "label", "x", "positives"], ["vec_id", "label", "x"]).mapInArrow(
+    found = tiles(anchors.join(cut(windows), "vec_id"), rows, [], ["vec_id", "label", "x", "positives"], ["vec_id", "label", "x"], width).mapInArrow(
         in_windows(moduli, bound, negatives), "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     return first_by(found, ["anchor_id", "positive_id"], "negative_score", "negative_id", negatives).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

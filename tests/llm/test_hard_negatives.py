@@ -68,6 +68,12 @@ def test_mining(spark, monkeypatch):
     assert rows_of(hard_negatives.op12_hard_negatives(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
 
 
+def test_wide_vectors_come_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "COMPONENTS", 40)
+    rows = random_rows(220, 9, 3)
+    assert rows_of(hard_negatives.op12_hard_negatives(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
+
+
 def test_odd_rows(spark):
     rows = [(100, [0.5, 0.25], 1, "a", 1.0), (100, [0.5, 0.25], 1, "a", 1.0), (100, [0.5, 0.25], 2, None, None), (200, None, 1, "a", 1.0),
             (300, [1.0, None], 1, "a", 1.0), (400, [float("nan"), 0.0], 1, "a", 1.0), (500, [float("inf"), 0.0], 1, "a", 1.0),
