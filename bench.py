@@ -32,6 +32,7 @@ HEADLINE = (
     "review_by_delivery_outcome", "lowest_rated_categories", "multi_factor_satisfaction",
     "delay_spearman", "mann_whitney_route", "price_distribution", "orphan_checks",
     "freight_by_distance", "executive_kpis", "spearman_drivers", "spearman_matrix",
+    "revenue_cube", "seller_slowest_orders", "customer_trailing_revenue", "seller_concurrent_orders", "payment_order_state",
 )
 END_TO_END = ("monthly_sales", "orders_item_view", "items_per_order_dist")
 
