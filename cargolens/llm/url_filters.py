@@ -33,8 +33,8 @@ RULES = ((BLOCK, "net", "/"), (ALLOW, "example.net", "/en/"), (BLOCK, "example.c
 #: Words that make a URL an example to block.
 SEEDS = ("adult", "porn", "xxx", "sex", "casino", "poker", "bet", "bets", "betting", "gambling", "pill", "pills", "viagra", "pharmacy", "cheap",
          "ads", "adserver", "banner", "track", "tracker", "popup", "spam", "malware", "phishing", "warez", "torrent")
-#: Longest word that segmentation knows, and pages' worth of counts that each seed brings.
-MAX_WORD, SEED_COUNT = 24, 100
+#: Longest word that segmentation knows, and the share of all counted words that each seed brings, so that runs are cut alike in small and large tables.
+MAX_WORD, SEED_SHARE = 24, 1e-4
 SMOOTHING = 1.0
 
 
@@ -70,10 +70,11 @@ def page_words(html: Column) -> Column:
 
 
 def word_counts(pages: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
-    """(word, n): how often the pages' texts have a word; the seeds are words, too."""
-    counted = pages.select(F.explode(page_words(F.col("html"))).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"))
-    seeded = pages.sparkSession.createDataFrame([(s, SEED_COUNT) for s in dict.fromkeys(seeds)], "word string, n long")
+    """(word, n): how often the pages' texts have a word; the seeds are words, too. The pages are read once, now."""
+    counted = cut(pages.select(F.explode(page_words(F.col("html"))).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n")))
+    each = math.ceil((counted.agg(F.sum("n")).first()[0] or 1) * SEED_SHARE)
+    seeded = pages.sparkSession.createDataFrame([(s, each) for s in dict.fromkeys(seeds)], "word string, n long")
     return counted.union(seeded).groupBy("word").agg(F.sum("n").alias("n"))
 
 

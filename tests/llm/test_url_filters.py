@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cargolens.llm import url_filters
 from cargolens.llm.url_filters import ALLOW, BLOCK, RULES, SEEDS, judge, viterbi
@@ -62,6 +63,21 @@ def test_viterbi(run):
     assert "".join(got) == run and sum(map(p, got)) == pytest.approx(max(sum(map(p, c)) for c in cuts))
 
 
+def test_runs_are_cut_alike_in_tables_of_any_size(spark):
+    """Ten thousand times the same pages: every count grows alike, the seeds' too."""
+    runs = spark.createDataFrame([(r,) for r in ("cheappillsonline", "freebetsword", "adserverthing", "thethingword", "sexpopup")], "run string")
+    html = "the thing word shop online free se x pop up serve rs ad " * 40
+    cuts = []
+    for times in (1, 10_000):
+        counts = url_filters.word_counts(frame(spark, ["http://a.org"] * 3, html))
+        counts = counts.withColumn("n", F.when(F.col("word").isin(*SEEDS), F.col("n")).otherwise(F.col("n") * times))
+        if times > 1:  # as word_counts sets the seeds for a table that large
+            total = counts.where(~F.col("word").isin(*SEEDS)).agg(F.sum("n")).first()[0]
+            counts = counts.withColumn("n", F.when(F.col("word").isin(*SEEDS), F.lit(math.ceil(total * url_filters.SEED_SHARE))).otherwise(F.col("n")))
+        cuts.append({r.run: r.words for r in url_filters.segment(runs, counts).collect()})
+    assert cuts[0] == cuts[1] and cuts[0]["cheappillsonline"] == ["cheap", "pills", "online"]
+
+
 def test_scores_against_plain_bayes(spark):
     urls = [f"http://{h}.example.org/{p}/{i}" for i, (h, p) in enumerate(itertools.product(
         ["casino-win", "m.thing", "shop.word", "free-bets", "online"], ["en", "promo", "thing"]))] * 3
