@@ -34,18 +34,19 @@ def zip_centroids(t) -> DataFrame:
     return t.geolocation_clean.select("geolocation_zip_code_prefix", "avg_lat", "avg_lng")
 
 
-def item_distances(t) -> DataFrame:
-    """Items of the view with seller -> customer distance between zip centroids
-    (NULL when either zip has no coordinates)."""
-    g = zip_centroids(t)
+def with_distances(v: DataFrame, g: DataFrame, radius_km: float) -> DataFrame:
+    """``v`` with the distance between its seller's and its customer's zip centroid (NULL when either zip has no coordinates)."""
     c = g.select(F.col("geolocation_zip_code_prefix").alias("customer_zip_code_prefix"),
                  F.col("avg_lat").alias("c_lat"), F.col("avg_lng").alias("c_lng"))
     s = g.select(F.col("geolocation_zip_code_prefix").alias("seller_zip_code_prefix"),
                  F.col("avg_lat").alias("s_lat"), F.col("avg_lng").alias("s_lng"))
-    v = (t.item_view.join(c, "customer_zip_code_prefix", "left")
-         .join(s, "seller_zip_code_prefix", "left"))
-    return v.withColumn("distance_km", haversine_km(F.col("s_lat"), F.col("s_lng"), F.col("c_lat"),
-                                                    F.col("c_lng"), t.cfg.earth_radius_km))
+    v = v.join(c, "customer_zip_code_prefix", "left").join(s, "seller_zip_code_prefix", "left")
+    return v.withColumn("distance_km", haversine_km(F.col("s_lat"), F.col("s_lng"), F.col("c_lat"), F.col("c_lng"), radius_km))
+
+
+def item_distances(t) -> DataFrame:
+    """Items of the view with seller -> customer distance between zip centroids."""
+    return with_distances(t.item_view, zip_centroids(t), t.cfg.earth_radius_km)
 
 
 def distance_band(t, c: str = "distance_km") -> F.Column:
@@ -183,8 +184,13 @@ def buffer_whatif(t) -> DataFrame:
     """Late orders that would be on time if the estimate were n days longer
     on routes over the distance cut (order distance = its longest item)."""
     cfg = t.cfg
-    # The view has every order of the summary with its delay on each item: one pass, one grouping.
-    d = (item_distances(t).where(F.col("delivery_days").isNotNull()).groupBy("order_id")
+    # An order's distances are those to its different sellers: no products, payments or line numbers are needed. The
+    # centroids, a row each, are looked up for both ends, so they are worked out once.
+    lines = t.raw.get("order_lines", t["order_items"]).select("order_id", "seller_id").distinct()
+    orders = t.orders_enriched.where(F.col("delivery_days").isNotNull()).select(
+        "order_id", "delivery_days", "delay_days", "is_late", "customer_zip_code_prefix")
+    ends = lines.join(orders, "order_id").join(t["sellers"].select("seller_id", "seller_zip_code_prefix"), "seller_id", "left")
+    d = (with_distances(ends, t.kept(zip_centroids(t)), cfg.earth_radius_km).groupBy("order_id")
          .agg(F.max("distance_km").alias("order_km"), F.max("delay_days").alias("delay_days"),
               F.bool_or("is_late").alias("is_late")))
     long = F.coalesce(F.col("order_km") > cfg.whatif_min_km, F.lit(False))
