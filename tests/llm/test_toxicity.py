@@ -1,5 +1,7 @@
 """Held-out accuracy, the risk estimator, odd rows."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -41,6 +43,44 @@ def test_risk_does_not_go_negative():
     assert (p[truth & sign[:, 0]] > 0.7).mean() > 0.97 and (p[~truth] < 0.5).mean() > 0.98
 
 
+@pytest.mark.parametrize("prior", [0.1, 0.95])
+def test_fit_against_finite_differences(prior):
+    """The estimator with slopes by central differences instead of formulas: the same weights where the risk has its minimum. A prior that
+    is too large drives the clean part of the risk below zero; it is pushed back, and ends near zero in both."""
+    rnd = np.random.default_rng(2)
+    toxic, unlabelled = (rnd.random((60, 3)) < [0.7, 0.4, 0.6]).astype(float), (rnd.random((200, 3)) < [0.3, 0.5, 0.4]).astype(float)
+
+    def parts(w):
+        t, u = (x @ w[:3] + w[3] for x in (toxic, unlabelled))
+        return prior * np.logaddexp(0, -t).mean() + toxicity.L2 * prior / 2 * (w[:3] ** 2).sum(), np.logaddexp(0, u).mean() - prior * np.logaddexp(0, t).mean()
+
+    def slope(f, w):
+        return np.array([(f(w + d) - f(w - d)) / 2e-5 for d in np.eye(4) * 1e-5])
+
+    w, mean, square, pushed = np.array([0.0, 0.0, 0.0, math.log(prior / (1 - prior))]), np.zeros(4), np.zeros(4), 0
+    for t in range(1, toxicity.EPOCHS + 1):
+        negative = parts(w)[1] < 0
+        pushed += negative
+        grad = slope((lambda v: -parts(v)[1] + toxicity.L2 * prior / 2 * (v[:3] ** 2).sum()) if negative else (lambda v: sum(parts(v))), w)
+        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
+        w = w - toxicity.RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+    got, bias = fit(toxic, unlabelled, prior)
+    got = np.append(got, bias)
+    if prior == 0.1:
+        assert not pushed and got == pytest.approx(w, abs=0.02) and sum(parts(got)) == pytest.approx(sum(parts(w)), abs=1e-4)
+        assert np.abs(slope(lambda v: sum(parts(v)), got)).max() < 1e-3
+    else:
+        assert pushed and parts(got)[1] > -0.05 and parts(w)[1] > -0.05
+
+
+def test_ids_that_repeat_teach_once(spark):
+    """A third of all rows with one id: the model is that of one row of it."""
+    docs = [(i, "you idiot scum" if i % 4 == 0 else "plain good words", None) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 120, 2)], LABELS)
+    models = [toxicity.train(spark.createDataFrame(docs + more, DOCS), labels) for more in ([], [docs[4]] * 60)]
+    assert models[0].__dict__ == models[1].__dict__
+
+
 def test_odd_rows(spark):
     docs = [(i, "you idiot scum " * 3 if i % 4 == 0 else "plain good words", None) for i in range(200)]
     docs += [(500, None, "x"), (501, "", "x"), (None, "idiot, SCUM!", "x"), (3, "plain good words", None), (502, "IDIOT SCUM " * 45_000, "x")]
