@@ -259,5 +259,6 @@ def overlap_counts(df: DataFrame, by: Sequence[str], start: str, end: str, name:
 
     begun = asof_join(some, counted(start, "_begun"), by, end, ["_begun"], right_time="_at", inclusive=False, most=most, unit=unit)
     both = asof_join(begun, counted(end, "_ended"), by, start, ["_ended"], right_time="_at", most=most, unit=unit)
-    out = both.withColumn(name, F.col("_begun") - F.coalesce("_ended", F.lit(0)) - 1).drop("_begun", "_ended")
+    others = F.coalesce(F.col("_begun") - F.coalesce("_ended", F.lit(0)) - 1, F.lit(0))  # a null key overlaps nothing
+    out = both.withColumn(name, others.cast("long")).drop("_begun", "_ended")
     return out.unionByName(df.where(~valid).withColumn(name, F.lit(0).cast("long")))

@@ -159,10 +159,10 @@ def test_overlap_counts(spark, most):
     data = []
     for i in range(240):
         start = T0 + dt.timedelta(hours=rnd.randrange(0, 2000) // 5 * 5)
-        data.append(("hot" if i % 3 == 0 else rnd.choice("ab"), i, None if i % 37 == 0 else start, start + dt.timedelta(hours=rnd.choice([0, -3, 5, 10, 400, 5000]))))
+        data.append(("hot" if i % 3 == 0 else rnd.choice(["a", "b", None]), i, None if i % 37 == 0 else start, start + dt.timedelta(hours=rnd.choice([0, -3, 5, 10, 400, 5000]))))
     df = spark.createDataFrame(data, "k string, id long, s timestamp_ntz, e timestamp_ntz")
     got = {r.id: r.others for r in sequences.overlap_counts(df, ["k"], "s", "e", "others", most=most).collect()}
-    ok = [r for r in data if r[2] and r[2] < r[3]]
+    ok = [r for r in data if r[0] and r[2] and r[2] < r[3]]
     want = {r[1]: 0 for r in data} | {a[1]: sum(a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and b[2] < a[3] for b in ok) for a in ok}
     assert got == want
 
