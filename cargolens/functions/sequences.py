@@ -1,7 +1,7 @@
 """Ordered work per key: as-of joins, LAG and LEAD, running and trailing totals, sessions, interval joins.
 
 A plain window hands all rows of a key to one task. Here a key with more than ``most`` rows is cut into
-time slices first: rows are counted per (key, ``unit`` of time) with map-side combine, consecutive units are put together to
+time slices first: rows are counted per key, and for the large keys per ``unit`` of time, with map-side combine; consecutive units are put together to
 slices of about ``most`` rows, and the windows run per (key, slice). What a slice needs from those before it (the last
 value, the total so far) is one row for each slice, worked out from per-slice aggregates and handed on. Keys
 without so many rows are one slice and pay for the count only. A single unit isn't cut, so choose one in which no key has too many rows.
@@ -40,17 +40,19 @@ class Slices:
 
     def __init__(self, frames: Sequence[tuple[DataFrame, str]], by: Sequence[str], most: int = SLICE_ROWS, unit: str = "day"):
         self.by, self.unit = list(by), unit
-        counts = None
+        timed = None
         for df, time in frames:
             one = df.select(*self.by, F.date_trunc(unit, F.col(time)).alias("_unit"))
-            counts = one if counts is None else counts.unionByName(one)
-        counts = counts.where(F.col("_unit").isNotNull()).groupBy(*self.by, "_unit").agg(F.count(F.lit(1)).alias("_n"))
-        key = Window.partitionBy(*self.by)
-        so_far = key.orderBy("_unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cut = (counts.withColumn("_total", F.sum("_n").over(key)).withColumn("_so_far", F.sum("_n").over(so_far))
-               .where(F.col("_total") > most).select(*self.by, "_unit", F.floor((F.col("_so_far") - 1) / most).alias(SLICE)))
-        self.units = _kept(cut)
-        self.rows = self.units.count()
+            timed = one if timed is None else timed.unionByName(one)
+        timed = timed.where(F.col("_unit").isNotNull())
+        # First the keys with many rows, mostly none; units of time are counted for those alone.
+        large = _kept(timed.groupBy(*self.by).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") > most))
+        self.units, self.rows, n = large, 0, large.count()
+        if n:
+            counts = timed.join(_small(large, n), self.by).groupBy(*self.by, "_unit").agg(F.count(F.lit(1)).alias("_n"))
+            so_far = Window.partitionBy(*self.by).orderBy("_unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            self.units = _kept(counts.select(*self.by, "_unit", F.floor((F.sum("_n").over(so_far) - 1) / most).alias(SLICE)))
+            self.rows = self.units.count()
 
     def __bool__(self) -> bool:
         return self.rows > 0
