@@ -165,5 +165,19 @@ def merged_sketches(monthly: DataFrame, period) -> DataFrame:
 
 @query("sketched_quarters")
 def sketched_quarters(t) -> DataFrame:
-    """Customers, median and 90 % delivery days of each quarter, estimated from stored monthly sketches."""
-    return merged_sketches(monthly_sketches(t), F.trunc("order_month", "quarter"))
+    """Customers of each quarter, and whether the estimates from monthly sketches are close: customers within 5 %, median and 90 %
+    delivery days within 3 % of their ranks."""
+    quarter = F.trunc("order_month", "quarter")
+    estimates = merged_sketches(monthly_sketches(t), quarter).withColumnRenamed("customers", "estimate")
+    orders = t.orders_summary.select(quarter.alias("period"), "customer_unique_id", "delivery_days").join(estimates, "period")
+    days, people = F.col("delivery_days"), F.count_distinct("customer_unique_id")
+    n = F.count(days).cast("double")
+
+    def close(q: float, value: str):
+        room = F.lit(0.03) + F.try_divide(F.lit(1.0), n)
+        below, upto = (F.try_divide(F.count_if(c).cast("double"), n) for c in (days < F.col(value), days <= F.col(value)))
+        return F.coalesce((below - room <= q) & (F.lit(q) <= upto + room), F.lit(True))  # true where nothing was delivered
+
+    return orders.groupBy("period").agg(
+        people.alias("customers"), (F.abs(F.max("estimate") - people) <= F.greatest(F.lit(1.0), people * 0.05)).alias("customers_close"),
+        close(0.5, "median_days").alias("median_close"), close(0.9, "p90_days").alias("p90_close"))

@@ -89,3 +89,11 @@ def order_document_totals(cfg):
          FULL JOIN (SELECT order_id, COUNT(*) AS payments, SUM(payment_value) AS paid, max(payment_installments) AS most_installments,
                            string_agg(DISTINCT payment_type, ',' ORDER BY payment_type) AS types
                     FROM r_payments GROUP BY order_id) USING (order_id)"""
+
+
+@oracle("sketched_quarters")
+def sketched_quarters(cfg):
+    return """
+    SELECT date_trunc('quarter', order_month)::DATE AS period, COUNT(DISTINCT customer_unique_id) AS customers,
+           TRUE AS customers_close, TRUE AS median_close, TRUE AS p90_close
+    FROM orders_summary GROUP BY 1"""
