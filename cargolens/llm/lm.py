@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +56,8 @@ GRAM_BITS = 0xFFFFFFFFFFFFFF00
 
 def pack(a: np.ndarray) -> bytes:
     """Integers as compressed byte planes; small ones take little room."""
-    planes = a.astype("<i8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    planes = np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -81,6 +81,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def different(keys: np.ndarray, numbered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The different keys in rising order, a place of each and, if ``numbered``, which of them stands at each place. As
+    np.unique, but of equal keys any may give the place, so the sort need not be stable."""
+    by_key = np.argsort(keys)
+    rising = keys[by_key]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = rising[1:] != rising[:-1]
+    which = None
+    if numbered:
+        which = np.empty(len(keys), dtype=np.int64)
+        which[by_key] = np.cumsum(new) - 1
+    return rising[new], by_key[new], which
+
+
 # ---------------------------------------------------------------- shards --
 
 def words(text: bytes | None) -> list[bytes]:
@@ -98,7 +112,7 @@ def make_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def shard() -> pa.RecordBatch:
         keys = np.array([END, *(word_key(w) for w in index)], dtype=np.uint64)
-        flat = np.fromiter((i for t in tokens for i in t), np.int64, sum(map(len, tokens)))
+        flat = np.fromiter(chain.from_iterable(tokens), np.int64, sum(map(len, tokens)))
         # Numbered by falling count, then by key: common words have small numbers and keys come in
         # rising runs, and both pack well.
         by_count = np.lexsort((keys, -np.bincount(flat, minlength=len(keys))))
@@ -137,10 +151,11 @@ class Grams:
 
     A text is laid out as its begin followed by its tokens; ``key[k]`` has the
     different n-grams of k symbols, ``at[k]`` the number of the one that ends
-    at each place (-1: none), ``place[k]`` a place where each ends.
+    at each place (-1: none), ``place[k]`` a place where each ends. Of the levels
+    in ``above`` there are only ``key`` and ``place``.
     """
 
-    def __init__(self, row: dict, levels: set[int]):
+    def __init__(self, row: dict, levels: set[int], above: set[int] = frozenset()):
         sizes = np.array(row["sizes"], dtype=np.int64)
         vocabulary, tokens = unpack_keys(row["vocabulary"]), unpack(row["tokens"])
         first = np.cumsum(sizes + 1) - sizes - 1
@@ -153,18 +168,25 @@ class Grams:
         self.train = np.repeat(~np.array(row["held_out"], dtype=bool), sizes + 1)
         self.key, self.at, self.place = {}, {}, {}
         now = symbol
-        for k in range(1, max(levels) + 1):
+        for k in range(1, max(levels | above) + 1):
             if k > 1:
                 before = np.append(np.uint64(0), now[:-1])
                 now = mix(before * np.uint64(0x9E3779B97F4A7C15) + symbol + np.uint64(k))
-            if k in levels:
+            if k == 1 and k in levels:
+                # Words are numbered already, by the vocabulary, of which each occurs.
+                self.key[1], _, number = different(np.append(vocabulary, np.uint64(BEGIN)))
+                self.at[1] = np.full(len(symbol), number[-1])
+                self.at[1][is_token] = number[tokens]
+                self.place[1] = np.empty(len(self.key[1]), dtype=np.int64)
+                self.place[1][self.at[1]] = np.arange(len(symbol))
+            elif k in levels or k in above:
                 there = np.flatnonzero(depth >= k - 1)
                 # n-grams of several words are known by 56 bits, words by 64.
-                own = now[there] & np.uint64(GRAM_BITS) if k > 1 else now[there]
-                self.key[k], place, inverse = np.unique(own, return_index=True, return_inverse=True)
+                self.key[k], place, which = different(now[there] & np.uint64(GRAM_BITS), k in levels)
                 self.place[k] = there[place]
-                self.at[k] = np.full(len(symbol), -1)
-                self.at[k][there] = inverse
+                if k in levels:
+                    self.at[k] = np.full(len(symbol), -1)
+                    self.at[k][there] = which
 
     def counts(self, k: int) -> np.ndarray:
         """Training occurrences of each n-gram in this shard."""
@@ -192,7 +214,7 @@ def ask(k: int, order: int, bits: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                grams = Grams(row, {k} if k == order else {k, k + 1})
+                grams = Grams(row, {k}, set() if k == order else {k + 1})
                 follow = np.zeros(len(grams.key[k]), dtype=np.int64)
                 if k < order:
                     total, _, first = answers(row, k + 1)
@@ -212,7 +234,7 @@ def add_up(asked: pa.Table) -> pa.Table:
     asked = asked.sort_by("shard")
     keys = [unpack_keys(x) for x in asked.column("keys").to_pylist()]
     cuts = np.cumsum([len(x) for x in keys])[:-1]
-    key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    key, first, inverse = different(np.concatenate(keys))
     totals = []
     for c in ("counts", "follow"):
         own = np.concatenate([unpack(x) for x in asked.column(c).to_pylist()])
