@@ -248,19 +248,23 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_spa
 def overlap_counts(df: DataFrame, by: Sequence[str], start: str, end: str, name: str, most: int = SLICE_ROWS, unit: str = "day") -> DataFrame:
     """``df`` with the number of other rows of its key whose half-open interval has an instant in common with its own.
 
-    No pair is made: those that overlap are those that start before this one ends, less those that end by its start, less itself; both numbers are
-    running counts over the key's starts and ends, looked up by an as-of join. Intervals without a start or end, or that end no later than they
-    start, overlap nothing and get 0. Linear in the rows, however many of a key overlap.
+    No pair is made: those that overlap are those that start before this one ends, less those that end by its start, less itself. Every interval
+    stands twice in one sequence of its key, where it ends and where it starts, ends first where both fall on one instant; what has begun is
+    counted up to each end and what has ended up to each start, and the two meet by key, start and end. A row's other columns only travel along,
+    so those that a query doesn't use are not read. Intervals without a key, start or end, or that end no later than they start, overlap
+    nothing and get 0. Linear in the rows, however many of a key overlap.
     """
     valid = F.coalesce(F.col(end) > F.col(start), F.lit(False))
-    some = df.where(valid)
-
-    def counted(time: str, out: str) -> DataFrame:
-        n = some.groupBy(*by, F.col(time).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-        return running_total(n, by, "_at", F.col("_n"), out, most, unit)
-
-    begun = asof_join(some, counted(start, "_begun"), by, end, ["_begun"], right_time="_at", inclusive=False, most=most, unit=unit)
-    both = asof_join(begun, counted(end, "_ended"), by, start, ["_ended"], right_time="_at", most=most, unit=unit)
-    others = F.coalesce(F.col("_begun") - F.coalesce("_ended", F.lit(0)) - 1, F.lit(0))  # a null key overlaps nothing
-    out = both.withColumn(name, others.cast("long")).drop("_begun", "_ended")
+    for c in by:
+        valid = valid & F.col(c).isNotNull()
+    at = F.array(F.struct(F.col(end).alias("_at"), F.lit(0).alias("_starts")), F.struct(F.col(start).alias("_at"), F.lit(1).alias("_starts")))
+    events = df.where(valid).withColumn("_event", F.explode(at)).select(*df.columns, "_event.*")
+    slices = Slices([(events, "_at")], by, most, unit)
+    begun, ended = F.col("_starts").cast("long"), (1 - F.col("_starts")).cast("long")
+    events = running_total(events, by, "_at", begun, "_begun", slices=slices, order=["_starts"])
+    events = running_total(events, by, "_at", ended, "_ended", slices=slices, order=["_starts"])
+    # Intervals of one start and end have the same numbers, so any of them may give those of the start.
+    same = Window.partitionBy(*by, start, end)
+    events = events.withColumn("_ended", F.max(F.when(F.col("_starts") == 1, F.col("_ended"))).over(same)).where("_starts = 0")
+    out = events.select(*df.columns, (F.col("_begun") - F.col("_ended") - 1).cast("long").alias(name))
     return out.unionByName(df.where(~valid).withColumn(name, F.lit(0).cast("long")))

@@ -98,7 +98,7 @@ def seller_orders(t, *more: str) -> DataFrame:
 @query("seller_concurrent_orders")
 def seller_concurrent_orders(t) -> DataFrame:
     """Per seller: orders, pairs of them that were open at the same time, orders that were not alone, most others of one order."""
-    # Four passes go over these rows (starts, ends, and a lookup of each).
+    # Two passes go over these rows: the count of each seller's, and the sequence of starts and ends.
     o = sequences.overlap_counts(t.kept(seller_orders(t)), ["seller_id"], "opened", "closed", "others")
     return o.groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("orders"), F.expr("sum(others) div 2").cast("long").alias("overlapping_pairs"),

@@ -167,6 +167,16 @@ def test_overlap_counts(spark, most):
     assert got == want
 
 
+def test_overlap_counts_lay_out_one_sequence(spark):
+    """Rows that repeat count each other; starts and ends are shuffled once, and columns that nobody asks for stay behind."""
+    t = [T0 + dt.timedelta(hours=h) for h in range(4)]
+    data = [("a", 1, t[0], t[2], "x"), ("a", 1, t[0], t[2], "x"), ("a", 2, t[1], t[3], "x"), ("a", 3, t[2], t[3], "x"), (None, 4, t[0], t[3], "x")]
+    df = sequences.overlap_counts(spark.createDataFrame(data, "k string, id long, s timestamp_ntz, e timestamp_ntz, note string"), ["k"], "s", "e", "others")
+    assert sorted((r.id, r.others) for r in df.collect()) == [(1, 2), (1, 2), (2, 3), (3, 1), (4, 0)]
+    p = plan(df.select("k", "others"))
+    assert p.count("Exchange hashpartitioning") == 1 and "note" not in p.split("Exchange hashpartitioning")[0]
+
+
 def test_empty_frames(spark):
     none = frame(spark, [])
     assert sequences.asof_join(none, none.withColumnRenamed("id", "x"), ["k"], "t", ["x"]).isEmpty()
