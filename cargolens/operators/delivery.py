@@ -35,7 +35,7 @@ def late_pct_of(n: F.Column) -> F.Column:
 @query("delivery_dashboard")
 def delivery_dashboard(t) -> DataFrame:
     """Delivered orders: mean/median/p90 delivery days, handling, transit, late share, estimate."""
-    d = t.once("orders_summary").delivered  # the averages and the two steps of the quantiles pass over it
+    d = t.measured("delivery_days", "handling_days", "transit_days", "is_late", "estimated_delivery_days").delivered  # the averages and the two steps of the quantiles pass over it
     base = d.agg(F.count(F.lit(1)).alias("delivered_orders"),
                  rnd(F.avg("delivery_days"), 1).alias("avg_delivery_days"),
                  rnd(F.avg("handling_days"), 1).alias("avg_handling_days"),
@@ -241,7 +241,7 @@ def delivery_buffer_histograms(t) -> DataFrame:
 # ------------------------------------------------------------ README-only --
 
 def _two_quantiles(t, c: str) -> DataFrame:
-    s = t.once("orders_summary").orders_summary.where(F.col(c).isNotNull())
+    s = t.measured(c).orders_summary.where(F.col(c).isNotNull())
     n = s.agg(F.count(F.lit(1)).alias("orders"), rnd(F.avg(c), 4).alias("mean_days"))
     q = stats.quantiles(s, c, [0.5, 0.9], ["_m", "_p"], t.cfg.exact_percentiles,
                         t.cfg.approx_accuracy)

@@ -84,13 +84,21 @@ def items_by_order(items: DataFrame) -> DataFrame:
         *[F.sum(c).cast(kinds[c]).alias(f"order_{name}") for c, name in (("price", "revenue"), ("freight", "freight"), ("total", "total"))])
 
 
-def orders_summary(items: DataFrame, enriched: DataFrame) -> DataFrame:
+def amounts_by_order(items: DataFrame) -> DataFrame:
+    """items_by_order without the numbers of different products and sellers: one aggregate instead of three."""
+    total = F.col("price") + F.col("freight_value")
+    return items.groupBy("order_id").agg(
+        F.count("order_item_id").alias("item_count"), F.sum("price").alias("order_revenue"),
+        F.sum("freight_value").alias("order_freight"), F.sum(total).alias("order_total"))
+
+
+def orders_summary(items: DataFrame, enriched: DataFrame, by_order=items_by_order) -> DataFrame:
     """orders_summary: one row per window order with at least one item.
 
     ``freight_pct`` is left unrounded (the notebook's form), computed from
-    the exact sums.
+    the exact sums. ``by_order`` adds up the items.
     """
-    agg = items_by_order(items)
+    agg = by_order(items)
     s = enriched.drop("review_comment_message").join(agg, "order_id")
     return s.withColumn(
         "freight_pct",

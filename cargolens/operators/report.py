@@ -48,10 +48,15 @@ def _summary_kpis(t) -> DataFrame:
         pct(count_when(score == 1), n_scored).alias("one_star_rate"))
 
 
+#: What the figures read of the order summary.
+KPI_COLUMNS = ("order_id", "customer_unique_id", "order_revenue", "review_score", "delivery_days", "delay_days", "is_late", "handling_days",
+               "transit_days")
+
+
 def executive_kpis_raw(t, medians: bool = True) -> DataFrame:
     """One row of 17 figures (15 without medians); every part is a one-row aggregate. The order summary is
     computed once: the medians, ranked together, and the rank correlation pass over it again."""
-    t = t.once("orders_summary")
+    t = t.measured(*KPI_COLUMNS)
     rho = stats.spearman_raw(t.reviewed_delivered, "order_id", [("delay_days", "review_score")]).select(
         F.col("rho").alias("delay_review_spearman"))
     out = _summary_kpis(t).crossJoin(_product_kpis(t)).crossJoin(rho)

@@ -196,18 +196,19 @@ def star_profile(t) -> DataFrame:
 
 
 DRIVER_PAIRS = tuple((c, "review_score") for c in DRIVER_MEASURES)
+DRIVER_COLUMNS = ("order_id", "review_score", *DRIVER_MEASURES)
 
 
 @query("spearman_drivers")
 def spearman_drivers(t) -> DataFrame:
     """Rank correlation of eight order measures with review score (listwise complete rows)."""
-    return stats.spearman(t.once("orders_summary").reviewed_delivered, "order_id", DRIVER_PAIRS)
+    return stats.spearman(t.measured(*DRIVER_COLUMNS).reviewed_delivered, "order_id", DRIVER_PAIRS)
 
 
 @query("spearman_drivers_test")
 def spearman_drivers_test(t) -> DataFrame:
     """spearman_drivers with p-values and significance stars."""
-    return stats.spearman_test(stats.spearman_raw(t.once("orders_summary").reviewed_delivered, "order_id", DRIVER_PAIRS))
+    return stats.spearman_test(stats.spearman_raw(t.measured(*DRIVER_COLUMNS).reviewed_delivered, "order_id", DRIVER_PAIRS))
 
 
 @query("spearman_matrix")
@@ -215,7 +216,7 @@ def spearman_matrix(t) -> DataFrame:
     """9 x 9 rank correlations (long form: x, y, rho), average ranks for ties,
     over the rows without a NULL in any of the nine columns."""
     cols = ["review_score", *DRIVER_MEASURES]
-    raw = stats.spearman_raw(t.once("orders_summary").reviewed_delivered, "order_id",
+    raw = stats.spearman_raw(t.measured(*DRIVER_COLUMNS).reviewed_delivered, "order_id",
                              [(x, y) for x in cols for y in cols])
     return raw.select("x", "y", rnd("rho", 6).alias("rho"))
 

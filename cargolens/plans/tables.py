@@ -114,6 +114,22 @@ class Tables:
         return Tables(self.spark, self.raw, self.cfg, kept | {n: getattr(self, n).checkpoint(eager=True) for n in todo},
                       self.source)
 
+    #: Columns of the order summary that only the chain of aggregates over products and sellers gives.
+    KINDS = frozenset({"unique_products", "unique_sellers"})
+
+    def measured(self, *columns: str) -> "Tables":
+        """As ``once("orders_summary")``, but with these columns alone: what the others take (payments, the numbers of
+        different products and sellers) is then neither read nor computed. A written summary stays as it is."""
+        if "orders_summary" in self._written:
+            return self
+        if self.KINDS.isdisjoint(columns):
+            items = self.raw.get("order_lines", self.raw["order_items"])
+            summary = model.orders_summary(items, self.orders_enriched, model.amounts_by_order)
+        else:
+            summary = self.orders_summary
+        kept = {n: self.__dict__[n] for n in self._written}
+        return Tables(self.spark, self.raw, self.cfg, kept | {"orders_summary": self.kept(summary.select(*columns))}, self.source)
+
     def kept(self, df: DataFrame) -> DataFrame:
         """``df`` computed now, once, into spark.checkpoint.dir."""
         checkpoint_dir(self.spark)

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cargolens.llm import lm
@@ -94,3 +95,13 @@ def test_held_out_texts_are_better_predicted_than_by_single_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = lm.op10_lm(docs).where("held_out").agg({"score": "sum", "base_score": "sum", "doc_id": "count"}).first()
     assert held["count(doc_id)"] > 50 and held["sum(score)"] > held["sum(base_score)"]
+
+
+def test_different_keys():
+    """As np.unique, with any place of a key that repeats."""
+    keys = np.random.default_rng(3).integers(0, 2**64, 400, dtype=np.uint64)
+    keys = np.concatenate([keys, keys[::3], keys[:1].repeat(100), keys[:0]])
+    key, place, which = lm.different(keys)
+    want, number = np.unique(keys, return_inverse=True)
+    assert (key == want).all() and (which == number).all() and (keys[place] == key).all()
+    assert lm.different(keys, False)[2] is None and len(lm.different(keys[:0])[0]) == 0

@@ -95,6 +95,30 @@ def test_one_ranking_job_for_all_drivers(tables):
     assert sum("Scan ExistingRDD" in line and line.startswith("(") for line in matrix.splitlines()) <= 3
 
 
+def test_ranks_compute_what_they_read_of_the_summary(tables, monkeypatch):
+    """Neither payments nor the numbers of different products and sellers, whose aggregates collect sets."""
+    from cargolens.operators.report import KPI_COLUMNS
+    from cargolens.operators.satisfaction import DRIVER_COLUMNS
+    monkeypatch.setattr(type(tables), "kept", lambda t, df: df)
+    for columns in (DRIVER_COLUMNS, KPI_COLUMNS):
+        summary = tables.measured(*columns).orders_summary
+        assert summary.columns == list(columns) and "collect_set" not in plan(summary)
+    assert tables.measured("unique_sellers").orders_summary.columns == ["unique_sellers"]
+
+
+def test_amounts_by_order(spark):
+    """The same as the chain that also counts products and sellers, for lines that repeat or lack values."""
+    from decimal import Decimal
+
+    from cargolens.operators import model
+    one, two = Decimal("1.10"), Decimal("2.25")
+    rows = [(1, 1, 5, 7, one, two), (1, 1, 5, 7, one, two), (1, None, 5, 8, two, one), (1, 2, None, None, None, one), (2, 1, 5, None, two, None), (None, 1, 1, 1, one, one), (3, None, None, None, None, None)]
+    items = spark.createDataFrame(rows, "order_id long, order_item_id int, product_id long, seller_id long, price decimal(18,2), freight_value decimal(18,2)")
+    short, long = model.amounts_by_order(items), model.items_by_order(items)
+    assert sorted(map(str, short.collect())) == sorted(map(str, long.select(*short.columns).collect()))
+    assert dict(short.dtypes) == {c: t for c, t in long.dtypes if c in short.columns}
+
+
 def test_kpis_read_the_raw_tables_once(tables):
     p = plan(QUERIES["executive_kpis"](tables))
     reads = [line for line in p.splitlines() if line.startswith("(") and "Scan parquet" in line]
