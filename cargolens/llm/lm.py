@@ -256,13 +256,16 @@ def add_up(asked: pa.Table) -> pa.Table:
 # -------------------------------------------------------------- the walk --
 
 class Automaton:
-    """A shard's part of the automaton, from complete counts."""
+    """A shard's part of the automaton, from complete counts.
+
+    A state whose context has d words is only ever in at a place that these words precede, so its arc for the word there, if
+    there is one, is that of the n-gram of d + 1 words that ends at the place: it is looked up by place and d.
+    """
 
     def __init__(self, grams: Grams, found: dict[int, tuple], order: int, n: int, v: int):
-        self.words = len(grams.key[1])
-        state, base = {}, 1  # of each n-gram that is a context; state 0 has no words
-        self.fail, self.backoff = [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
-        sources, weights, targets = [], [], []
+        state, base, made = {}, 1, 0  # of each n-gram that is a context; state 0 has no words
+        self.fail, self.backoff, self.depth = [np.zeros(1, dtype=np.int64)], [np.zeros(1)], [np.zeros(1, dtype=np.int64)]
+        arcs, weights, targets = [], [], []
         lower = None
         for k in range(1, order + 1):
             total, follow, _ = found[k]
@@ -271,15 +274,16 @@ class Automaton:
             if k == 1:
                 p = (total + ADD) / (n + ADD * (v + 1))
                 arc = np.ones(len(total), dtype=bool)
-                source = np.zeros(len(total), dtype=np.int64)
             else:
-                above, spread = found[k - 1][0][grams.context(k)], found[k - 1][1][grams.context(k)]
+                context = grams.context(k)
+                above, spread = found[k - 1][0][context], found[k - 1][1][context]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     p = np.where(known, (total - DISCOUNT + DISCOUNT * spread * lower[suffix]) / above, np.nan)
-                arc, source = known, state[k - 1][grams.context(k)]
+                arc = known
             if k < order:
                 state[k] = np.where(known, base + np.cumsum(known) - 1, 0)
                 base += int(known.sum())
+                self.depth.append(np.full(int(known.sum()), k))
                 self.fail.append(state[k - 1][suffix[known]] if k > 1 else np.zeros(int(known.sum()), dtype=np.int64))
                 # A context without followers is only ever left: its words are a text's last.
                 spread = np.where(follow > 0, DISCOUNT * follow, 1) / np.where(follow > 0, total, 1)
@@ -287,24 +291,23 @@ class Automaton:
                 target = state[k]
             else:
                 target = state[k - 1][suffix]
-            sources.append(source[arc] * self.words + grams.at[1][grams.place[k][arc]])
+            # The last entry is for places where no n-gram of k words ends.
+            arcs.append(np.append(np.where(arc, made + np.cumsum(arc) - 1, -1), -1)[grams.at[k]])
+            made += int(arc.sum())
             weights.append(np.log10(p[arc]))
             targets.append(target[arc].astype(np.int32))
             lower = p
         self.begin = int(state[1][np.searchsorted(grams.key[1], np.uint64(BEGIN))]) if order > 1 else 0
-        self.fail, self.backoff = np.concatenate(self.fail), np.concatenate(self.backoff)
-        key = np.concatenate(sources)  # state * number of words + word
-        by_key = np.argsort(key)
-        self.key, self.weight, self.target = key[by_key], np.concatenate(weights)[by_key], np.concatenate(targets)[by_key]
+        self.fail, self.backoff, self.depth = np.concatenate(self.fail), np.concatenate(self.backoff), np.concatenate(self.depth)
+        self.arc, self.weight, self.target = np.stack(arcs), np.concatenate(weights), np.concatenate(targets)
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Read one word in each state: (log10 probability, next state)."""
+    def step(self, state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read the word at a place in each state: (log10 probability, next state)."""
         cost, state = np.zeros(len(state)), state.copy()
         left = np.arange(len(state))
         while len(left):
-            want = state[left] * self.words + word[left]
-            arc = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            hit = self.key[arc] == want
+            arc = self.arc[self.depth[state[left]], place[left]]
+            hit = arc >= 0
             cost[left[hit]] += self.weight[arc[hit]]
             state[left[hit]] = self.target[arc[hit]]
             left = left[~hit]
@@ -317,7 +320,6 @@ def walk(grams: Grams, automaton: Automaton, order: int) -> np.ndarray:
     """log10 probability of each text. Long texts walk in pieces side by side: a
     state is the longest known suffix of the last order - 1 symbols, so reading those
     first puts a piece into the state in which the piece before it ends."""
-    symbol = grams.at[1]
     pieces = -(-grams.sizes // PIECE)
     text = np.repeat(np.arange(len(pieces)), pieces)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -328,11 +330,11 @@ def walk(grams: Grams, automaton: Automaton, order: int) -> np.ndarray:
     state = np.where(nth == 0, automaton.begin, 0)
     later = np.flatnonzero(nth > 0)
     for back in range(order - 1, 0, -1):
-        state[later] = automaton.step(state[later], symbol[start[later] - back])[1]
+        state[later] = automaton.step(state[later], start[later] - back)[1]
     score = np.zeros(len(text))
     for i in range(int(size[0]) if len(size) else 0):
         live = np.searchsorted(-size, -i, side="left")
-        cost, state[:live] = automaton.step(state[:live], symbol[start[:live] + i])
+        cost, state[:live] = automaton.step(state[:live], start[:live] + i)
         score[:live] += cost
     return np.bincount(text, weights=score, minlength=len(pieces))
 
