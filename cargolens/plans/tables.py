@@ -101,25 +101,14 @@ class Tables:
     def reviewed_delivered(self) -> DataFrame:
         return model.reviewed_delivered(self.orders_summary)
 
-    def once(self, *names: str) -> "Tables":
-        """These derived tables computed now, once, into spark.checkpoint.dir, for queries that
-        pass over them several times (ranks, medians, several reports side by side): each pass
-        then reads files instead of running the whole lineage. Written tables stay as they are. These
-        tables themselves do not change: other queries on them plan from their sources."""
-        todo = [n for n in names if n not in self._written]
-        if not todo:
-            return self
-        checkpoint_dir(self.spark)
-        kept = {n: self.__dict__[n] for n in self._written}
-        return Tables(self.spark, self.raw, self.cfg, kept | {n: getattr(self, n).checkpoint(eager=True) for n in todo},
-                      self.source)
-
     #: Columns of the order summary that only the chain of aggregates over products and sellers gives.
     KINDS = frozenset({"unique_products", "unique_sellers"})
 
     def measured(self, *columns: str) -> "Tables":
-        """As ``once("orders_summary")``, but with these columns alone: what the others take (payments, the numbers of
-        different products and sellers) is then neither read nor computed. A written summary stays as it is."""
+        """These columns of the order summary computed now, once, into spark.checkpoint.dir, for queries that pass over
+        them several times (ranks, medians): each pass then reads files instead of running the whole lineage. What the
+        other columns take (payments, the numbers of different products and sellers) is neither read nor computed. A
+        written summary stays as it is; these tables themselves do not change: other queries on them plan from their sources."""
         if "orders_summary" in self._written:
             return self
         if self.KINDS.isdisjoint(columns):
