@@ -18,9 +18,19 @@ def row_hash(df: DataFrame) -> list[Column]:
 
 
 def _counted(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every different row of both with its number on each side; counted map-side, so a row that repeats without end is one row a task."""
-    both = a.select(*_named(a), F.lit(1).alias("_a"), F.lit(0).alias("_b")).union(b.select(*_named(b), F.lit(0), F.lit(1)))
-    return both.groupBy(*_named(a)).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    """Every different row of both with its number on each side; counted map-side, so a row that repeats without end is one row a task.
+
+    The rows are structs, by which neither side is partitioned. Sides that are partitioned alike would be put together partition by
+    partition, and all that made both and counts them would hold its rows in one task.
+    """
+    types = [f.dataType for f in a.union(b).schema]
+
+    def side(df: DataFrame, na: int, nb: int) -> DataFrame:
+        row = F.struct(*[c.cast(t).alias(name) for c, t, name in zip(_named(df), types, a.columns)])
+        return df.select(row.alias("_row"), F.lit(na).alias("_a"), F.lit(nb).alias("_b"))
+
+    both = side(a, 1, 0).union(side(b, 0, 1))
+    return both.groupBy("_row").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).select("_row.*", "_a", "_b")
 
 
 #: Copies of one row that one task writes.
@@ -57,15 +67,16 @@ def changes(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     with their multiplicity.
 
     Rows are counted by hash and key; the rows themselves don't move. Two different rows of a key that
-    agree in both hashes would count as one (some 1e-20 for a billion rows of one key).
+    agree in both hashes would count as one (some 1e-20 for a billion rows of one key). The key is a struct for the reason
+    given at ``_counted``.
     """
     def side(df: DataFrame, sign: int) -> DataFrame:
         df = df.select(*[F.col(f"`{c}`") for c in old.columns])
-        return df.select(*key, *row_hash(df), F.lit(sign).alias("_s"))
+        return df.select(F.struct(*key).alias("_key"), *row_hash(df), F.lit(sign).alias("_s"))
 
-    net = side(old, -1).union(side(new, 1)).groupBy(*key, "_h1", "_h2").agg(F.sum("_s").alias("_net"), F.count_if(F.col("_s") < 0).alias("_old"),
-                                                                           F.count_if(F.col("_s") > 0).alias("_new"))
-    per_key = net.groupBy(*key).agg(F.sum(F.greatest(-F.col("_net"), F.lit(0))).alias("rows_removed"), F.sum(F.greatest("_net", F.lit(0))).alias("rows_added"),
-                                    F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
-    change = F.when(F.col("_old") == 0, "added").when(F.col("_new") == 0, "removed").otherwise("changed")
+    net = side(old, -1).union(side(new, 1)).groupBy("_key", "_h1", "_h2").agg(F.sum("_s").alias("_net"), F.count_if(F.col("_s") < 0).alias("_old"))
+    per_key = net.select("_key.*", "_net", "_old").groupBy(*key).agg(
+        F.sum(F.greatest(-F.col("_net"), F.lit(0))).alias("rows_removed"), F.sum(F.greatest("_net", F.lit(0))).alias("rows_added"), F.sum("_old").alias("_old"))
+    # The key's present rows are the earlier ones less rows_removed plus rows_added.
+    change = F.when(F.col("_old") == 0, "added").when(F.col("_old") - F.col("rows_removed") + F.col("rows_added") == 0, "removed").otherwise("changed")
     return per_key.where("rows_removed + rows_added > 0").select(*key, change.alias("change"), "rows_removed", "rows_added")

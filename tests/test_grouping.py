@@ -89,6 +89,28 @@ def test_changes(spark):
         [(1, "changed", 1, 0), (2, "changed", 1, 1), (3, "removed", 1, 0), (5, "added", 0, 2), (None, "changed", 1, 1)], key=str)
 
 
+def test_sides_partitioned_alike_are_not_one_task(spark):
+    """Rows are counted where their side is made and dealt out anew: no task holds both sides and what counts them."""
+    def side(status, n):
+        return spark.range(n).select(F.pmod("id", F.lit(90)).alias("id"), F.lit(status).alias("v")).repartition(6, "id")
+
+    old, new = side("a", 270), side("b", 180)
+    for df in (multisets.changes(old, new, ["id"]), multisets.intersect(old, new), multisets.subtract(old, new)):
+        lines = plan(df).splitlines()
+        above = lines[:next(i for i, line in enumerate(lines) if "Union" in line)]
+        dealt = max(i for i, line in enumerate(above) if "Exchange hashpartitioning" in line)
+        assert any("HashAggregate" in line and "partial" in line for line in above[dealt:])
+    got = multisets.changes(old, new, ["id"])
+    assert got.groupBy("change", "rows_removed", "rows_added").count().collect() == [("changed", 3, 2, 90)]
+
+
+def test_rows_of_different_types_count_as_the_wider(spark):
+    a, b = spark.createDataFrame([(1, 2), (1, 2), (3, None)], "k int, `v.w` int"), spark.createDataFrame([(1, 2), (3, None), (1 << 40, 5)], "key long, v long")
+    got = multisets.subtract(a, b, every=True)
+    assert got.columns == ["k", "v.w"] and [t for _, t in got.dtypes] == ["bigint", "bigint"] and list(map(tuple, got.collect())) == [(1, 2)]
+    assert sorted(map(tuple, multisets.intersect(a, b).collect())) == [(1, 2), (3, None)]
+
+
 def test_grouped_quantile(spark):
     rng = np.random.default_rng(4)
     rows = [(None if i % 10 == 0 else "hot" if i % 3 else "cold", float(x)) for i, x in enumerate(rng.normal(0, 30, 900).round(1))] + [("none", None), ("one", 5.0)]
