@@ -3,19 +3,27 @@
 Each round every node hooks to the neighbour (or itself) of least random
 priority, follows that hook once more, and the edges move to the nodes
 reached; edges inside one node vanish. About half of the nodes that still have
-edges go in a round, so the rounds grow with the logarithm of the largest
-component. Every round's frames are cut into the shared checkpoint folder, and the
-joins stand between two plain shuffles, so adaptive execution splits a node
-that has a large share of the edges.
+edges go in a round, so the rounds grow with the logarithm of the number of
+edges; the last few edges are joined by one task. Every round's frames are cut into
+the shared checkpoint folder, and the joins stand between two plain shuffles, so
+adaptive execution splits a node that has a large share of the edges. Roots are
+looked up from the last round to the first, one join at a time: a plan with a join
+for every round would have the tasks of all of them on the driver at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that one task joins; a round of Spark jobs takes the driver the same room and time however few there are.
+FEW_EDGES = 16_384
+
 
 def _tidy(edges: DataFrame) -> DataFrame:
     """One row for each pair of different nodes."""
@@ -33,6 +41,23 @@ def _hooks(edges: DataFrame, round_no: int) -> DataFrame:
         "node", F.least("best", ranked("node")).getField("node").alias("hook"))
 
 
+def _join_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the edges of one task; the root is the component's smallest node."""
+    parent: dict[int, int] = {}
+
+    def find(a: int) -> int:
+        while parent.setdefault(a, a) != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            ru, rv = find(u), find(v)
+            parent[max(ru, rv)] = min(ru, rv)
+    yield pa.record_batch({"node": pa.array(list(parent), pa.int64()), "root": pa.array([find(a) for a in parent], pa.int64())})
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long).
 
@@ -42,7 +67,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = cut(_tidy(edges.where("u is not null and v is not null").select("u", "v")))
     steps = []
-    while not edges.isEmpty():
+    while edges.count() > FEW_EDGES:
         hooks = cut(_hooks(edges, len(steps)))
         onward = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("to"))
         moved = cut(hooks.join(onward, "hook").select("node", "to"))
@@ -51,10 +76,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         right = moved.select(F.col("node").alias("v"), F.col("to").alias("tv"))
         edges = cut(_tidy(edges.join(left, "u").join(right, "v")
                           .select(F.col("tu").alias("u"), F.col("tv").alias("v"))))
-    if not steps:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = steps[0].select("node", F.col("to").alias("root"))
-    for moved in steps[1:]:
-        nxt = moved.select(F.col("node").alias("root"), "to")
-        roots = roots.join(nxt, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    roots = edges.coalesce(1).mapInArrow(_join_few, "node long, root long")
+    while steps:
+        further = cut(roots).withColumnRenamed("node", "to")
+        roots = steps.pop().join(further, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     return roots

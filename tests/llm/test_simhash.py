@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cargolens.llm import simhash
+from cargolens.llm import components, simhash
 from cargolens.llm.components import connected_components
 from cargolens.llm.simhash import GrayTree, block_masks, forest, gray_rank
 
@@ -148,6 +148,27 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_component_plans_do_not_grow_with_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW_EDGES", 0, raising=False)
+    rounds, hooks = [], components._hooks
+    monkeypatch.setattr(components, "_hooks", lambda edges, n: rounds.append(n) or hooks(edges, n))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000) if i % 1000] + [(-5, i) for i in range(2000, 2600)], "u long, v long")
+    found = connected_components(edges)
+    assert len(rounds) > 3 and found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+    root = {r.node: r.root for r in found.collect()}
+    assert len({root[i] for i in range(1, 1001)}) == len({root[i] for i in [-5, *range(2001, 3001)]}) == 1
+    assert sorted(root) == [-5, *range(1, 3001)] and len(set(root.values())) == 2
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    cuts, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(df) or cut(df))
+    pairs = [(i, i + 1) for i in range(0, 900) if i % 100 != 50] + [(-(1 << 63), 899), ((1 << 63) - 1, 0)]
+    root = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "u long, v long").repartition(7)).collect()}
+    assert len(cuts) == 1 and len(root) == 903 and len(set(root.values())) == 10
+    assert root[0] == root[(1 << 63) - 1] == 0 and root[899] == root[-(1 << 63)] and root[51] == root[150] != root[50]
+
+
 def test_keep_one(spark):
     text = " ".join(f"t{i}" for i in range(60))
     rows = [(3, text, "en", "b"), (2, text, "en", "b"), (2, text, "en", "b"), (2, text, "en", "a"), (None, text, "en", "a"),
