@@ -175,3 +175,15 @@ def test_keep_one(spark):
             (None, "other words here now ok", "en", "z"), (None, "other words here now ok", "en", "z"), (9, "alone", None, None)]
     got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 3 and sorted(str(r.doc_id) for r in got) == ["2", "9", "None"]
+
+
+def test_keep_one_runs_no_rounds_for_few_links(spark, monkeypatch):
+    written = []
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: written.append(df.columns) or cut(df))
+    words = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join([f"other{j}" if j % 25 == 0 and j < 25 * i else w for j, w in enumerate(words)]), "en", "b") for i in range(12)]
+    want = {component for *_, component in plain_components(rows)}
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want) and len(want) < 12
+    assert len(written) <= 8
